@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snarelight.driver.tables import AS_OF, VOTE_LOG, derive, input_rows, read, triage_tables
+from snarelight.functions.urls import url_scheme, with_url_parts
 from snarelight.model import Tables
 from snarelight.operators import sessions, voting
 from snarelight.plans import audit, feed, intake, jobs, maintenance, reports, rules_engine, search
@@ -175,7 +176,8 @@ def _fold_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # A file stream wants a folder or a pattern; the braces let the table be a single file too.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events.parquet}}")
 
 
 def _finish(query) -> None:
@@ -212,13 +214,11 @@ def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _work_folder(spark, "sessions")
     _finish(streams.stream_sessions(_event_stream(spark, sf_dir).select("user_id", "ts"), out))
     return spark.read.schema(
-        "user_id bigint, session_start timestamp, last_seen timestamp, expires_at timestamp, event_count bigint"
+        "user_id bigint, session_start timestamp_ntz, last_seen timestamp_ntz, expires_at timestamp_ntz, event_count bigint"
     ).parquet(f"{out}/sessions")
 
 
 def _parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from snarelight.functions.urls import url_scheme, with_url_parts
-
     pages = with_url_parts(read(spark, sf_dir, "pages").select("page_id", "url"))
     return pages.select("page_id", "url_domain", "tld", url_scheme(F.col("url")).alias("scheme"))
 

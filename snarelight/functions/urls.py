@@ -2,7 +2,8 @@
 
 ``parse_url`` is not used: it keeps upper case, drops hosts with ``_`` and fails on
 stray ``%``. The domain is the lower-case host without user info, port and brackets,
-or the whole text when there is no host.
+or the whole text when there is no host. Each part is one pattern used once, so that
+the expression stays small when Catalyst copies it into filters.
 """
 
 from __future__ import annotations
@@ -10,32 +11,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# RFC 3986 scheme and authority.
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
-_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-_LEADING = r"^[\x00-\x20]+"
+# RFC 3986 scheme; blanks and control characters before it are skipped.
+_SCHEME = r"^[\x00-\x20]*(?:([A-Za-z][A-Za-z0-9+.\-]*):)"
+_START = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
+# Past the user info and, for a bracketed address, the opening bracket.
+_TO_HOST = _START + r"(?:[^/?#]*@)?+(?:[^\[/?#]*\[)?+"
+_HOST = _TO_HOST + r"((?<=\[)(?=[^\]/?#])[^\]/?#%]*|(?<!\[)(?=[^:/?#])[^:/?#%]*)"
+# A zone id after '%' keeps its case.
+_ZONE = _TO_HOST + r"(?:(?<=\[)[^\]/?#%]*|(?<!\[)[^:/?#%]*)(%[^\]:/?#]*)"
+_ONE_BRACKET = _START + r"(?:[^/?#\[]*\][^/?#\[]*|[^/?#\]]*\[[^/?#\]]*)(?:[/?#]|$)"
 
 
-def _cleaned(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(url, _LEADING, ""), r"[\t\r\n]", "")
+def _without_breaks(url: Column) -> Column:
+    return F.translate(url, "\t\r\n", "")
 
 
-def authority(url: Column) -> Column:
-    return F.regexp_extract(_cleaned(url), _AUTHORITY, 1)
+def _found(text: Column, pattern: str) -> Column:
+    """The pattern's group, NULL where the pattern does not match."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
 def url_scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(_cleaned(url), _SCHEME, 1))
+    return F.lower(F.regexp_extract(_without_breaks(url), _SCHEME, 1))
 
 
 def url_domain(url: Column) -> Column:
-    host_port = F.regexp_replace(authority(url), r"^.*@", "")
-    host = F.when(host_port.contains("["), F.regexp_extract(host_port, r"\[([^\]]*)", 1)).otherwise(
-        F.regexp_extract(host_port, r"^[^:]*", 0)
-    )
-    # A zone id after '%' keeps its case.
-    lowered = F.concat(F.lower(F.regexp_extract(host, r"^[^%]*", 0)), F.regexp_extract(host, r"%.*$", 0))
-    return F.when(lowered != "", lowered).otherwise(url)
+    text = _without_breaks(url)
+    host = F.concat(F.lower(_found(text, _HOST)), F.coalesce(_found(text, _ZONE), F.lit("")))
+    return F.coalesce(host, url)
 
 
 def domain_tld(domain: Column) -> Column:
@@ -44,8 +47,7 @@ def domain_tld(domain: Column) -> Column:
 
 def broken_brackets(url: Column) -> Column:
     """An authority with only one kind of bracket cannot be parsed."""
-    host = authority(url)
-    return host.contains("[") != host.contains("]")
+    return _without_breaks(url).rlike(_ONE_BRACKET)
 
 
 def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:

@@ -55,6 +55,23 @@ def _line(counted: DataFrame, table: str, check: str, columns: str) -> DataFrame
     )
 
 
+def _row_checks(tables: Tables, table: str, required: list[str]) -> DataFrame:
+    """Value lists and required columns of a table, counted in one scan."""
+    checks = [("required", c, F.col(c).isNull()) for c in required]
+    checks += [("allowed", c, ~F.col(c).isin(*values)) for t, c, values in ALLOWED if t == table]
+    counted = getattr(tables, table).agg(*[F.count_if(bad).alias(f"{kind} {c}") for kind, c, bad in checks])
+    entries = [
+        F.struct(
+            F.lit(table).alias("table_name"),
+            F.lit(kind).alias("check_name"),
+            F.lit(c).alias("column_names"),
+            F.col(f"{kind} {c}").alias("violations"),
+        )
+        for kind, c, _ in checks
+    ]
+    return counted.select(F.inline(F.array(*entries)))
+
+
 def integrity_audit(tables: Tables) -> DataFrame:
     """One row per constraint with the number of violations.
 
@@ -65,22 +82,8 @@ def integrity_audit(tables: Tables) -> DataFrame:
     for table, keys in UNIQUE:
         groups = getattr(tables, table).groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("surplus"))
         lines.append(_line(groups.agg(F.sum("surplus").alias("violations")), table, "unique", ",".join(keys)))
-    for table, column, values in ALLOWED:
-        bad = F.count_if(~F.col(column).isin(*values))
-        lines.append(_line(getattr(tables, table).agg(bad.alias("violations")), table, "allowed", column))
     for table, schema in SCHEMAS.items():
-        required = [f.name for f in schema if not f.nullable]
-        nulls = getattr(tables, table).agg(
-            F.map_from_arrays(
-                F.array(*[F.lit(c) for c in required]), F.array(*[F.count_if(F.col(c).isNull()) for c in required])
-            ).alias("nulls")
-        )
-        per_column = nulls.select(F.explode("nulls").alias("column_names", "violations"))
-        lines.append(
-            per_column.select(
-                F.lit(table).alias("table_name"), F.lit("required").alias("check_name"), "column_names", "violations"
-            )
-        )
+        lines.append(_row_checks(tables, table, [f.name for f in schema if not f.nullable]))
     for table, column, target, key in REFERENCES:
         used = (
             getattr(tables, table)

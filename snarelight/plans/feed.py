@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snarelight.functions.text import blank_to_null, strip, strip_or
+from snarelight.functions.times import moment
 from snarelight.functions.urls import with_url_parts
 from snarelight.model import PHISHING, Tables
 from snarelight.operators.positions import with_new_ids
 from snarelight.operators.topk import top_rows
-from snarelight.plans.maintenance import Change, highest_id, moment, shaped
+from snarelight.plans.maintenance import Change, highest_id, shaped
 
 FEED_EMAIL = "threat-feed@snarelight.example"
 # Feed names, label prefix and the batch size.

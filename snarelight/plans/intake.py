@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snarelight.functions.text import blank_to_null, like_any_case, strip
+from snarelight.functions.times import moment
 from snarelight.functions.urls import broken_brackets, url_scheme, with_url_parts
 from snarelight.model import SUSPICIOUS, Tables
 from snarelight.operators import rollups
 from snarelight.operators.catalogue import with_catalogue
 from snarelight.operators.positions import with_new_ids
 from snarelight.operators.skew import lookup_join
-from snarelight.plans.maintenance import Change, highest_id, moment, shaped
+from snarelight.plans.maintenance import Change, highest_id, shaped
 
 # Limits of the input forms.
 MAX_URL, MAX_NOTE, MAX_EMAIL, MIN_NAME = 2048, 500, 255, 2

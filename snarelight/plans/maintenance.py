@@ -7,12 +7,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snarelight.functions.times import moment
 from snarelight.functions.verdicts import (
     AGREEMENT_VOTE,
     COMMUNITY_LABELS,
@@ -47,10 +48,6 @@ class Change:
         return self.affected.count()
 
 
-def moment(as_of: datetime, **back) -> Column:
-    return F.lit(as_of - timedelta(**back)).cast("timestamp_ntz")
-
-
 def shaped(df: DataFrame, table: str) -> DataFrame:
     """The declared columns of a table, in order and with their types."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]])

@@ -6,14 +6,14 @@ by the remaining key columns. Foreign keys are taken as given (``audit`` reports
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snarelight.functions.text import like_any_case
-from snarelight.functions.times import micros_between
+from snarelight.functions.times import micros_between, moment
 from snarelight.functions.verdicts import (
     AGREEMENT_LABELS,
     AGREEMENT_VOTE,
@@ -265,7 +265,7 @@ def inserted_url_check(tables: Tables, url: str) -> DataFrame:
 
 
 def recently_updated(tables: Tables, as_of: datetime, limit: int = 5) -> DataFrame:
-    since = F.lit(as_of - timedelta(minutes=1)).cast("timestamp_ntz")
+    since = moment(as_of, minutes=1)
     return (
         tables.url_submissions.where(F.col("updated_at") >= since)
         .select("url_id", "url", "result_code", "updated_at")
@@ -460,7 +460,7 @@ def risk_categories(tables: Tables) -> DataFrame:
 
 def review_timeline(tables: Tables, as_of: datetime, days: int = 30) -> DataFrame:
     """Recent submissions with their reviews and the days from one to the other."""
-    since = F.lit(as_of - timedelta(days=days)).cast("timestamp_ntz")
+    since = moment(as_of, days=days)
     recent = tables.url_submissions.where(F.col("created_at") >= since).select(
         "url_id", "url", "result_code", F.col("created_at").alias("submission_date")
     )

@@ -7,13 +7,13 @@ over into the tables.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from datetime import datetime
-
 from snarelight.model import Tables
 from snarelight.operators import voting
 from snarelight.operators.sessions import GAP_HOURS
@@ -119,9 +119,9 @@ def stream_sessions(stream: DataFrame, out: str, delay: str = "1 hour", gap_hour
         .agg(F.count(F.lit(1)).alias("event_count"), F.max("ts").alias("last_seen"))
         .select(
             "user_id",
-            F.col("session.start").alias("session_start"),
-            "last_seen",
-            F.col("session.end").alias("expires_at"),
+            F.col("session.start").cast("timestamp_ntz").alias("session_start"),
+            F.col("last_seen").cast("timestamp_ntz").alias("last_seen"),
+            F.col("session.end").cast("timestamp_ntz").alias("expires_at"),
             "event_count",
         )
     )
