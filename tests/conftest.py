@@ -85,8 +85,11 @@ SEED = {
 
 
 @pytest.fixture(scope="session")
-def seed(spark):
-    return Tables(**{name: table(spark, name, rows) for name, rows in SEED.items()})
+def seed(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("seed"))
+    for name, data in SEED.items():
+        table(spark, name, data).coalesce(1).write.parquet(f"{root}/{name}")
+    return Tables.from_parquet(spark, root)
 
 
 def rows(df, *columns):
