@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from snarelight.model import Tables
 from snarelight.operators import sessions, voting
 from snarelight.plans import audit, feed, intake, jobs, maintenance, reports, rules_engine, search
 from snarelight.plans.search import Search
-from snarelight.session import checkpoint_root
+from snarelight.session import new_folder
 from snarelight.sources import export_csv, feed_csv, snapshots
 from snarelight.streaming import jobs as streams
 
@@ -31,10 +30,6 @@ LINK_NAMES = ["NATION_3", "NATION_4"]
 LONG_URL = 38
 
 
-def _work_folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/{name}-{uuid4().hex}"
-
-
 def _report(build: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(triage_tables(spark, sf_dir))
 
@@ -49,7 +44,7 @@ def _reclassified(t: Tables) -> Tables:
 
 def _feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed written as CSV files and read back with the feed reader."""
-    folder = _work_folder(spark, "feed")
+    folder = new_folder(spark, "feed")
     written = input_rows(spark, sf_dir, "feed").repartitionByRange("seq").sortWithinPartitions("seq")
     export_csv.write_csv(written.select("dateadded", "url", "url_status", "threat", "tags", "last_online"), folder)
     rows = feed_csv.read_feed(spark, folder)
@@ -57,14 +52,14 @@ def _feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _work_folder(spark, "export")
+    folder = new_folder(spark, "export")
     export_csv.write_csv(search.export_rows(triage_tables(spark, sf_dir), Search(), limit=None), folder)
     return spark.read.options(header=True, escape='"').csv(folder)
 
 
 def _apply_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submissions stored, reclassified by votes, stored again and read back."""
-    root = _work_folder(spark, "snapshots")
+    root = new_folder(spark, "snapshots")
     tables = triage_tables(spark, sf_dir)
     snapshots.save(tables, root)
     stored, _ = snapshots.load(spark, root)
@@ -185,14 +180,14 @@ def _finish(query) -> None:
 
 
 def _stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _work_folder(spark, "votes")
+    out = new_folder(spark, "votes")
     log = spark.sql(VOTE_LOG, events=_event_stream(spark, sf_dir))
     _finish(streams.stream_votes(log, out))
     return streams.current_votes(spark, out).drop("vote_id")
 
 
 def _stream_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _work_folder(spark, "submissions")
+    out = new_folder(spark, "submissions")
     requests = input_rows(spark, sf_dir, "requests", events=_event_stream(spark, sf_dir))
     _finish(streams.stream_submit(requests, triage_tables(spark, sf_dir), out))
     accepted = spark.read.parquet(f"{out}/accepted")
@@ -203,7 +198,7 @@ def _stream_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _work_folder(spark, "feed")
+    out = new_folder(spark, "feed")
     rows = input_rows(spark, sf_dir, "feed", events=_event_stream(spark, sf_dir))
     _finish(streams.stream_feed(rows, triage_tables(spark, sf_dir), out, AS_OF))
     return spark.read.parquet(f"{out}/accepted").drop("batch", "result_code")
@@ -211,7 +206,7 @@ def _stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions the stream has closed; the last ones stay open until later events arrive."""
-    out = _work_folder(spark, "sessions")
+    out = new_folder(spark, "sessions")
     _finish(streams.stream_sessions(_event_stream(spark, sf_dir).select("user_id", "ts"), out))
     return spark.read.schema(
         "user_id bigint, session_start timestamp_ntz, last_seen timestamp_ntz, expires_at timestamp_ntz, event_count bigint"

@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 _SCHEME = r"^[\x00-\x20]*(?:([A-Za-z][A-Za-z0-9+.\-]*):)"
 _START = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
 # Past the user info and, for a bracketed address, the opening bracket.
-_TO_HOST = _START + r"(?:[^/?#]*@)?+(?:[^\[/?#]*\[)?+"
-_HOST = _TO_HOST + r"((?<=\[)(?=[^\]/?#])[^\]/?#%]*|(?<!\[)(?=[^:/?#])[^:/?#%]*)"
-# A zone id after '%' keeps its case.
-_ZONE = _TO_HOST + r"(?:(?<=\[)[^\]/?#%]*|(?<!\[)[^:/?#%]*)(%[^\]:/?#]*)"
+_HOST = _START + r"(?:[^/?#]*@)?+(?:[^\[/?#]*\[)?+((?<=\[)[^\]/?#]+|(?<!\[)[^:/?#]+)"
+_LAST_LABEL = r"\.([^.]*)\z"
 _ONE_BRACKET = _START + r"(?:[^/?#\[]*\][^/?#\[]*|[^/?#\]]*\[[^/?#\]]*)(?:[/?#]|$)"
 
 
@@ -26,9 +24,15 @@ def _without_breaks(url: Column) -> Column:
     return F.translate(url, "\t\r\n", "")
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """The pattern's group, NULL where the pattern does not match."""
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
+def _all(text: Column, pattern: str) -> Column:
+    """The pattern's group for every match: at most one for the patterns here."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def _lower_host(host: Column) -> Column:
+    """Lower case up to a zone id, which starts at '%' and keeps its case."""
+    name = F.substring_index(host, "%", 1)
+    return F.concat(F.lower(name), F.substring(host, F.length(name) + 1, F.length(host)))
 
 
 def url_scheme(url: Column) -> Column:
@@ -36,13 +40,12 @@ def url_scheme(url: Column) -> Column:
 
 
 def url_domain(url: Column) -> Column:
-    text = _without_breaks(url)
-    host = F.concat(F.lower(_found(text, _HOST)), F.coalesce(_found(text, _ZONE), F.lit("")))
+    host = F.get(F.transform(_all(_without_breaks(url), _HOST), _lower_host), F.lit(0))
     return F.coalesce(host, url)
 
 
 def domain_tld(domain: Column) -> Column:
-    return F.when(domain.contains("."), F.concat(F.lit("."), F.substring_index(domain, ".", -1)))
+    return F.concat(F.lit("."), F.get(_all(domain, _LAST_LABEL), F.lit(0)))
 
 
 def broken_brackets(url: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Rows are range-partitioned by a total order, so partitions are balanced whatever the
 group sizes; each row's number is its place in its partition plus the sizes of the
-partitions before it. The partitioned rows are checkpointed because the numbering reads
-them more than once and range bounds are sampled.
+partitions before it. The partitioned rows are stored because the numbering reads them
+more than once and range bounds are sampled.
 """
 
 from __future__ import annotations
@@ -13,21 +13,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snarelight.operators.skew import lookup_join
-from snarelight.session import checkpoint_root
+from snarelight.session import stored
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
 def with_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds the 0-based place of each row in ``order`` (which must be total)."""
-    checkpoint_root(df.sparkSession)
-    ranged = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    placed = (
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     )
+    ranged = stored(placed, "indexed").withColumn("_part", F.shiftright("_at", _ROW_BITS))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # One row per partition, so a single-task window and a broadcast are both bounded.
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -61,15 +57,9 @@ def with_rank(df: DataFrame, score: str, name: str) -> DataFrame:
     Works on the distinct scores and their counts: running counts inside each range
     partition plus the totals of the partitions before it.
     """
-    checkpoint_root(df.sparkSession)
     order = F.col(score).desc_nulls_last()
-    counts = (
-        df.groupBy(score)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .repartitionByRange(order)
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
-    )
+    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = stored(counts.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "scores")
     parts = counts.groupBy("_part").agg(F.sum("_rows").alias("_size"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))

@@ -1,8 +1,8 @@
 """Top-k first, lookups afterwards.
 
 A report of the k newest rows needs submitters, votes and rules of k rows only. The top
-rows are checkpointed, so the scan behind them runs once, and the other tables are cut
-down to them by a broadcast of k keys instead of being shuffled.
+rows are stored, so the scan behind them runs once, and the other tables are cut down to
+them by a broadcast of k keys instead of being shuffled.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from snarelight.model import Tables
 from snarelight.operators import rollups
 from snarelight.operators.skew import BROADCAST_ROWS, lookup_join
-from snarelight.session import checkpoint_root
+from snarelight.session import stored
 
 
 def top_rows(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    checkpoint_root(df.sparkSession)
-    return df.orderBy(*order).limit(limit).checkpoint()
+    return stored(df.orderBy(*order).limit(limit), "top")
 
 
 def rows_of(df: DataFrame, top: DataFrame, key: str, limit: int | None, to: str | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -28,8 +29,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables, shared by all executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, reachable by all executors.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a single-machine session
     without that setting gets a temporary folder.
@@ -40,6 +41,20 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="snarelight-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once and read back: computed once, whoever reads it and however often.
+
+    Unlike a cached DataFrame it survives lost executors, and later reads take only the
+    columns they need and know the table's true size.
+    """
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
