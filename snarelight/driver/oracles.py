@@ -174,25 +174,17 @@ join (select s.url_id,
 """
 
 _DOSSIER = """
-select s.url_id, 'url' as section, s.user_id as item_id, s.url_domain as sort_text, s.created_at as sort_time, p.name,
-       p.role as kind, s.result_code as code, s.url as detail, cast(null as double) as number, cast(null as double) as second_number
+select s.*, 'url' as section, p.name as submitter_name, p.email as submitter_email, p.role as submitter_role
 from url_submissions s join users p using (user_id)
 union all by name
-select m.url_id, 'rule' as section, m.rule_id as item_id, r.risk_level as sort_text, m.matched_at as sort_time,
-       r.rule_name as name, r.rule_type as kind, m.match_details as detail
-from url_rule_matches m join rules r using (rule_id)
+select m.*, 'rule' as section, r.rule_name, r.risk_level, r.rule_type from url_rule_matches m join rules r using (rule_id)
 union all by name
-select t.url_id, 'status' as section, t.status_id as item_id, t.created_at as sort_time, t.label as name, p.name as kind,
-       t.result_code as code, t.description as detail
+select t.* exclude (reviewer_id), 'status' as section, p.name as reviewer_name
 from statuses t left join users p on p.user_id = t.reviewer_id
 union all by name
-select v.url_id, 'vote' as section, v.vote_id as item_id, v.created_at as sort_time, p.name, p.role as kind,
-       cast(v.vote_value as double) as number
-from votes v join users p using (user_id)
+select v.* exclude (user_id), 'vote' as section, p.name as voter_name, p.role as voter_role from votes v join users p using (user_id)
 union all by name
-select url_id, 'score' as section, rep_id as item_id, created_at as sort_time, external_source as name, risk_level as code,
-       avg_score as number, online_score as second_number
-from url_score_comparisons
+select *, 'score' as section from url_score_comparisons
 """
 
 _SEARCH_COLUMNS = """
@@ -523,10 +515,10 @@ from users p left join (select user_id, count(*) as n, count(*) filter (result_c
                         from url_submissions group by 1) s using (user_id)""",
     "auto_classify": _classified(strict=False),
     "auto_classify_strict": _classified(strict=True),
-    "feed_import": f"select * from ({_FEED_NEW}) order by seq limit 40",
+    "feed_import": f"select * from ({_FEED_NEW}) order by seq limit 250",
     "feed_import_all": _FEED_NEW,
     "stream_feed": _FEED_NEW,
-    "feed_import_counts": _feed_counts(40),
+    "feed_import_counts": _feed_counts(250),
     "ensure_feed_user": f"""
 select user_id, name, email, role, created_at from users
 union all

@@ -73,10 +73,6 @@ def _viewer_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.viewer_votes(t, asked)
 
 
-def _dossier(t: Tables) -> DataFrame:
-    return search.url_dossier(t)
-
-
 def _available_rules(t: Tables) -> DataFrame:
     names = F.array_join(F.transform("available_rules", lambda r: r["rule_name"]), ", ")
     return search.available_rules(t).select("url_id", names.alias("available_rules"), F.col("available_count").cast("bigint"))
@@ -158,7 +154,7 @@ def _feed_import(limit: int) -> Query:
 
 
 def _feed_import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.feed_import(triage_tables(spark, sf_dir), input_rows(spark, sf_dir, "feed"), AS_OF, 40).summary
+    return feed.feed_import(triage_tables(spark, sf_dir), input_rows(spark, sf_dir, "feed"), AS_OF).summary
 
 
 def _job_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +258,7 @@ QUERIES: dict[str, Query] = {
     "status_facet": _report(lambda t: search.status_facet(t, FACETS.without("user_id"))),
     "user_facet": _report(lambda t: search.user_facet(t, FACETS)),
     "rule_catalog": _report(reports.rule_catalog),
-    "url_dossier": _report(_dossier),
+    "url_dossier": _report(search.url_dossier),
     "available_rules": _report(_available_rules),
     "viewer_votes": _viewer_votes,
     "feed_summary": _report(lambda t: reports.feed_summary(t, FEED_OWNER)),
@@ -297,7 +293,7 @@ QUERIES: dict[str, Query] = {
     "promote_users": _changed(maintenance.promote_users, "users"),
     "auto_classify": _changed(lambda t: maintenance.auto_classify(t, AS_OF), "url_submissions"),
     "auto_classify_strict": _changed(lambda t: maintenance.auto_classify(t, AS_OF, strict=True), "url_submissions"),
-    "feed_import": _feed_import(40),
+    "feed_import": _feed_import(feed.FEED_LIMIT),
     "feed_import_all": _feed_import(0),
     "feed_import_counts": _feed_import_counts,
     "ensure_feed_user": _report(lambda t: feed.ensure_feed_user(t, AS_OF).users),

@@ -41,18 +41,21 @@ def lookup_join(
     how: str = "inner",
     spread: list[str] | None = None,
     small: bool | None = None,
+    sizes_from: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``many`` joined to ``one``; ``how`` is inner, left, left_semi or left_anti.
 
     ``spread`` names columns of ``many`` that tell apart the rows of a key (its id).
     ``small=False`` skips the size check, for a ``one`` that is costly to compute.
+    ``sizes_from`` is a cheaper table to count the keys in, when ``many`` is itself the
+    result of joins or aggregations: it must hold at least as many rows of each hot key.
     """
     if small is None:
         small = is_small(one)
     if small:
         return many.join(F.broadcast(one), keys, how)
-    hot = F.broadcast(_hot_keys(many, keys, hot_rows))
+    hot = F.broadcast(_hot_keys(many if sizes_from is None else sizes_from, keys, hot_rows))
     no_key: Column = reduce(or_, [F.col(k).isNull() for k in keys])
     salt = F.xxhash64(*(spread or many.columns))
     salted_many = many.join(hot, keys, "left").withColumn(
@@ -62,7 +65,8 @@ def lookup_join(
         .otherwise(F.lit(0).cast("bigint")),
     )
     last_salt = F.coalesce(F.col("_salts"), F.lit(1)) - 1
-    salted_one = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last_salt)))
+    salts = F.sequence(F.lit(0).cast("bigint"), last_salt)
+    salted_one = one.join(hot, keys, "left").withColumn("_salt", F.explode(salts))
     joined = salted_many.drop("_salts").join(salted_one.drop("_salts"), [*keys, "_salt"], how)
     return joined.drop("_salt")
 
@@ -73,9 +77,10 @@ def expand_join(
     keys: list[str],
     spread: list[str] | None = None,
     small: bool | None = None,
+    sizes_from: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left outer join from the unique side: every row of ``one`` with all its ``many`` rows."""
-    matched = lookup_join(many, one, keys, "inner", spread, small, hot_rows)
+    matched = lookup_join(many, one, keys, "inner", spread, small, sizes_from, hot_rows)
     unmatched = one.join(many.select(*keys).distinct(), keys, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -140,7 +140,13 @@ def register_users(tables: Tables, requests: DataFrame) -> Intake:
         .agg((F.count(F.lit(1)) > 1).alias("case_variant"))
     )
     accepted = lookup_join(
-        intake.accepted.withColumn("folded", F.lower("email")), shared, ["folded"], "left", ["seq"], small=False
+        intake.accepted.withColumn("folded", F.lower("email")),
+        shared,
+        ["folded"],
+        "left",
+        ["seq"],
+        small=False,
+        sizes_from=rows.select(folded),
     )
     return Intake(accepted.drop("folded").withColumn("role", F.lit("user")), intake.rejected)
 
@@ -151,7 +157,8 @@ def add_rule_matches(tables: Tables, requests: DataFrame) -> Intake:
     rows = requests.withColumn("match_details", blank_to_null(note))
     urls = tables.url_submissions.select("url_id", F.lit(True).alias("_url"))
     rules = tables.rules.select("rule_id", F.lit(True).alias("_rule"))
-    rows = lookup_join(lookup_join(rows, urls, ["url_id"], "left", ["seq"]), rules, ["rule_id"], "left", ["seq"])
+    rows = lookup_join(rows, urls, ["url_id"], "left", ["seq"])
+    rows = lookup_join(rows, rules, ["rule_id"], "left", ["seq"], sizes_from=requests)
     rows = rows.withColumn(
         "reason", _reason([("unknown_url", F.col("_url").isNull()), ("unknown_rule", F.col("_rule").isNull())])
     ).drop("_url", "_rule")
@@ -213,10 +220,21 @@ def delete_submissions(
     def without_urls(df: DataFrame, row_id: str) -> DataFrame:
         return lookup_join(df, urls, ["url_id"], "left_anti", [row_id])
 
-    votes = lookup_join(without_urls(t.votes, "vote_id"), users, ["user_id"], "left_anti", ["vote_id"])
-    matches = lookup_join(without_urls(t.url_rule_matches, "match_id"), rules, ["rule_id"], "left_anti", ["match_id"])
+    votes = lookup_join(
+        without_urls(t.votes, "vote_id"), users, ["user_id"], "left_anti", ["vote_id"], sizes_from=t.votes
+    )
+    matches = lookup_join(
+        without_urls(t.url_rule_matches, "match_id"),
+        rules,
+        ["rule_id"],
+        "left_anti",
+        ["match_id"],
+        sizes_from=t.url_rule_matches,
+    )
     gone = users.select(F.col("user_id").alias("reviewer_id"), F.lit(True).alias("_gone"))
-    statuses = lookup_join(without_urls(t.statuses, "status_id"), gone, ["reviewer_id"], "left", ["status_id"])
+    statuses = lookup_join(
+        without_urls(t.statuses, "status_id"), gone, ["reviewer_id"], "left", ["status_id"], sizes_from=t.statuses
+    )
     statuses = statuses.withColumn("reviewer_id", F.when(F.col("_gone").isNull(), F.col("reviewer_id")))
     return Change(
         Tables(

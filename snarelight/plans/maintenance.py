@@ -24,7 +24,7 @@ from snarelight.functions.verdicts import (
     code_from_match_count,
     score_level,
 )
-from snarelight.model import LEGITIMATE, PHISHING, SCHEMAS, Tables
+from snarelight.model import LEGITIMATE, SCHEMAS, Tables
 from snarelight.operators import rollups
 from snarelight.operators.positions import with_new_ids
 from snarelight.operators.skew import lookup_join
@@ -105,7 +105,7 @@ def cleanup_inactive(tables: Tables, as_of: datetime, days: int = 90) -> Change:
     flagged = tables.url_submissions.join(active.withColumn("active", F.lit(True)), "url_id", "left")
     idle = F.col("active").isNull() & (F.col("created_at") < moment(as_of, days=days))
     removed = flagged.where(idle).select("url_id")
-    scores = lookup_join(tables.url_score_comparisons, removed, ["url_id"], "left_anti", ["rep_id"])
+    scores = lookup_join(tables.url_score_comparisons, removed, ["url_id"], "left_anti", ["rep_id"], small=False)
     return Change(
         tables.with_tables(
             url_submissions=shaped(flagged.where(~idle), "url_submissions"),
@@ -124,7 +124,7 @@ def cleanup_rule_matches(tables: Tables) -> Change:
         "rule_id", F.col("risk_level").isin("high", "critical").alias("severe"), F.lit(True).alias("rule_ok")
     )
     joined = lookup_join(tables.url_rule_matches, rules, ["rule_id"], "left", ["match_id"])
-    joined = lookup_join(joined, urls, ["url_id"], "left", ["match_id"])
+    joined = lookup_join(joined, urls, ["url_id"], "left", ["match_id"], sizes_from=tables.url_rule_matches)
     drop = F.col("url_ok").isNull() | F.col("rule_ok").isNull() | F.coalesce(
         F.col("benign") & F.col("severe"), F.lit(False)
     )
@@ -182,7 +182,9 @@ def annotate_admin_statuses(tables: Tables) -> Change:
         F.col("user_id").alias("reviewer_id"), F.lit(True).alias("by_admin")
     )
     joined = lookup_join(tables.statuses, admins, ["reviewer_id"], "left", ["status_id"])
-    joined = lookup_join(joined, targets, ["url_id"], "left", ["status_id"], small=False)
+    joined = lookup_join(
+        joined, targets, ["url_id"], "left", ["status_id"], small=False, sizes_from=tables.statuses
+    )
     chosen = F.coalesce(F.col("voted") & F.col("by_admin"), F.lit(False))
     changed = joined.withColumn(
         "description",

@@ -177,9 +177,15 @@ def match_validity(tables: Tables) -> DataFrame:
         ["url_id"],
         "left",
         ["rule_id"],
+        sizes_from=tables.url_rule_matches,
     )
     known = lookup_join(
-        known_url, tables.rules.select("rule_id", F.lit(True).alias("rule_ok")), ["rule_id"], "left", ["url_id"]
+        known_url,
+        tables.rules.select("rule_id", F.lit(True).alias("rule_ok")),
+        ["rule_id"],
+        "left",
+        ["url_id"],
+        sizes_from=tables.url_rule_matches,
     )
     valid = F.when(F.col("url_ok") & F.col("rule_ok"), F.col("copies"))
     return known.agg(
@@ -217,12 +223,12 @@ def url_listing(tables: Tables) -> DataFrame:
         F.count("rule_id").alias("matched_rules_count"),
         F.expr("listagg(rule_name, ', ') within group (order by rule_name)").alias("matched_rule_names"),
     )
-    listed = tables.url_submissions.join(per_url, "url_id", "left")
     people = tables.users.select(
         "user_id", F.col("name").alias("submitter_name"), F.col("email").alias("submitter_email")
     )
+    listed = lookup_join(tables.url_submissions, people, ["user_id"], "inner", ["url_id"]).join(per_url, "url_id", "left")
     return (
-        rollups.zero_if_null(lookup_join(listed, people, ["user_id"], "inner", ["url_id"]), "matched_rules_count")
+        rollups.zero_if_null(listed, "matched_rules_count")
         .select(
             "url_id",
             "url",
@@ -308,7 +314,13 @@ def vote_conflicts(tables: Tables, limit: int | None = 10) -> DataFrame:
         "url_id", F.col("label").alias("review_status"), F.col("description").alias("review_description")
     ).agg(F.count(F.lit(1)).alias("reviews"))
     joined = lookup_join(
-        reviews, contradicted, ["url_id"], "inner", ["review_status", "review_description"], small=False
+        reviews,
+        contradicted,
+        ["url_id"],
+        "inner",
+        ["review_status", "review_description"],
+        small=False,
+        sizes_from=tables.statuses,
     )
     times = F.col("reviews")
     return _limited(
@@ -359,7 +371,13 @@ def risk_rankings(tables: Tables, limit: int | None = 20) -> DataFrame:
         ranked = with_rank(scores, "risk_score", "risk_rank")
         votes = rollups.votes_by_url(tables.votes).select("url_id", "vote_count", "avg_vote_value")
         described = lookup_join(
-            ranked, urls.join(votes, "url_id", "left"), ["url_id"], "inner", ["avg_score", "risk_level"], small=False
+            ranked,
+            urls.join(votes, "url_id", "left"),
+            ["url_id"],
+            "inner",
+            ["avg_score", "risk_level"],
+            small=False,
+            sizes_from=tables.url_score_comparisons,
         )
     else:
         order = [
@@ -404,7 +422,9 @@ def url_analysis_report(tables: Tables) -> DataFrame:
         (F.col("rules_triggered") > 0) | (F.col("voters_count") > 0)
     )
     scores = tables.url_score_comparisons.select("url_id", "avg_score").distinct()
-    return expand_join(report, scores, ["url_id"], ["avg_score"], small=False).select(
+    return expand_join(
+        report, scores, ["url_id"], ["avg_score"], small=False, sizes_from=tables.url_score_comparisons
+    ).select(
         "url_id",
         "url",
         "url_domain",
@@ -482,7 +502,7 @@ def review_timeline(tables: Tables, as_of: datetime, days: int = 30) -> DataFram
     )
     micros = micros_between(F.col("submission_date"), F.col("review_date"))
     return (
-        lookup_join(history, reviewers, ["reviewer_id"], "left", ["url_id", "status_id"])
+        lookup_join(history, reviewers, ["reviewer_id"], "left", ["url_id", "status_id"], sizes_from=tables.statuses)
         .select(
             "url_id",
             "url",

@@ -49,10 +49,11 @@ def rule_hits(
     batch = []
 
     def close_batch():
-        entries = [
-            F.when(_hits(r, long_url), F.struct(F.lit(r.rule_id).cast("bigint").alias("rule_id"), _note(r, long_url).alias("match_details")))
-            for r in batch
-        ]
+        entries = []
+        for rule in batch:
+            rule_id = F.lit(rule.rule_id).cast("bigint")
+            found = F.struct(rule_id.alias("rule_id"), _note(rule, long_url).alias("match_details"))
+            entries.append(F.when(_hits(rule, long_url), found))
         passes.append(source.select("url_id", F.inline(F.array_compact(F.array(*entries)))))
 
     for rule in catalogue.toLocalIterator():
@@ -63,7 +64,8 @@ def rule_hits(
     if batch:
         close_batch()
     if not passes:
-        return source.where(F.lit(False)).select("url_id", F.lit(0).cast("bigint").alias("rule_id"), _text("").alias("match_details"))
+        nothing = source.where(F.lit(False))
+        return nothing.select("url_id", F.lit(0).cast("bigint").alias("rule_id"), _text("").alias("match_details"))
     hits = passes[0]
     for more in passes[1:]:
         hits = hits.unionByName(more)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snarelight.functions.text import code_label, like_any_case
-from snarelight.model import Tables
+from snarelight.model import RISK_LEVELS, Tables
 from snarelight.operators import rollups
+from snarelight.operators.catalogue import with_catalogue
 from snarelight.operators.skew import lookup_join
 from snarelight.operators.topk import rows_of, top_rows, with_people_and_votes
-from snarelight.operators.catalogue import with_catalogue
 
 
 @dataclass(frozen=True)
@@ -155,100 +156,65 @@ def available_rules(tables: Tables, url_ids: DataFrame | None = None) -> DataFra
     )
 
 
-def url_dossier(tables: Tables, url_ids: DataFrame | None = None) -> DataFrame:
-    """Everything known about each URL, one row per fact.
-
-    Sections are url, rule, status, vote and score. Facts stay rows rather than nested
-    lists: a URL with a very large share of the votes must not become one record. Sorting
-    by (url_id, section, sort_text desc, sort_time desc, name) gives the page order: rules
-    by risk text downwards and then name, the other sections newest first.
-    """
+def dossier_sections(tables: Tables, url_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All that is known about each URL (all URLs, or the ids given), one table per section."""
 
-    def wanted(df: DataFrame, spread: str) -> DataFrame:
+    def wanted(df: DataFrame, row_id: str) -> DataFrame:
         if url_ids is None:
             return df
-        return lookup_join(df, url_ids.select("url_id").distinct(), ["url_id"], "left_semi", [spread])
-
-    def facts(df: DataFrame, section: str, **columns) -> DataFrame:
-        empty = {
-            "item_id": F.lit(None).cast("bigint"),
-            "sort_text": F.lit(None).cast("string"),
-            "sort_time": F.lit(None).cast("timestamp_ntz"),
-            "name": F.lit(None).cast("string"),
-            "kind": F.lit(None).cast("string"),
-            "code": F.lit(None).cast("string"),
-            "detail": F.lit(None).cast("string"),
-            "number": F.lit(None).cast("double"),
-            "second_number": F.lit(None).cast("double"),
-        }
-        chosen = empty | {k: F.col(v) if isinstance(v, str) else v for k, v in columns.items()}
-        return df.select("url_id", F.lit(section).alias("section"), *[c.alias(n) for n, c in chosen.items()])
-
-    people = tables.users.select("user_id", F.col("name").alias("person"), "role", "email")
-    header = lookup_join(wanted(tables.url_submissions, "url_id"), people, ["user_id"], "inner", ["url_id"])
-    rules = lookup_join(
-        wanted(tables.url_rule_matches, "match_id"),
-        tables.rules.select("rule_id", "rule_name", "risk_level", "rule_type"),
-        ["rule_id"],
-        "inner",
-        ["match_id"],
+        return lookup_join(df, url_ids.select("url_id").distinct(), ["url_id"], "left_semi", [row_id])
+
+    def people(key: str, *roles: str) -> DataFrame:
+        return tables.users.select(F.col("user_id").alias(key), *[F.col(c).alias(a) for c, a in map(str.split, roles)])
+
+    submitters = people("user_id", "name submitter_name", "email submitter_email", "role submitter_role")
+    reviewers = people("reviewer_id", "name reviewer_name")
+    voters = people("user_id", "name voter_name", "role voter_role")
+    rules = tables.rules.select("rule_id", "rule_name", "risk_level", "rule_type")
+    t = tables
+    header = lookup_join(
+        wanted(t.url_submissions, "url_id"), submitters, ["user_id"], "inner", ["url_id"], sizes_from=t.url_submissions
     )
-    reviewers = people.select(F.col("user_id").alias("reviewer_id"), "person")
-    statuses = lookup_join(wanted(tables.statuses, "status_id"), reviewers, ["reviewer_id"], "left", ["status_id"])
-    votes = lookup_join(wanted(tables.votes, "vote_id"), people, ["user_id"], "inner", ["vote_id"])
-    sections = [
-        facts(
-            header,
-            "url",
-            item_id="user_id",
-            sort_time="created_at",
-            name="person",
-            kind="role",
-            code="result_code",
-            detail="url",
-            sort_text="url_domain",
-        ),
-        facts(
-            rules,
-            "rule",
-            item_id="rule_id",
-            sort_text="risk_level",
-            sort_time="matched_at",
-            name="rule_name",
-            kind="rule_type",
-            detail="match_details",
-        ),
-        facts(
-            statuses,
-            "status",
-            item_id="status_id",
-            sort_time="created_at",
-            name="label",
-            kind="person",
-            code="result_code",
-            detail="description",
-        ),
-        facts(
-            votes,
-            "vote",
-            item_id="vote_id",
-            sort_time="created_at",
-            name="person",
-            kind="role",
-            number=F.col("vote_value").cast("double"),
-        ),
-        facts(
-            wanted(tables.url_score_comparisons, "rep_id"),
-            "score",
-            item_id="rep_id",
-            sort_time="created_at",
-            name="external_source",
-            code="risk_level",
-            number="avg_score",
-            second_number="online_score",
+    matches = lookup_join(
+        wanted(t.url_rule_matches, "match_id"), rules, ["rule_id"], "inner", ["match_id"], sizes_from=t.url_rule_matches
+    )
+    reviews = lookup_join(
+        wanted(t.statuses, "status_id"), reviewers, ["reviewer_id"], "left", ["status_id"], sizes_from=t.statuses
+    )
+    votes = lookup_join(wanted(t.votes, "vote_id"), voters, ["user_id"], "inner", ["vote_id"], sizes_from=t.votes)
+    return {
+        "url": header,
+        "rule": matches,
+        "status": reviews.select(
+            "url_id", "status_id", "label", "result_code", "description", "created_at", "reviewer_name"
         ),
-    ]
-    dossier = sections[0]
-    for section in sections[1:]:
-        dossier = dossier.unionByName(section)
-    return dossier
+        "vote": votes.select("url_id", "vote_id", "voter_name", "voter_role", "vote_value", "created_at"),
+        "score": wanted(t.url_score_comparisons, "rep_id"),
+    }
+
+
+def url_dossier(tables: Tables, url_ids: DataFrame | None = None) -> DataFrame:
+    """The dossier as one table: a row per fact with its section, other sections' columns NULL.
+
+    Facts stay rows rather than nested lists: a URL with a very large share of the votes
+    must not become one record.
+    """
+    parts = [df.withColumn("section", F.lit(name)) for name, df in dossier_sections(tables, url_ids).items()]
+    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
+
+
+def in_page_order(dossier: DataFrame, by_severity: bool = False) -> DataFrame:
+    """Rules by risk level downwards (as text, or by severity) and name, other sections newest first."""
+    risk = F.col("risk_level")
+    if by_severity:
+        risk = F.array_position(F.lit(list(RISK_LEVELS)), risk)
+    return dossier.orderBy(
+        "url_id",
+        "section",
+        F.desc_nulls_last(F.when(F.col("section") == "rule", risk)),
+        F.asc_nulls_first("rule_name"),
+        F.desc_nulls_last("created_at"),
+        "status_id",
+        "vote_id",
+        "rep_id",
+    )

@@ -144,8 +144,8 @@ def test_facets(seed):
 def test_dossier_and_available_rules(seed, spark):
     ids = spark.createDataFrame([(1,)], "url_id bigint")
     dossier = search.url_dossier(seed, ids)
-    order = ["section", F.desc("sort_text"), F.desc("sort_time"), "name"]
-    got = [(r.section, r.name) for r in dossier.orderBy(*order).collect()]
+    title = F.coalesce("rule_name", "label", "voter_name", "external_source", "submitter_name")
+    got = rows(search.in_page_order(dossier), "section", title)
     assert got == [
         ("rule", "Suspicious TLD"),
         ("rule", "Suspicious Domain Pattern"),
@@ -153,9 +153,11 @@ def test_dossier_and_available_rules(seed, spark):
         ("score", "VirusTotal"),
         ("status", "Confirmed Phishing"),
         ("url", "John Doe"),
-        ("vote", "Jane Smith"),
         ("vote", "John Doe"),
+        ("vote", "Jane Smith"),
     ]
+    by_severity = search.in_page_order(dossier, by_severity=True).where("section = 'rule'")
+    assert rows(by_severity, "risk_level") == [("high",), ("high",), ("medium",)]
     free = search.available_rules(seed, ids).first()
     assert [r.rule_id for r in free.available_rules] == [2, 4, 5, 6, 8]
 
