@@ -56,19 +56,9 @@ def lookup_join(
     if small:
         return many.join(F.broadcast(one), keys, how)
     hot = F.broadcast(_hot_keys(many if sizes_from is None else sizes_from, keys, hot_rows))
-    no_key: Column = reduce(or_, [F.col(k).isNull() for k in keys])
-    salt = F.xxhash64(*(spread or many.columns))
-    salted_many = many.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.when(no_key, F.pmod(salt, F.lit(NULL_SALTS)))
-        .when(F.col("_salts").isNotNull(), F.pmod(salt, F.col("_salts")))
-        .otherwise(F.lit(0).cast("bigint")),
-    )
-    last_salt = F.coalesce(F.col("_salts"), F.lit(1)) - 1
-    salts = F.sequence(F.lit(0).cast("bigint"), last_salt)
-    salted_one = one.join(hot, keys, "left").withColumn("_salt", F.explode(salts))
-    joined = salted_many.drop("_salts").join(salted_one.drop("_salts"), [*keys, "_salt"], how)
-    return joined.drop("_salt")
+    salted_many = _spread(many, hot, keys, spread).drop("_salts")
+    salted_one = _copied(one, hot, keys).drop("_salts")
+    return salted_many.join(salted_one, [*keys, "_salt"], how).drop("_salt")
 
 
 def expand_join(
@@ -80,7 +70,33 @@ def expand_join(
     sizes_from: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Left outer join from the unique side: every row of ``one`` with all its ``many`` rows."""
-    matched = lookup_join(many, one, keys, "inner", spread, small, sizes_from, hot_rows)
-    unmatched = one.join(many.select(*keys).distinct(), keys, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    """Left outer join from the unique side: every row of ``one`` with all its ``many`` rows.
+
+    ``sizes_from``, where given, must have the same keys as ``many``.
+    """
+    hot = F.broadcast(_hot_keys(many if sizes_from is None else sizes_from, keys, hot_rows))
+    if is_small(one) if small is None else small:
+        many = many.join(F.broadcast(one.select(*keys)), keys, "left_semi")
+    salted_many = _spread(many, hot, keys, spread).drop("_salts").withColumn("_match", F.lit(True))
+    joined = _copied(one, hot, keys).join(salted_many, [*keys, "_salt"], "left")
+    # A hot key has rows, so a copy of its ``one`` row that met none is not a result.
+    return joined.where(F.col("_match").isNotNull() | F.col("_salts").isNull()).drop("_match", "_salt", "_salts")
+
+
+def _spread(many: DataFrame, hot: DataFrame, keys: list[str], spread: list[str] | None) -> DataFrame:
+    """Rows of hot keys, and rows without a key, get one of several salts; the others salt 0."""
+    no_key: Column = reduce(or_, [F.col(k).isNull() for k in keys])
+    salt = F.xxhash64(*(spread or many.columns))
+    return many.join(hot, keys, "left").withColumn(
+        "_salt",
+        F.when(no_key, F.pmod(salt, F.lit(NULL_SALTS)))
+        .when(F.col("_salts").isNotNull(), F.pmod(salt, F.col("_salts")))
+        .otherwise(F.lit(0).cast("bigint")),
+    )
+
+
+def _copied(one: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of hot keys once per salt, the others once."""
+    last_salt = F.coalesce(F.col("_salts"), F.lit(1)) - 1
+    salts = F.sequence(F.lit(0).cast("bigint"), last_salt)
+    return one.join(hot, keys, "left").withColumn("_salt", F.explode(salts))

@@ -24,7 +24,7 @@ from snarelight.functions.verdicts import (
 from snarelight.model import LEGITIMATE, PHISHING, SUSPICIOUS, Tables
 from snarelight.operators import rollups
 from snarelight.operators.positions import with_group_positions, with_rank
-from snarelight.operators.skew import expand_join, lookup_join
+from snarelight.operators.skew import BROADCAST_ROWS, expand_join, lookup_join
 from snarelight.operators.topk import rows_of, top_rows, with_people_and_votes
 
 # The top-level domains the category report lists.
@@ -363,11 +363,12 @@ def risk_rankings(tables: Tables, limit: int | None = 20) -> DataFrame:
 
     Only ids and scores are ranked; texts and votes are joined afterwards. Limited: the top
     rows are cut first, so the rank window sees only them (a rank inside a prefix of the
-    order equals the global rank). Unlimited: ranks are running counts over distinct scores.
+    order equals the global rank). Without a limit, or with a large one, ranks are running
+    counts over the distinct scores.
     """
     scores = _url_scores(tables)
     urls = tables.url_submissions.select("url_id", "url", "url_domain", "result_code")
-    if limit is None:
+    if limit is None or limit > BROADCAST_ROWS:
         ranked = with_rank(scores, "risk_score", "risk_rank")
         votes = rollups.votes_by_url(tables.votes).select("url_id", "vote_count", "avg_vote_value")
         described = lookup_join(
@@ -392,7 +393,7 @@ def risk_rankings(tables: Tables, limit: int | None = 20) -> DataFrame:
         described = ranked.join(rows_of(urls, top, "url_id", limit), "url_id").join(
             votes.select("url_id", "vote_count", "avg_vote_value"), "url_id", "left"
         )
-    return described.select(
+    ranking = described.select(
         "url_id",
         "url",
         "url_domain",
@@ -403,7 +404,8 @@ def risk_rankings(tables: Tables, limit: int | None = 20) -> DataFrame:
         "avg_vote_value",
         "risk_rank",
         by_average(F.col("avg_vote_value"), AGREEMENT_VOTE, AGREEMENT_LABELS).alias("agreement_status"),
-    ).orderBy("risk_rank", "url_id", F.asc_nulls_first("risk_level"))
+    )
+    return _limited(ranking.orderBy("risk_rank", "url_id", F.asc_nulls_first("risk_level")), limit)
 
 
 def url_analysis_report(tables: Tables) -> DataFrame:
