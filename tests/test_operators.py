@@ -52,10 +52,10 @@ def test_half_brackets_are_malformed(spark):
 
 
 def test_text_helpers(spark):
-    df = spark.createDataFrame([("  x\n",), ("  ",), ("",), (None,)], "t string")
+    df = spark.createDataFrame([(" \u2003x\n",), ("  ",), ("",), (None,)], "t string")
     assert rows(df.select(text.strip("t"))) == [("x",), ("",), ("",), (None,)]
     assert rows(df.select(text.strip_or(F.col("t"), "d"))) == [("x",), ("",), ("d",), ("d",)]
-    assert rows(df.select(text.code_label(F.col("t")))) == [("  x\n",), ("  ",), ("UNKNOWN",), ("UNKNOWN",)]
+    assert rows(df.select(text.code_label(F.col("t")))) == [(" \u2003x\n",), ("  ",), ("UNKNOWN",), ("UNKNOWN",)]
     pct = spark.createDataFrame([(12.345,), (None,)], "p double").select(text.percent_text(F.col("p")))
     assert rows(pct) == [("12.35%",), ("0.00%",)]
     when = spark.createDataFrame([(START,)], "t timestamp_ntz").select(text.minute_text(F.col("t")))
