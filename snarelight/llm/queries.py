@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snarelight.llm import decontaminate, mixing, quality, sharding
+from snarelight.llm import chat, decontaminate, mixing, quality, secrets, sharding
 from snarelight.llm.common import table
 from snarelight.llm.oracles import ORACLES
 
 
+def _count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def _written(spans: Column | str) -> Column:
+    """kind:start:end, comma-joined."""
+    parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(parts, ",")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
@@ -25,10 +36,30 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    counts = [_count_of("spans", k).alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written("spans").alias("spans")
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24, keep=["doc_id"])
 
 
+#: Added to the conversations: control strings inside texts.
+ESCAPE_TEST = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(ESCAPE_TEST, "conv_id bigint, turn bigint, role string, text string")
+    ranks = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return chat.read_back(*chat.format_chats(given.unionByName(extra), ranks, public_tokenizers.PATTERN))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality.METRICS, "base_failed", "kept")
@@ -41,7 +72,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_secrets": op4_secrets,
     "op6_sharding": op6_sharding,
+    "op7_chat_formatting": op7_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
