@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snarelight.llm import chat, decontaminate, mixing, quality, secrets, sharding
+from snarelight.llm import chat, decontaminate, lm, mixing, quality, secrets, sharding
 from snarelight.llm.common import table
 from snarelight.llm.oracles import ORACLES
 
@@ -45,6 +45,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 24, keep=["doc_id"])
 
@@ -73,6 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_secrets": op4_secrets,
+    "op5_suffix_tree_lm": op5_suffix_tree_lm,
     "op6_sharding": op6_sharding,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
