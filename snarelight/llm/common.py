@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -80,6 +81,29 @@ def hot_join(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame
     return spread.drop("_salts").join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Bits of a key filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, column: str) -> bytes:
+    """A bitmap with the bit of each key (a long) set: what is not in it is none of ``keys``.
+
+    Its size is fixed. With very many keys it fills up and lets everything through; an exact join
+    has to follow in any case.
+    """
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = keys.select((bit / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
+    return bits.tobytes()
+
+
+def may_hold(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
+    bit = np.mod(keys, FILTER_BITS)
+    return (np.frombuffer(bitmap, np.uint32)[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """The batches cut so that each has about SLICE_BYTES of ``column``; with its values as bytes or None."""
     for batch in batches:
@@ -93,6 +117,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
 
 
 __all__ = [
-    "LOWER", "SPACES", "UPPER", "WORD", "hot_join", "is_small", "lookup_join", "lowered", "slices", "stored", "table",
+    "FILTER_BITS", "LOWER", "SPACES", "UPPER", "WORD", "hot_join", "is_small", "key_filter", "lookup_join", "lowered", "may_hold", "slices", "stored", "table",
     "with_running_totals", "without",
 ]
