@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snarelight.llm import chat, decontaminate, jaccard, lm, mixing, quality, repeats, secrets, sharding
+from snarelight.llm import chat, decontaminate, jaccard, lm, mixing, personal, quality, repeats, secrets, sharding
 from snarelight.llm.common import table
 from snarelight.llm.oracles import ORACLES
 
@@ -36,6 +36,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [_count_of("base_spans", k).alias(f"n_{k}") for k in personal.KINDS]
+    digest = F.sha2(_written("base_spans").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, _written("spans").alias("spans"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("removed")
 
@@ -84,6 +91,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_personal_data": op2_personal_data,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secrets": op4_secrets,
     "op5_suffix_tree_lm": op5_suffix_tree_lm,
