@@ -73,11 +73,11 @@ def hot_join(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame
     total = counts.agg(F.sum("_rows")).first()[0] or 0
     share = max(64, total // (4 * parts))
     hot = F.broadcast(counts.where(F.col("_rows") > share).select(*keys, F.ceil(F.col("_rows") / share).alias("_salts")))
-    spread = many.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.floor(F.rand(7) * F.col("_salts"))).cast("long")
-    )
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    copied = one.join(hot, keys, "left").withColumn("_salt", F.explode(copies).cast("long")).drop("_salts")
+    # A row's salt follows from the row, so a task that runs again deals its rows alike.
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.col("_salts"))
+    spread = many.join(hot, keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("long"))
+    last = F.coalesce(F.col("_salts"), F.lit(1)).cast("long") - 1
+    copied = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_salts")
     return spread.drop("_salts").join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
