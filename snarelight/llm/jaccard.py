@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import hot_join, key_filter, may_hold, slices, stored, without
+from snarelight.llm.common import hot_join, key_filter, lookup_join, may_hold, slices, stored, without
 from snarelight.llm.components import components
 
 SHINGLE = 3
@@ -306,10 +306,13 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str)
     return stored(both.where((WHOLE + PART) * shared >= PART * total).select("a", "b"), "linked")
 
 
-def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def join_components(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, label: str | None = None
+) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all but the text) with n_shingles and component_id.
 
     component_id is the smallest doc_id of the documents connected by links; without a set, the own id.
+    ``label`` names a column to add that tells components apart even where ids repeat (null: no set).
     """
     kept = [c for c in without(docs, RESULTS).columns if c != text] if keep is None else keep
     found = stored(_fingerprints(docs, text, list(dict.fromkeys([*kept, doc_id])), _common(docs, text)), "fingerprints")
@@ -337,8 +340,30 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sets = copies.join(entries.select("_set", "id"), "_set").join(labels.withColumnRenamed("node", "id"), "id", "left")
     sets = stored(sets.withColumn("label", F.coalesce("label", "id")), "sets")
     least = sets.groupBy("label").agg(F.min("_least").alias("component_id"))
-    named_sets = sets.join(least, "label").select("_set", "component_id")
-    empty = found.where("_set is null").withColumn("component_id", F.col(doc_id))
+    named_sets = sets.join(least, "label").select("_set", "component_id", "label")
+    empty = found.where("_set is null").withColumn("component_id", F.col(doc_id)).withColumn("label", F.lit(None).cast("long"))
     full = hot_join(with_set, named_sets, ["_set"], copies.select("_set", "_rows"))
     columns = [*[F.col(f"`{c}`") for c in kept], F.col("n_shingles"), F.col("component_id")]
+    columns += [F.col("label").alias(label)] if label else []
     return full.select(*columns).union(empty.select(*columns))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id (then text hash); rows without a set stay."""
+    marked = docs.withColumn("_key", F.coalesce(F.col(doc_id).cast("string"), F.lit("~")))
+    marked = marked.withColumn("_hash", F.coalesce(F.xxhash64(text), F.lit(0).cast("long")))
+    found = stored(join_components(marked, text, doc_id, [doc_id, "_key", "_hash"], "_label").where("_label is not null"), "grouped")
+    best = found.groupBy("_label").agg(F.min(F.struct(doc_id, "_key", "_hash")).alias("_best"), F.count(F.lit(1)).alias("_rows"))
+    several = stored(best.where("_rows > 1"), "several")
+    members = hot_join(found, several.select("_label", "_best"), ["_label"], several.select("_label", "_rows"))
+    loser = (F.col("_key") != F.col("_best._key")) | (F.col("_hash") != F.col("_best._hash"))
+    losers = stored(members.where(loser).select("_key", "_hash").distinct(), "losers")
+    kept = lookup_join(marked, losers, ["_key", "_hash"], "left_anti")
+    # Repeated rows of a winner: same id and text.
+    repeated = found.groupBy("_key", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key", "_hash")
+    repeated = stored(repeated.join(losers, ["_key", "_hash"], "left_anti"), "repeated")
+    if not repeated.isEmpty():
+        single = lookup_join(kept, repeated, ["_key", "_hash"], "left_anti")
+        again = lookup_join(kept, repeated, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"])
+        kept = single.unionByName(again)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
