@@ -17,7 +17,18 @@ _START = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
 # Past the user info and, for a bracketed address, the opening bracket.
 _HOST = _START + r"(?:[^/?#]*@)?+(?:[^\[/?#]*\[)?+((?<=\[)[^\]/?#]+|(?<!\[)[^:/?#]+)"
 _LAST_LABEL = r"\.([^.]*)\z"
-_ONE_BRACKET = _START + r"(?:[^/?#\[]*\][^/?#\[]*|[^/?#\]]*\[[^/?#\]]*)(?:[/?#]|$)"
+_AUTHORITY = _START + r"([^/?#]*)"
+# What stands before the host ends at the last '@'; a host with brackets is all in them.
+_BRACKETED = r"^(?:.*@)?\[([^\[\]]*)\](?::.*)?\z"
+_FUTURE_HOST = r"^v[0-9A-Fa-f]+\..+\z"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4_TAIL = rf":(?:{_OCTET}\.){{3}}{_OCTET}\z"
+_H = "[0-9A-Fa-f]{1,4}"
+# Eight groups, or fewer with one '::' for the groups left out.
+_IPV6 = "^(?:" + "|".join(
+    [rf"(?:{_H}:){{7}}{_H}", rf"(?:{_H}:){{1,7}}:", rf":(?::{_H}){{1,7}}", "::"]
+    + [rf"(?:{_H}:){{1,{n}}}(?::{_H}){{1,{7 - n}}}" for n in range(1, 7)]
+) + r")(?:%[^%]+)?\z"
 
 
 def _without_breaks(url: Column) -> Column:
@@ -48,9 +59,14 @@ def domain_tld(domain: Column) -> Column:
     return F.concat(F.lit("."), F.get(_all(domain, _LAST_LABEL), F.lit(0)))
 
 
-def broken_brackets(url: Column) -> Column:
-    """An authority with only one kind of bracket cannot be parsed."""
-    return _without_breaks(url).rlike(_ONE_BRACKET)
+def malformed_host(url: Column) -> Column:
+    """Whether the authority has brackets that don't hold an IPv6 or a future address, and nothing else."""
+    authority = F.regexp_extract(_without_breaks(url), _AUTHORITY, 1)
+    host = F.regexp_extract(authority, _BRACKETED, 1)
+    # An IPv4 tail stands for two groups.
+    address = F.regexp_replace(host, _IPV4_TAIL, ":0:0")
+    good = authority.rlike(_BRACKETED) & (host.rlike(_FUTURE_HOST) | address.rlike(_IPV6))
+    return authority.rlike(r"[\[\]]") & ~good
 
 
 def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:

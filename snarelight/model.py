@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Codes stored in the tables.
@@ -79,9 +81,24 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+IDS = {
+    "users": "user_id",
+    "url_submissions": "url_id",
+    "rules": "rule_id",
+    "url_rule_matches": "match_id",
+    "statuses": "status_id",
+    "votes": "vote_id",
+    "url_score_comparisons": "rep_id",
+}
+
+
 @dataclass(frozen=True)
 class Tables:
-    """One consistent snapshot of the seven tables."""
+    """One consistent snapshot of the seven tables.
+
+    ``last_ids`` has the highest id ever given out in a table, where rows have been deleted
+    since: ids are never given out again.
+    """
 
     users: DataFrame
     url_submissions: DataFrame
@@ -90,10 +107,11 @@ class Tables:
     statuses: DataFrame
     votes: DataFrame
     url_score_comparisons: DataFrame
+    last_ids: Mapping[str, int] = field(default_factory=dict)
 
     @classmethod
     def names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+        return [f.name for f in fields(cls) if f.name != "last_ids"]
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Tables":
@@ -103,5 +121,14 @@ class Tables:
     def spark(self) -> SparkSession:
         return self.users.sparkSession
 
+    def last_id(self, name: str) -> int:
+        """The highest id ever given out in a table."""
+        highest = getattr(self, name).agg(F.max(IDS[name])).first()[0] or 0
+        return max(highest, self.last_ids.get(name, 0))
+
+    def remembering(self, *names: str) -> "Tables":
+        """The same tables with their last ids noted (default: of all): to be called before rows are deleted."""
+        return replace(self, last_ids={**self.last_ids, **{n: self.last_id(n) for n in names or self.names()}})
+
     def with_tables(self, **changed: DataFrame) -> "Tables":
         return replace(self, **changed)

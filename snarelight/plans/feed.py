@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from snarelight.functions.text import blank_to_null, strip, strip_or
 from snarelight.functions.times import moment
-from snarelight.functions.urls import with_url_parts
+from snarelight.functions.urls import malformed_host, with_url_parts
 from snarelight.model import PHISHING, Tables
 from snarelight.operators.positions import with_new_ids
 from snarelight.operators.topk import top_rows
-from snarelight.plans.maintenance import Change, highest_id, shaped
+from snarelight.plans.maintenance import Change, shaped
 
 FEED_EMAIL = "threat-feed@snarelight.example"
 # Feed names, label prefix and the batch size.
@@ -28,9 +28,10 @@ def ensure_feed_user(
     tables: Tables, as_of: datetime, email: str = FEED_EMAIL, name: str = FEED_NAME
 ) -> Tables:
     """Adds the feed's account unless the email is taken."""
+    highest = F.coalesce(tables.users.agg(F.max("user_id")).scalar(), F.lit(0))
     missing = tables.users.where(F.col("email") == email).agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
     account = missing.select(
-        (F.coalesce(tables.users.agg(F.max("user_id")).scalar(), F.lit(0)) + 1).alias("user_id"),
+        (F.greatest(highest, F.lit(tables.last_ids.get("users", 0))) + 1).alias("user_id"),
         F.lit(name).alias("name"),
         F.lit(email).alias("email"),
         F.lit(FEED_ROLE).alias("role"),
@@ -43,15 +44,25 @@ def _or_now(text: Column, as_of: datetime) -> Column:
     return F.coalesce(text.try_cast("timestamp_ntz"), moment(as_of))
 
 
+def _with_urls(feed: DataFrame) -> DataFrame:
+    return feed.withColumn("url", strip(F.coalesce("url", F.lit("")))).where(F.col("url") != "")
+
+
+def feed_rejects(feed: DataFrame) -> DataFrame:
+    """Feed rows whose URL has no valid host: seq, url and reason."""
+    bad = _with_urls(feed).where(malformed_host(F.col("url")))
+    return bad.select("seq", "url", F.lit("malformed_host").alias("reason"))
+
+
 def feed_details(feed: DataFrame, as_of: datetime) -> DataFrame:
-    """Feed rows (seq and the CSV columns as text) with URL parts and review text; blank URLs dropped.
+    """Feed rows (seq and the CSV columns as text) with URL parts and review text; blank and malformed URLs dropped.
 
     Plain projections, so streams use them too.
     """
     added, seen = blank_to_null(F.col("dateadded")), blank_to_null(F.col("last_online"))
     status = F.coalesce(blank_to_null(strip_or(F.col("url_status"), "unknown")), F.lit("unknown"))
     tags = F.coalesce(blank_to_null(strip_or(F.col("tags"), "n/a")), F.lit("n/a"))
-    rows = feed.withColumn("url", strip(F.coalesce("url", F.lit("")))).where(F.col("url") != "")
+    rows = _with_urls(feed).where(~malformed_host(F.col("url")))
     return with_url_parts(rows).select(
         "seq",
         "url",
@@ -78,10 +89,11 @@ def first_per_url(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FeedImport:
-    """``inserted`` holds the new rows; ``summary`` one row with inserted and skipped."""
+    """``inserted`` holds the new rows; ``summary`` one row with inserted and skipped; ``rejected`` the malformed URLs."""
 
     inserted: DataFrame
     summary: DataFrame
+    rejected: DataFrame
 
 
 def feed_import(tables: Tables, feed: DataFrame, as_of: datetime, limit: int = FEED_LIMIT) -> FeedImport:
@@ -101,7 +113,7 @@ def feed_import(tables: Tables, feed: DataFrame, as_of: datetime, limit: int = F
     summary = read.agg(F.count(F.lit(1)).alias("read")).select(
         inserted.alias("inserted"), (F.col("read") - inserted).alias("skipped")
     )
-    return FeedImport(fresh, summary)
+    return FeedImport(fresh, summary, feed_rejects(feed))
 
 
 def store_feed(
@@ -116,9 +128,9 @@ def store_feed(
     ready = ensure_feed_user(tables, as_of, email)
     owner = ready.users.where(F.col("email") == email).agg(F.min("user_id")).scalar()
     if last_url_id is None:
-        last_url_id = highest_id(tables.url_submissions, "url_id")
+        last_url_id = tables.last_id("url_submissions")
     if last_status_id is None:
-        last_status_id = highest_id(tables.statuses, "status_id")
+        last_status_id = tables.last_id("statuses")
     numbered = with_new_ids(inserted, [F.col("seq").asc()], "url_id", last_url_id)
     urls = numbered.withColumn("user_id", owner).withColumn("updated_at", F.lit(None))
     reviews = (

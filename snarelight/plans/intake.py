@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from snarelight.functions.text import blank_to_null, like_any_case, strip
 from snarelight.functions.times import moment
-from snarelight.functions.urls import broken_brackets, url_scheme, with_url_parts
+from snarelight.functions.urls import malformed_host, url_scheme, with_url_parts
 from snarelight.model import SUSPICIOUS, Tables
 from snarelight.operators import rollups
 from snarelight.operators.catalogue import with_catalogue
 from snarelight.operators.positions import with_new_ids
-from snarelight.operators.skew import lookup_join
-from snarelight.plans.maintenance import Change, highest_id, shaped
+from snarelight.operators.skew import is_small, lookup_join
+from snarelight.plans.maintenance import Change, shaped
+from snarelight.session import stored
 
 # Limits of the input forms.
 MAX_URL, MAX_NOTE, MAX_EMAIL, MIN_NAME = 2048, 500, 255, 2
@@ -65,7 +66,7 @@ def checked_urls(requests: DataFrame) -> DataFrame:
             ("url_required", url == ""),
             ("invalid_characters", (F.length(url) > MAX_URL) | url.rlike(FORBIDDEN_IN_URL)),
             ("not_signed_in", F.coalesce(F.col("user_id"), F.lit(0)) == 0),
-            ("malformed_host", broken_brackets(url)),
+            ("malformed_host", malformed_host(url)),
         ]
     )
     return (
@@ -84,6 +85,7 @@ def submit_urls(tables: Tables, requests: DataFrame) -> Intake:
     rows = rows.withColumn(
         "reason", F.coalesce("reason", F.when(F.col("_user").isNull(), F.lit("unknown_user")))
     ).drop("_user")
+    rows = stored(rows, "checked")  # read twice: for the first of each URL, and to mark the others
     first = (
         rows.where(F.col("reason").isNull())
         .groupBy("url")
@@ -95,7 +97,7 @@ def submit_urls(tables: Tables, requests: DataFrame) -> Intake:
 
 def store_submissions(tables: Tables, accepted: DataFrame, as_of: datetime, last_id: int | None = None) -> Change:
     if last_id is None:
-        last_id = highest_id(tables.url_submissions, "url_id")
+        last_id = tables.last_id("url_submissions")
     added = (
         with_new_ids(accepted, [F.col("seq").asc()], "url_id", last_id)
         .withColumn("created_at", moment(as_of))
@@ -125,6 +127,7 @@ def register_users(tables: Tables, requests: DataFrame) -> Intake:
             ]
         ),
     )
+    rows = stored(rows, "checked")
     first = (
         rows.where(F.col("reason").isNull())
         .groupBy("email")
@@ -162,6 +165,7 @@ def add_rule_matches(tables: Tables, requests: DataFrame) -> Intake:
     rows = rows.withColumn(
         "reason", _reason([("unknown_url", F.col("_url").isNull()), ("unknown_rule", F.col("_rule").isNull())])
     ).drop("_url", "_rule")
+    rows = stored(rows, "checked")
     first = (
         rows.where(F.col("reason").isNull())
         .groupBy("url_id", "rule_id")
@@ -175,7 +179,7 @@ def store_matches(
     tables: Tables, accepted: DataFrame, as_of: datetime, order: list[str] = ["url_id", "rule_id"], last_id: int | None = None
 ) -> Change:
     if last_id is None:
-        last_id = highest_id(tables.url_rule_matches, "match_id")
+        last_id = tables.last_id("url_rule_matches")
     added = with_new_ids(accepted, [F.col(c).asc() for c in order], "match_id", last_id)
     added = shaped(added.withColumn("matched_at", moment(as_of)), "url_rule_matches")
     return Change(
@@ -188,7 +192,7 @@ def remove_rule_matches(tables: Tables, requests: DataFrame) -> Change:
     keys = ["match_id", "url_id"]
     asked = requests.select(*keys).distinct()
     return Change(
-        tables.with_tables(
+        tables.remembering("url_rule_matches").with_tables(
             url_rule_matches=shaped(tables.url_rule_matches.join(asked, keys, "left_anti"), "url_rule_matches")
         ),
         tables.url_rule_matches.join(asked, keys, "left_semi").select("match_id"),
@@ -211,17 +215,22 @@ def delete_submissions(
     A deleted user takes their URLs and votes along; their reviews stay without reviewer.
     """
     t = tables
-    users = _ids(user_ids, "user_id", t.users)
-    rules = _ids(rule_ids, "rule_id", t.rules)
-    owned = lookup_join(t.url_submissions.select("url_id", "user_id"), users, ["user_id"], "left_semi", ["url_id"])
-    urls = _ids(url_ids, "url_id", t.url_submissions).union(owned.select("url_id")).distinct()
+    # Each key set is read by several deletions: stored once, its size checked once.
+    users = stored(_ids(user_ids, "user_id", t.users), "users")
+    rules = stored(_ids(rule_ids, "rule_id", t.rules), "rules")
+    few_users, few_rules = is_small(users), is_small(rules)
+    owned = lookup_join(
+        t.url_submissions.select("url_id", "user_id"), users, ["user_id"], "left_semi", ["url_id"], small=few_users
+    )
+    urls = stored(_ids(url_ids, "url_id", t.url_submissions).union(owned.select("url_id")).distinct(), "urls")
+    few_urls = is_small(urls)
     removed = t.url_submissions.join(urls, "url_id", "left_semi").select("url_id")
 
     def without_urls(df: DataFrame, row_id: str) -> DataFrame:
-        return lookup_join(df, urls, ["url_id"], "left_anti", [row_id])
+        return lookup_join(df, urls, ["url_id"], "left_anti", [row_id], small=few_urls)
 
     votes = lookup_join(
-        without_urls(t.votes, "vote_id"), users, ["user_id"], "left_anti", ["vote_id"], sizes_from=t.votes
+        without_urls(t.votes, "vote_id"), users, ["user_id"], "left_anti", ["vote_id"], small=few_users, sizes_from=t.votes
     )
     matches = lookup_join(
         without_urls(t.url_rule_matches, "match_id"),
@@ -229,15 +238,22 @@ def delete_submissions(
         ["rule_id"],
         "left_anti",
         ["match_id"],
+        small=few_rules,
         sizes_from=t.url_rule_matches,
     )
     gone = users.select(F.col("user_id").alias("reviewer_id"), F.lit(True).alias("_gone"))
     statuses = lookup_join(
-        without_urls(t.statuses, "status_id"), gone, ["reviewer_id"], "left", ["status_id"], sizes_from=t.statuses
+        without_urls(t.statuses, "status_id"),
+        gone,
+        ["reviewer_id"],
+        "left",
+        ["status_id"],
+        small=few_users,
+        sizes_from=t.statuses,
     )
     statuses = statuses.withColumn("reviewer_id", F.when(F.col("_gone").isNull(), F.col("reviewer_id")))
     return Change(
-        Tables(
+        t.remembering().with_tables(
             users=shaped(t.users.join(users, "user_id", "left_anti"), "users"),
             url_submissions=shaped(t.url_submissions.join(urls, "url_id", "left_anti"), "url_submissions"),
             rules=shaped(t.rules.join(rules, "rule_id", "left_anti"), "rules"),
@@ -257,7 +273,7 @@ def link_named_rules(
     by_keyword = (F.col("rule_type") == "keyword") & like_any_case(F.col("pattern"), keyword)
     picked = tables.rules.where(F.col("rule_name").isin(*rule_names) | by_keyword).select("rule_id")
     return (
-        with_catalogue(urls.select("url_id"), picked, "_rules", "_part")
+        with_catalogue(urls.select("url_id"), picked, "_rules")
         .select("url_id", F.explode("_rules.rule_id").alias("rule_id"), F.lit(note).alias("match_details"))
         .join(tables.url_rule_matches.select("url_id", "rule_id"), ["url_id", "rule_id"], "left_anti")
     )
@@ -285,7 +301,8 @@ def add_rule_and_match(
     and runs through ``evaluate_rules``.
     """
     name = rule["rule_name"]
-    next_id = F.coalesce(tables.rules.agg(F.max("rule_id")).scalar(), F.lit(0)) + 1
+    highest = F.coalesce(tables.rules.agg(F.max("rule_id")).scalar(), F.lit(0))
+    next_id = F.greatest(highest, F.lit(tables.last_ids.get("rules", 0))) + 1
     missing = tables.rules.where(F.col("rule_name") == name).agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
     added = missing.select(next_id.alias("rule_id"), *[F.lit(v).cast("string").alias(k) for k, v in rule.items()])
     rules = tables.rules.unionByName(shaped(added, "rules"))

@@ -53,10 +53,6 @@ def shaped(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]])
 
 
-def highest_id(df: DataFrame, column: str) -> int:
-    return df.agg(F.max(column)).first()[0] or 0
-
-
 def reclassify_by_votes(tables: Tables, as_of: datetime) -> Change:
     decisive = (
         rollups.votes_by_url(tables.votes)
@@ -107,7 +103,7 @@ def cleanup_inactive(tables: Tables, as_of: datetime, days: int = 90) -> Change:
     removed = flagged.where(idle).select("url_id")
     scores = lookup_join(tables.url_score_comparisons, removed, ["url_id"], "left_anti", ["rep_id"], small=False)
     return Change(
-        tables.with_tables(
+        tables.remembering("url_submissions", "url_score_comparisons").with_tables(
             url_submissions=shaped(flagged.where(~idle), "url_submissions"),
             url_score_comparisons=shaped(scores, "url_score_comparisons"),
         ),
@@ -129,7 +125,7 @@ def cleanup_rule_matches(tables: Tables) -> Change:
         F.col("benign") & F.col("severe"), F.lit(False)
     )
     return Change(
-        tables.with_tables(url_rule_matches=shaped(joined.where(~drop), "url_rule_matches")),
+        tables.remembering("url_rule_matches").with_tables(url_rule_matches=shaped(joined.where(~drop), "url_rule_matches")),
         joined.where(drop).select("match_id"),
     )
 
@@ -228,7 +224,7 @@ def community_statuses(tables: Tables, as_of: datetime, days: int = 1, last_id:
         new_community_statuses(tables, as_of, days),
         [F.col("url_id").asc()],
         "status_id",
-        highest_id(tables.statuses, "status_id") if last_id is None else last_id,
+        tables.last_id("statuses") if last_id is None else last_id,
     )
     return Change(
         tables.with_tables(statuses=tables.statuses.unionByName(shaped(added, "statuses"))),

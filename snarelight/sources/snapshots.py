@@ -6,27 +6,20 @@ job overwrites files it reads.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snarelight.model import SCHEMAS, Tables
+from snarelight.model import IDS, SCHEMAS, Tables
 
 _MANIFEST = "version bigint, folders map<string,string>, last_ids map<string,bigint>"
-_IDS = {
-    "users": "user_id",
-    "url_submissions": "url_id",
-    "rules": "rule_id",
-    "url_rule_matches": "match_id",
-    "statuses": "status_id",
-    "votes": "vote_id",
-    "url_score_comparisons": "rep_id",
-}
 
 
 def _latest(spark: SparkSession, root: str):
     try:
-        entries = spark.read.schema(_MANIFEST).json(f"{root}/manifest")
+        entries = spark.read.schema(_MANIFEST).json(f"{root}/manifest/*")
         return entries.orderBy(F.desc("version")).first()
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
@@ -35,22 +28,27 @@ def _latest(spark: SparkSession, root: str):
 
 
 def save(tables: Tables, root: str, changed: list[str] | None = None) -> int:
-    """Writes the changed tables (default: all) and returns the new version."""
+    """Writes the changed tables (default: all) and returns the new version.
+
+    Every run writes into folders of its own; its manifest entry is created only if no other run
+    has announced that version meanwhile. The later of two runs fails and changes nothing.
+    """
     spark = tables.spark
     previous = _latest(spark, root)
     version = previous.version + 1 if previous else 1
     folders = dict(previous.folders) if previous else {}
     last_ids = dict(previous.last_ids) if previous else {}
+    run = uuid4().hex
     for name in changed if changed is not None and previous else Tables.names():
-        folder = f"{root}/v{version}/{name}"
-        getattr(tables, name).write.mode("overwrite").parquet(folder)
+        folder = f"{root}/v{version}-{run}/{name}"
+        getattr(tables, name).write.parquet(folder)
         folders[name] = folder
         stored = spark.read.schema(SCHEMAS[name]).parquet(folder)
         # Ids of deleted rows stay used: the mark never goes down.
-        highest = stored.agg(F.max(_IDS[name])).first()[0] or 0
-        last_ids[name] = max(highest, last_ids.get(name, 0))
+        highest = stored.agg(F.max(IDS[name])).first()[0] or 0
+        last_ids[name] = max(highest, last_ids.get(name, 0), tables.last_ids.get(name, 0))
     entry = spark.createDataFrame([(version, folders, last_ids)], _MANIFEST)
-    entry.coalesce(1).write.mode("append").json(f"{root}/manifest")
+    entry.coalesce(1).write.mode("errorifexists").json(f"{root}/manifest/{version}")
     return version
 
 
@@ -63,4 +61,5 @@ def load(spark: SparkSession, root: str) -> tuple[Tables, dict[str, int]]:
     def read(name: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(latest.folders[name])
 
-    return Tables(**{name: read(name) for name in Tables.names()}), dict(latest.last_ids)
+    last_ids = dict(latest.last_ids)
+    return Tables(**{name: read(name) for name in Tables.names()}, last_ids=last_ids), last_ids
