@@ -5,25 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_ROWS = 2_000
 
+def with_catalogue(df: DataFrame, catalogue: DataFrame, name: str) -> DataFrame:
+    """Adds the catalogue rows as one array, sorted by the catalogue's first columns.
 
-def with_catalogue(
-    df: DataFrame, catalogue: DataFrame, name: str, part: str, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Adds the catalogue rows as one sorted array (sorted by the catalogue's first columns).
-
-    A catalogue is a few rows, which is checked: up to ``part_rows`` it is read once as a
-    scalar subquery. A longer one is dealt into numbered parts by hash; each row of ``df``
-    then appears once per part and picks its array by an equi-join on the part number.
+    The array is read once, as a scalar subquery, and shared by all rows: no join, and the
+    same shape whatever the catalogue's size. A result row that lists rules has to hold
+    nearly all of them anyway.
     """
     entry = F.struct(*[F.col(c) for c in catalogue.columns])
-    entries = F.array_sort(F.collect_list(entry))
-    rows = catalogue.count()
-    if rows <= part_rows:
-        return df.withColumn(name, catalogue.agg(entries).scalar()).withColumn(part, F.lit(0))
-    parts = -(-rows // part_rows)
-    dealt = catalogue.withColumn(part, F.pmod(F.xxhash64(*catalogue.columns), F.lit(parts)).cast("int"))
-    arrays = dealt.groupBy(part).agg(entries.alias(name))
-    copies = df.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return copies.join(arrays, part)
+    return df.withColumn(name, catalogue.agg(F.array_sort(F.collect_list(entry))).scalar())

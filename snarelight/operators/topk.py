@@ -12,12 +12,20 @@ from pyspark.sql import functions as F
 
 from snarelight.model import Tables
 from snarelight.operators import rollups
+from snarelight.operators.positions import with_index
 from snarelight.operators.skew import BROADCAST_ROWS, lookup_join
 from snarelight.session import stored
 
 
-def top_rows(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    return stored(df.orderBy(*order).limit(limit), "top")
+#: Up to so many rows are sorted and written by one task.
+ONE_TASK_ROWS = 100_000
+
+
+def top_rows(df: DataFrame, order: list[Column], limit: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """The first ``limit`` rows. ``order`` must be total: more rows are cut by their place in a range sort."""
+    if limit <= one_task_rows:
+        return stored(df.orderBy(*order).limit(limit), "top")
+    return stored(with_index(df, order, "_place").where(F.col("_place") < limit).drop("_place"), "top")
 
 
 def rows_of(df: DataFrame, top: DataFrame, key: str, limit: int | None, to: str | None = None) -> DataFrame:

@@ -393,7 +393,10 @@ def risk_rankings(tables: Tables, limit: int | None = 20) -> DataFrame:
         described = ranked.join(rows_of(urls, top, "url_id", limit), "url_id").join(
             votes.select("url_id", "vote_count", "avg_vote_value"), "url_id", "left"
         )
-    ranking = described.select(
+    # One total order for both ways, so that a limit cuts tied rows alike.
+    places = ["risk_rank", "url_id", F.asc_nulls_first("risk_level"), F.asc_nulls_first("avg_score")]
+    described = _limited(described.orderBy(*places), limit)
+    return described.select(
         "url_id",
         "url",
         "url_domain",
@@ -405,7 +408,6 @@ def risk_rankings(tables: Tables, limit: int | None = 20) -> DataFrame:
         "risk_rank",
         by_average(F.col("avg_vote_value"), AGREEMENT_VOTE, AGREEMENT_LABELS).alias("agreement_status"),
     )
-    return _limited(ranking.orderBy("risk_rank", "url_id", F.asc_nulls_first("risk_level")), limit)
 
 
 def url_analysis_report(tables: Tables) -> DataFrame:

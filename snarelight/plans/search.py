@@ -135,24 +135,22 @@ def export_rows(tables: Tables, search: Search = Search(), limit: int | None = 1
     return rows.select(*[F.col(c).alias(h) for c, h in headings.items()])
 
 
-def available_rules(tables: Tables, url_ids: DataFrame | None = None) -> DataFrame:
-    """Per URL, the rules it has not matched, by name (all URLs, or the ids given).
+def available_rules(tables: Tables, url_ids: DataFrame) -> DataFrame:
+    """Per URL asked for, the rules it has not matched, by name.
 
     The catalogue is attached as one array and the URL's own rules are filtered out, so
-    no (URL, rule) pairs are formed. A catalogue too long for one array comes in several
-    numbered parts per URL.
+    no (URL, rule) pairs are formed.
     """
-    urls = tables.url_submissions.select("url_id")
+    asked = url_ids.select("url_id").distinct()
+    urls = lookup_join(tables.url_submissions.select("url_id"), asked, ["url_id"], "left_semi")
     matches = tables.url_rule_matches.select("url_id", "rule_id")
-    if url_ids is not None:
-        urls = lookup_join(urls, url_ids.select("url_id").distinct(), ["url_id"], "left_semi")
-        matches = lookup_join(matches, url_ids.select("url_id").distinct(), ["url_id"], "left_semi", ["rule_id"])
+    matches = lookup_join(matches, asked, ["url_id"], "left_semi", ["rule_id"])
     listed = tables.rules.select("rule_name", "rule_id", "rule_type", "risk_level")
     taken = urls.join(rollups.rules_by_url(matches), "url_id", "left")
     own = F.coalesce("rule_ids", F.array().cast("array<bigint>"))
     free = F.filter("catalogue", lambda rule: ~F.array_contains(own, rule["rule_id"]))
-    return with_catalogue(taken, listed, "catalogue", "part").select(
-        "url_id", "part", free.alias("available_rules"), F.size(free).alias("available_count")
+    return with_catalogue(taken, listed, "catalogue").select(
+        "url_id", free.alias("available_rules"), F.size(free).alias("available_count")
     )
 
 
