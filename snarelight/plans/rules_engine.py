@@ -1,37 +1,69 @@
-"""Matching submissions against the rule catalogue."""
+"""Matching submissions against the rule catalogue, by rule type.
+
+``tld`` and ``domain`` rules are equi-joins, ``length`` rules one test; only ``keyword`` and ``regex``
+rules are patterns that each URL is tested with.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snarelight.model import Tables
+from snarelight.operators.catalogue import with_catalogue
+from snarelight.operators.skew import lookup_join
 
 LONG_URL = 75  # our threshold; the catalogue states none
 PATTERNS_PER_PASS = 200
+_PATTERNED = ("keyword", "regex")
 
 
-def _text(value) -> Column:
-    return F.lit(value).cast("string")
+def _note(shown: Column) -> Column:
+    return F.concat(F.lit("Matched "), F.col("rule_type"), F.lit(" rule: "), shown).alias("match_details")
 
 
-def _hits(rule, long_url: int) -> Column:
-    """Whether a URL row meets a rule. Patterns are literals, compiled once per task."""
-    if rule.rule_type in ("keyword", "regex") and rule.pattern is not None:
-        pattern = "(?i)" + rule.pattern
-        return F.col("url").rlike(pattern) | F.col("url_domain").rlike(pattern)
-    if rule.rule_type == "tld":
-        return F.col("tld") == _text(rule.tld)
-    if rule.rule_type == "domain":
-        return F.col("url_domain") == F.lower(_text(rule.pattern))
-    if rule.rule_type == "length":
-        return F.length("url") > long_url
-    return F.lit(False)
+def _compiles(spark: SparkSession, pattern: str) -> bool:
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile("(?i)" + pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
+def bad_patterns(rules: DataFrame) -> DataFrame:
+    """(rule_id, pattern) of the rules that can't be compiled; matching goes on without them."""
+    spark = rules.sparkSession
+    patterned = rules.where(F.col("rule_type").isin(*_PATTERNED) & F.col("pattern").isNotNull())
+    bad = [(r.rule_id, r.pattern) for r in patterned.toLocalIterator() if not _compiles(spark, r.pattern)]
+    return spark.createDataFrame(bad, "rule_id bigint, pattern string")
 
 
-def _note(rule, long_url: int) -> Column:
-    shown = {"tld": rule.tld, "length": f"more than {long_url} characters"}.get(rule.rule_type, rule.pattern)
-    return _text(f"Matched {rule.rule_type} rule: {shown}")
+def _by_key(source: DataFrame, rules: DataFrame, column: str, key: Column, shown: Column) -> DataFrame:
+    """URLs whose ``column`` equals the rules' ``key``."""
+    keyed = rules.where(key.isNotNull()).groupBy(key.alias(column)).agg(
+        F.collect_list(F.struct("rule_id", _note(shown))).alias("_found")
+    )
+    return lookup_join(source.select("url_id", column), keyed, [column], "inner", ["url_id"]).select("url_id", F.inline("_found"))
+
+
+def _by_pattern(source: DataFrame, rules: DataFrame, patterns_per_pass: int) -> list[DataFrame]:
+    """One narrow pass over the URLs for each ``patterns_per_pass`` rules; patterns are compiled once a task."""
+    passes, entries = [], []
+    spark = rules.sparkSession
+    for rule in rules.where(F.col("pattern").isNotNull()).orderBy("rule_id").toLocalIterator():
+        if not _compiles(spark, rule.pattern):
+            continue
+        pattern = "(?i)" + rule.pattern
+        note = F.lit(f"Matched {rule.rule_type} rule: {rule.pattern}").alias("match_details")
+        found = F.struct(F.lit(rule.rule_id).cast("bigint").alias("rule_id"), note)
+        entries.append(F.when(F.col("url").rlike(pattern) | F.col("url_domain").rlike(pattern), found))
+    for at in range(0, len(entries), patterns_per_pass):
+        hits = F.array_compact(F.array(*entries[at : at + patterns_per_pass]))
+        passes.append(source.select("url_id", F.inline(hits)))
+    return passes
 
 
 def rule_hits(
@@ -39,37 +71,20 @@ def rule_hits(
 ) -> DataFrame:
     """(url_id, rule_id, match_details) for every rule a URL meets.
 
-    The catalogue becomes part of the plan: one narrow pass over the URLs tests up to
-    ``patterns_per_pass`` rules, and a longer catalogue takes several passes. No join and
-    no shuffle, so neither hot domains nor hot rules matter.
+    The plan has three parts whatever the catalogue's size, and one more for each
+    ``patterns_per_pass`` pattern rules. Rules with a broken pattern match nothing (``bad_patterns``).
     """
-    catalogue = rules.where(F.col("rule_type") != "other").select("rule_id", "pattern", "rule_type", "tld").orderBy("rule_id")
     source = urls.select("url_id", "url", "url_domain", "tld")
-    passes = []
-    batch = []
-
-    def close_batch():
-        entries = []
-        for rule in batch:
-            rule_id = F.lit(rule.rule_id).cast("bigint")
-            found = F.struct(rule_id.alias("rule_id"), _note(rule, long_url).alias("match_details"))
-            entries.append(F.when(_hits(rule, long_url), found))
-        passes.append(source.select("url_id", F.inline(F.array_compact(F.array(*entries)))))
-
-    for rule in catalogue.toLocalIterator():
-        batch.append(rule)
-        if len(batch) == patterns_per_pass:
-            close_batch()
-            batch = []
-    if batch:
-        close_batch()
-    if not passes:
-        nothing = source.where(F.lit(False))
-        return nothing.select("url_id", F.lit(0).cast("bigint").alias("rule_id"), _text("").alias("match_details"))
-    hits = passes[0]
-    for more in passes[1:]:
-        hits = hits.unionByName(more)
-    return hits
+    listed = rules.select("rule_id", "pattern", "rule_type", "tld")
+    of_type = lambda name: listed.where(F.col("rule_type") == name)
+    lengths = of_type("length").select("rule_id", _note(F.lit(f"more than {long_url} characters")))
+    parts = [
+        _by_key(source, of_type("tld"), "tld", F.col("tld"), F.col("tld")),
+        _by_key(source, of_type("domain"), "url_domain", F.lower("pattern"), F.col("pattern")),
+        with_catalogue(source.where(F.length("url") > long_url), lengths, "_found").select("url_id", F.inline("_found")),
+        *_by_pattern(source, listed.where(F.col("rule_type").isin(*_PATTERNED)), patterns_per_pass),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def evaluate_rules(tables: Tables, long_url: int = LONG_URL) -> DataFrame:
