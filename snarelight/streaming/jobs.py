@@ -44,16 +44,25 @@ def _known_urls(tables: Tables, out: str, batch: int) -> Tables:
     return tables.with_tables(url_submissions=urls)
 
 
-def _start(stream: DataFrame, handle, out: str) -> StreamingQuery:
+def _start(stream: DataFrame, handle, out: str, trigger: dict | None = None) -> StreamingQuery:
+    """``trigger`` as for ``DataStreamWriter.trigger``; by default what is available now, then the stream ends."""
+
+    def handle_held(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            handle(batch, number)
+        finally:
+            batch.unpersist()
+
     return (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(handle_held)
         .option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def stream_submit(stream: DataFrame, tables: Tables, out: str) -> StreamingQuery:
+def stream_submit(stream: DataFrame, tables: Tables, out: str, trigger: dict | None = None) -> StreamingQuery:
     """Validates arriving submissions (seq, user_id, url, result_code) and matches the rules.
 
     Writes ``accepted``, ``rejected`` and ``hits`` (rule hits by seq). A URL is new when
@@ -61,19 +70,17 @@ def stream_submit(stream: DataFrame, tables: Tables, out: str) -> StreamingQuery
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.persist()
         intake = submit_urls(_known_urls(tables, out, number), batch)
         _write(intake.accepted, out, "accepted", number)
         _write(intake.rejected, out, "rejected", number)
         stored = batch.sparkSession.read.parquet(f"{out}/accepted/batch={number}")
         hits = rule_hits(stored.withColumn("url_id", F.col("seq")), tables.rules)
         _write(hits.withColumnRenamed("url_id", "seq"), out, "hits", number)
-        batch.unpersist()
 
-    return _start(stream, handle, out)
+    return _start(stream, handle, out, trigger)
 
 
-def stream_feed(stream: DataFrame, tables: Tables, out: str, as_of: datetime) -> StreamingQuery:
+def stream_feed(stream: DataFrame, tables: Tables, out: str, as_of: datetime, trigger: dict | None = None) -> StreamingQuery:
     """Imports arriving feed rows (seq and the CSV columns) without a batch limit."""
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -81,10 +88,10 @@ def stream_feed(stream: DataFrame, tables: Tables, out: str, as_of: datetime) ->
         fresh = first_per_url(feed_details(batch, as_of)).join(known, "url", "left_anti")
         _write(fresh, out, "accepted", number)
 
-    return _start(stream, handle, out)
+    return _start(stream, handle, out, trigger)
 
 
-def stream_votes(stream: DataFrame, out: str) -> StreamingQuery:
+def stream_votes(stream: DataFrame, out: str, trigger: dict | None = None) -> StreamingQuery:
     """Summarises each batch of vote events (event_id, ts, user_id, url_id, vote_value).
 
     A batch costs as much as the batch: summaries are appended, never merged into a table
@@ -93,12 +100,10 @@ def stream_votes(stream: DataFrame, out: str) -> StreamingQuery:
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.persist()
         _write(voting.summarise_log(batch), out, "summaries", number)
         _write(voting.invalid_votes(batch), out, "rejected", number)
-        batch.unpersist()
 
-    return _start(stream, handle, out)
+    return _start(stream, handle, out, trigger)
 
 
 def current_votes(spark: SparkSession, out: str, stored: DataFrame | None = None) -> DataFrame:
@@ -110,7 +115,9 @@ def current_votes(spark: SparkSession, out: str, stored: DataFrame | None = None
     return voting.standing_votes(voting.combine_segments(summaries))
 
 
-def stream_sessions(stream: DataFrame, out: str, delay: str = "1 hour", gap_hours: int = GAP_HOURS) -> StreamingQuery:
+def stream_sessions(
+    stream: DataFrame, out: str, delay: str = "1 hour", gap_hours: int = GAP_HOURS, trigger: dict | None = None
+) -> StreamingQuery:
     """Closed sessions of arriving events (user_id, ts); ``delay`` bounds how late events may come."""
     sessions = (
         stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -130,6 +137,6 @@ def stream_sessions(stream: DataFrame, out: str, delay: str = "1 hour", gap_hour
         .format("parquet")
         .option("path", f"{out}/sessions")
         .option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
