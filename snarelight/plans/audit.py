@@ -1,14 +1,14 @@
 """Constraint audit: keys, value lists, required columns and references.
 
-Spark enforces none of them. Every check counts rows after a map-side combine, so no
-check brings the rows of one key together.
+Spark enforces none of them. Rows are counted with a map-side combine, so no check brings the
+rows of one key together.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snarelight.model import RISK_LEVELS, ROLES, RULE_TYPES, SCHEMAS, VOTE_VALUES, Tables
@@ -46,30 +46,33 @@ REFERENCES = [
 ]
 
 
-def _line(counted: DataFrame, table: str, check: str, columns: str) -> DataFrame:
-    return counted.select(
-        F.lit(table).alias("table_name"),
-        F.lit(check).alias("check_name"),
-        F.lit(columns).alias("column_names"),
-        F.coalesce(F.col("violations"), F.lit(0)).cast("bigint").alias("violations"),
-    )
+_BAD = "bad"
+_OWN = "own"
 
 
-def _row_checks(tables: Tables, table: str, required: list[str]) -> DataFrame:
-    """Value lists and required columns of a table, counted in one scan."""
-    checks = [("required", c, F.col(c).isNull()) for c in required]
-    checks += [("allowed", c, ~F.col(c).isin(*values)) for t, c, values in ALLOWED if t == table]
-    counted = getattr(tables, table).agg(*[F.count_if(bad).alias(f"{kind} {c}") for kind, c, bad in checks])
-    entries = [
-        F.struct(
-            F.lit(table).alias("table_name"),
-            F.lit(kind).alias("check_name"),
-            F.lit(c).alias("column_names"),
-            F.col(f"{kind} {c}").alias("violations"),
-        )
-        for kind, c, _ in checks
+def _entry(domain: str, role: str, columns: list[str]) -> Column:
+    keys = [F.col(c).cast("string") for c in columns] + [F.lit(None).cast("string")] * (2 - len(columns))
+    return F.struct(F.lit(domain).alias("domain"), F.lit(role).alias("role"), keys[0].alias("k1"), keys[1].alias("k2"))
+
+
+def _constraints() -> list[tuple[str, str, str, str, str]]:
+    """(table, check, columns, domain, role): a domain is a key, or the rows that break a row check."""
+    out = [(t, "unique", ",".join(c), f"{t}:{','.join(c)}", _OWN) for t, c in UNIQUE]
+    out += [(t, "required", f.name, f"{t} required {f.name}", _BAD) for t, s in SCHEMAS.items() for f in s if not f.nullable]
+    out += [(t, "allowed", c, f"{t} allowed {c}", _BAD) for t, c, _ in ALLOWED]
+    return out + [(t, "reference", c, f"{target}:{key}", f"{t}.{c}") for t, c, target, key in REFERENCES]
+
+
+def _entries(tables: Tables, table: str) -> DataFrame:
+    """What one scan of a table has to say: its keys, its references and its bad values."""
+    entries = [_entry(f"{t}:{','.join(c)}", _OWN, c) for t, c in UNIQUE if t == table]
+    entries += [
+        F.when(F.col(c).isNotNull(), _entry(f"{target}:{key}", f"{t}.{c}", [c])) for t, c, target, key in REFERENCES if t == table
     ]
-    return counted.select(F.inline(F.array(*entries)))
+    checks = [("required", f.name, F.col(f.name).isNull()) for f in SCHEMAS[table] if not f.nullable]
+    checks += [("allowed", c, ~F.col(c).isin(*values)) for t, c, values in ALLOWED if t == table]
+    entries += [F.when(bad, _entry(f"{table} {kind} {c}", _BAD, [])) for kind, c, bad in checks]
+    return getattr(tables, table).select(F.inline(F.array_compact(F.array(*entries))))
 
 
 def integrity_audit(tables: Tables) -> DataFrame:
@@ -77,21 +80,22 @@ def integrity_audit(tables: Tables) -> DataFrame:
 
     unique: surplus copies; allowed: rows with another value; required: rows with NULL;
     reference: rows that point nowhere.
+
+    Each table is scanned once. All keys and all references to them are counted in one aggregation:
+    a key with a count of its own and one per referencing column shows surplus copies and
+    dangling references alike.
     """
-    lines = []
-    for table, keys in UNIQUE:
-        groups = getattr(tables, table).groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("surplus"))
-        lines.append(_line(groups.agg(F.sum("surplus").alias("violations")), table, "unique", ",".join(keys)))
-    for table, schema in SCHEMAS.items():
-        lines.append(_row_checks(tables, table, [f.name for f in schema if not f.nullable]))
-    for table, column, target, key in REFERENCES:
-        used = (
-            getattr(tables, table)
-            .where(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias("_ref"))
-            .agg(F.count(F.lit(1)).alias("uses"))
-        )
-        known = getattr(tables, target).select(F.col(key).alias("_ref"))
-        dangling = used.join(known, "_ref", "left_anti").agg(F.sum("uses").alias("violations"))
-        lines.append(_line(dangling, table, "reference", column))
-    return reduce(DataFrame.unionByName, lines)
+    entries = reduce(DataFrame.unionByName, [_entries(tables, name) for name in SCHEMAS])
+    roles = [_OWN, _BAD, *[f"{t}.{c}" for t, c, _, _ in REFERENCES]]
+    counts = entries.groupBy("domain", "k1", "k2").agg(*[F.count_if(F.col("role") == r).alias(f"n{i}") for i, r in enumerate(roles)])
+    found = [F.greatest(F.col("n0") - 1, F.lit(0)), F.col("n1")]
+    found += [F.when(F.col("n0") == 0, F.col(f"n{i}")).otherwise(F.lit(0)) for i in range(2, len(roles))]
+    per_role = [F.struct(F.lit(r).alias("role"), F.sum(f).alias("violations")) for r, f in zip(roles, found, strict=True)]
+    totals = counts.groupBy("domain").agg(F.array(*per_role).alias("totals")).select("domain", F.inline("totals"))
+    names = ["table_name", "check_name", "column_names", "domain", "role"]
+    listed = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, c, strict=True)]) for c in _constraints()]
+    constraints = tables.spark.range(1).select(F.inline(F.array(*listed)))
+    # Both sides have a row per constraint at most.
+    return constraints.join(F.broadcast(totals), ["domain", "role"], "left").select(
+        "table_name", "check_name", "column_names", F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations")
+    )
