@@ -295,9 +295,11 @@ def _deleted() -> str:
         "votes": f"url_id not in ({gone_urls}) and user_id not in ({gone_users})",
         "url_score_comparisons": f"url_id not in ({gone_urls})",
     }
-    lines = [f"select '{t}' as table_name, count(*) as row_count from {t} where {w}" for t, w in kept.items()]
+    ids = dict(users="user_id", url_submissions="url_id", rules="rule_id", url_rule_matches="match_id", statuses="status_id")
+    ids |= dict(votes="vote_id", url_score_comparisons="rep_id")
+    lines = [f"select '{t}' as table_name, {ids[t]} as row_id from {t} where {w}" for t, w in kept.items()]
     lines.append(
-        "select 'statuses without reviewer', count(*) from statuses"
+        "select 'statuses without reviewer', status_id from statuses"
         f" where url_id not in ({gone_urls}) and (reviewer_id is null or reviewer_id in ({gone_users}))"
     )
     return " union all ".join(lines)
@@ -405,7 +407,7 @@ group by 1""",
     "available_rules": """
 select s.url_id, string_agg(r.rule_name, ', ' order by r.rule_name) as available_rules, count(*) as available_count
 from url_submissions s, rules r
-where not exists (from url_rule_matches m where m.url_id = s.url_id and m.rule_id = r.rule_id)
+where s.user_id % 3 = 0 and not exists (from url_rule_matches m where m.url_id = s.url_id and m.rule_id = r.rule_id)
 group by 1""",
     "viewer_votes": """
 select s.url_id, s.url_id % 100 as user_id, v.vote_value as current_user_vote
@@ -516,9 +518,11 @@ from users p left join (select user_id, count(*) as n, count(*) filter (result_c
     "auto_classify": _classified(strict=False),
     "auto_classify_strict": _classified(strict=True),
     "feed_import": f"select * from ({_FEED_NEW}) order by seq limit 250",
+    "feed_import_25": f"select * from ({_FEED_NEW}) order by seq limit 25",
     "feed_import_all": _FEED_NEW,
     "stream_feed": _FEED_NEW,
     "feed_import_counts": _feed_counts(250),
+    "feed_import_counts_25": _feed_counts(25),
     "ensure_feed_user": f"""
 select user_id, name, email, role, created_at from users
 union all
@@ -539,10 +543,10 @@ from (select *, count(*) filter (reason is null) over (partition by lower(email)
     "evaluate_rules": _RULE_TESTS.format(urls="url_submissions", long_url=38)
     + " and not exists (from url_rule_matches m where m.url_id = s.url_id and m.rule_id = r.rule_id)",
     "stream_submit": f"""
-select n.seq, n.user_id, n.url, n.url_domain, n.tld, n.result_code, count(h.rule_id) as rule_hits
+select n.seq, n.user_id, n.url, n.url_domain, n.tld, n.result_code, h.rule_id
 from ({_SUBMITTED}) n
 left join ({_RULE_TESTS.format(urls=f"(select seq as url_id, url, url_domain, tld from ({_SUBMITTED}))", long_url=75)}) h on h.url_id = n.seq
-where n.reason is null group by all""",
+where n.reason is null""",
     "integrity_audit": _audit(),
     "user_sessions": _SESSIONS,
     # A stream closes a session once the watermark (newest event less one hour) has passed its expiry.

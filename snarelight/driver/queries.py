@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snarelight.driver.tables import AS_OF, VOTE_LOG, derive, input_rows, read, triage_tables
 from snarelight.functions.urls import url_scheme, with_url_parts
-from snarelight.model import Tables
+from snarelight.model import IDS, Tables
 from snarelight.operators import sessions, voting
 from snarelight.plans import audit, feed, intake, jobs, maintenance, reports, rules_engine, search
 from snarelight.plans.search import Search
@@ -75,7 +75,8 @@ def _viewer_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _available_rules(t: Tables) -> DataFrame:
     names = F.array_join(F.transform("available_rules", lambda r: r["rule_name"]), ", ")
-    return search.available_rules(t).select("url_id", names.alias("available_rules"), F.col("available_count").cast("bigint"))
+    asked = t.url_submissions.where(F.col("user_id") % 3 == 0)
+    return search.available_rules(t, asked).select("url_id", names.alias("available_rules"), F.col("available_count").cast("bigint"))
 
 
 def _link_named_rules(t: Tables) -> DataFrame:
@@ -103,14 +104,10 @@ def _delete_submissions(t: Tables) -> DataFrame:
     rules = t.rules.where(F.col("risk_level").isNull()).select("rule_id")
     left = intake.delete_submissions(t, doomed, users, rules).tables
     lines = [
-        getattr(left, name).agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name))
-        for name in Tables.names()
+        getattr(left, name).select(F.lit(name).alias("table_name"), F.col(IDS[name]).alias("row_id")) for name in Tables.names()
     ]
-    lines.append(
-        left.statuses.agg(F.count_if(F.col("reviewer_id").isNull()).alias("row_count")).withColumn(
-            "table_name", F.lit("statuses without reviewer")
-        )
-    )
+    unreviewed = left.statuses.where(F.col("reviewer_id").isNull())
+    lines.append(unreviewed.select(F.lit("statuses without reviewer").alias("table_name"), F.col("status_id").alias("row_id")))
     result = lines[0]
     for line in lines[1:]:
         result = result.unionByName(line)
@@ -153,8 +150,10 @@ def _feed_import(limit: int) -> Query:
     return query
 
 
-def _feed_import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.feed_import(triage_tables(spark, sf_dir), input_rows(spark, sf_dir, "feed"), AS_OF).summary
+def _feed_import_counts(limit: int) -> Query:
+    return lambda spark, sf_dir: feed.feed_import(
+        triage_tables(spark, sf_dir), input_rows(spark, sf_dir, "feed"), AS_OF, limit
+    ).summary
 
 
 def _job_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,10 +186,8 @@ def _stream_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = input_rows(spark, sf_dir, "requests", events=_event_stream(spark, sf_dir))
     _finish(streams.stream_submit(requests, triage_tables(spark, sf_dir), out))
     accepted = spark.read.parquet(f"{out}/accepted")
-    hits = spark.read.parquet(f"{out}/hits").groupBy("seq").agg(F.count(F.lit(1)).alias("rule_hits"))
-    return accepted.join(hits, "seq", "left").select(
-        "seq", "user_id", "url", "url_domain", "tld", "result_code", F.coalesce("rule_hits", F.lit(0)).alias("rule_hits")
-    )
+    hits = spark.read.parquet(f"{out}/hits").select("seq", "rule_id")
+    return accepted.join(hits, "seq", "left").select("seq", "user_id", "url", "url_domain", "tld", "result_code", "rule_id")
 
 
 def _stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,8 +291,10 @@ QUERIES: dict[str, Query] = {
     "auto_classify": _changed(lambda t: maintenance.auto_classify(t, AS_OF), "url_submissions"),
     "auto_classify_strict": _changed(lambda t: maintenance.auto_classify(t, AS_OF, strict=True), "url_submissions"),
     "feed_import": _feed_import(feed.FEED_LIMIT),
+    "feed_import_25": _feed_import(25),
     "feed_import_all": _feed_import(0),
-    "feed_import_counts": _feed_import_counts,
+    "feed_import_counts": _feed_import_counts(feed.FEED_LIMIT),
+    "feed_import_counts_25": _feed_import_counts(25),
     "ensure_feed_user": _report(lambda t: feed.ensure_feed_user(t, AS_OF).users),
     "register_users": _register,
     "maintenance_run": _job_reports,

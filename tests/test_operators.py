@@ -13,6 +13,7 @@ from conftest import rows
 from snarelight.functions import text, urls, verdicts
 from snarelight.operators import sessions, voting
 from snarelight.operators.catalogue import with_catalogue
+from snarelight.operators.topk import top_rows
 from snarelight.operators.positions import with_group_positions, with_index, with_new_ids, with_rank
 from snarelight.operators.skew import expand_join, is_small, lookup_join
 
@@ -46,11 +47,6 @@ def test_url_parts_on_random_text(spark, found):
     assert spark_parts(spark, found) == {u: python_parts(u) for u in found}
 
 
-def test_half_brackets_are_malformed(spark):
-    df = spark.createDataFrame([("http://[bad",), ("http://bad]/",), ("http://[::1]/",), ("http://a/[b",)], "url string")
-    assert [r[0] for r in df.select(urls.broken_brackets(F.col("url"))).collect()] == [True, True, False, False]
-
-
 def test_text_helpers(spark):
     df = spark.createDataFrame([(" \u2003x\n",), ("  ",), ("",), (None,)], "t string")
     assert rows(df.select(text.strip("t"))) == [("x",), ("",), ("",), (None,)]
@@ -136,13 +132,19 @@ def test_rank_with_ties(spark):
     assert {r.id: r.r for r in with_rank(df, "score", "r").collect()} == expected
 
 
-def test_catalogue_in_parts(spark):
-    rules = spark.createDataFrame([(f"r{i:02}", i) for i in range(23)], "name string, rule_id bigint")
-    ids = spark.range(3)
-    whole = with_catalogue(ids, rules, "c", "part").first()
-    assert [e["rule_id"] for e in whole.c] == list(range(23))
-    parts = with_catalogue(ids, rules, "c", "part", part_rows=5).select("id", F.explode("c.rule_id").alias("r"))
-    assert sorted(rows(parts)) == [(i, r) for i in range(3) for r in range(23)]
+def test_catalogue_has_one_shape_at_every_size(spark):
+    for size in (0, 23, 2500):
+        rules = spark.createDataFrame([(f"r{i:04}", i) for i in range(size)], "name string, rule_id bigint")
+        got = with_catalogue(spark.range(3), rules, "c").collect()
+        assert len(got) == 3
+        assert all([e["rule_id"] for e in r.c] == list(range(size)) for r in got)
+
+
+def test_top_rows_above_the_bound_are_the_same(spark):
+    df = spark.range(0, 5000, 1, 7).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(50)))
+    order = [F.desc("k"), F.col("id").asc()]
+    few = rows(top_rows(df, order, 1234).orderBy(*order))
+    assert len(few) == 1234 and few == rows(top_rows(df, order, 1234, one_task_rows=10).orderBy(*order))
 
 
 def sequential_votes(events):

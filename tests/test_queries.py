@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from snarelight.driver.tables import AS_OF, triage_tables
+from snarelight.driver.queries import QUERIES
+from snarelight.driver.tables import AS_OF, input_rows, triage_tables
 from snarelight.operators import voting
-from snarelight.plans import maintenance, reports, rules_engine, search
+from snarelight.plans import audit, intake, maintenance, reports, rules_engine, search
 
 SF_DIR = "/root/testdata/sf0.001"
 DRIVER_TABLES = (
@@ -35,7 +36,7 @@ def comparable(names, data):
     return sorted(repr([plain(row[i]) for i in order]) for row in data)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = contract.queries()[name](spark, SF_DIR)
     result = duck.execute(contract.oracle_sql()[name])
@@ -78,3 +79,16 @@ def test_python_is_not_in_the_plans(spark, tables):
     log = spark.createDataFrame([], "event_id bigint, ts timestamp_ntz, user_id bigint, url_id bigint, vote_value int")
     for df in (voting.fold_votes(log), rules_engine.evaluate_rules(tables), reports.url_listing(tables)):
         assert "Python" not in plan(df.where(F.lit(True)))
+
+
+def test_audit_scans_each_table_once(tables):
+    text = plan(audit.integrity_audit(tables))
+    assert text.count("FileScan") <= 9 and text.count("Exchange") <= 25
+
+
+def test_requests_are_checked_once_and_stored(spark, tables):
+    for build, kind in (
+        (intake.submit_urls, "requests"), (intake.register_users, "account_requests"), (intake.add_rule_matches, "match_requests"),
+    ):
+        result = build(tables, input_rows(spark, SF_DIR, kind))
+        assert "checked-" in plan(result.rejected) and "events" not in plan(result.rejected)
