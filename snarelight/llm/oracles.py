@@ -75,20 +75,21 @@ FROM fold LEFT JOIN words USING (rn) LEFT JOIN found USING (rn)
 
 def _mixing() -> str:
     picks = []
-    for k in range(PICKS):
+    for k in range(PICKS + 1):
         chosen = " UNION ALL ".join(f"SELECT src, k FROM pick{j}" for j in range(k))
         last = f"left{k}"
         anti = f"WHERE NOT EXISTS (SELECT 1 FROM ({chosen}) c WHERE c.src = p.src AND c.k = p.k)" if k else ""
+        order, fit = ("p.size DESC, p.k DESC", "p.size <= l.room") if k < PICKS else ("p.size, p.k", "p.size > l.room AND p.size - l.room < l.room")
         picks.append(f"""
 pick{k} AS (
   SELECT src, k, size FROM (
-    SELECT p.src, p.k, p.size, row_number() OVER (PARTITION BY p.src ORDER BY p.size DESC, p.k DESC) AS n
-    FROM (SELECT * FROM placed WHERE NOT fits AND size > 0) p JOIN {last} l ON l.src = p.src AND p.size <= l.room {anti}
+    SELECT p.src, p.k, p.size, row_number() OVER (PARTITION BY p.src ORDER BY {order}) AS n
+    FROM (SELECT * FROM placed WHERE NOT fits AND size > 0) p JOIN {last} l ON l.src = p.src AND {fit} {anti}
   ) WHERE n = 1
 ), left{k + 1} AS (
   SELECT l.src, l.room - coalesce(b.size, 0) AS room FROM {last} l LEFT JOIN pick{k} b USING (src)
 )""")
-    every = " UNION ALL ".join(f"SELECT src, k FROM pick{j}" for j in range(PICKS))
+    every = " UNION ALL ".join(f"SELECT src, k FROM pick{j}" for j in range(PICKS + 1))
     return f"""
 WITH base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
