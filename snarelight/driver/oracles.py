@@ -305,6 +305,17 @@ def _deleted() -> str:
     return " union all ".join(lines)
 
 
+_COMMUNITY = f"""
+select url_id, (select min(user_id) from users where role = 'admin') as reviewer_id,
+       case when mean > 0.5 then 'PHISHING' when mean < -0.5 then 'LEGITIMATE' else 'SUSPICIOUS' end as result_code,
+       case when mean > 0.5 then 'Community Confirmed Phishing' when mean < -0.5 then 'Community Confirmed Legitimate'
+            else 'Under Community Review' end as label,
+       'Automated status update based on ' || n || ' community votes. Average vote: ' || round(mean, 2) as description,
+       {_AS_OF} as created_at
+from (select url_id, count(*) as n, avg(vote_value) as mean from votes group by 1)
+where n >= 2 and not exists (from statuses t where t.url_id = votes.url_id and t.created_at > {_AS_OF} - interval 1 day)
+""".replace("votes.url_id", "x.url_id").replace("votes group by 1)", "votes group by 1) x")
+
 _BODIES: dict[str, str] = {
     "users_by_role": "select user_id, name, email, role from users",
     "user_roles": "select user_id, name, email, role from users",
@@ -500,16 +511,30 @@ from (select t.*, s.result_code as url_code,
 select url_id, 'Suspicious Subdomain Count' as rule_name, 'Matched: Multiple subdomain levels detected' as match_details
 from url_submissions where length(url) - length(replace(url_domain, '.', '')) >= 4""",
     "recompute_scores": _SCORED,
-    "community_statuses": f"""
-select url_id, (select min(user_id) from users where role = 'admin') as reviewer_id,
-       case when mean > 0.5 then 'PHISHING' when mean < -0.5 then 'LEGITIMATE' else 'SUSPICIOUS' end as result_code,
-       case when mean > 0.5 then 'Community Confirmed Phishing' when mean < -0.5 then 'Community Confirmed Legitimate'
-            else 'Under Community Review' end as label,
-       'Automated status update based on ' || n || ' community votes. Average vote: ' || round(mean, 2) as description,
-       {_AS_OF} as created_at
-from (select url_id, count(*) as n, avg(vote_value) as mean from votes group by 1)
-where n >= 2 and not exists (from statuses t where t.url_id = votes.url_id and t.created_at > {_AS_OF} - interval 1 day)
-""".replace("votes.url_id", "x.url_id").replace("votes group by 1)", "votes group by 1) x"),
+    "community_statuses": _COMMUNITY,
+    "community_statuses_stored": f"""
+select status_id, url_id, reviewer_id, result_code, label, description, created_at from statuses where label like '%Community%'
+union all
+select * from (
+  select (select max(status_id) from statuses) + row_number() over (order by url_id) as status_id,
+         url_id, reviewer_id, result_code, label, description, created_at from ({_COMMUNITY}))
+where label like '%Community%'""",
+    "label_text_search": """
+select status_id, url_id, label, result_code, description from statuses where label ilike '%confirmed%'
+order by created_at desc, status_id limit 5""",
+    "url_display": f"""
+select url_id, url, strftime(created_at, '%Y-%m-%d %H:%M') as submitted,
+       printf('%.2f%%', ifnull(100.0 * k.phishing_votes / nullif(k.phishing_votes + k.legitimate_votes, 0), 0.0)) as phishing_share
+from url_submissions left join ({_VOTE_SPLIT}) k using (url_id)""",
+    "store_feed_urls": f"""
+select (select max(url_id) from url_submissions) + row_number() over (order by seq) as url_id,
+       (select max(user_id) from users) + 1 as user_id, url, url_domain, tld, 'PHISHING' as result_code, created_at
+from (select * from ({_FEED_NEW}) order by seq limit 250)""",
+    "store_feed_statuses": f"""
+select (select max(status_id) from statuses) + row_number() over (order by seq) as status_id,
+       (select max(url_id) from url_submissions) + row_number() over (order by seq) as url_id, cast(null as bigint) as reviewer_id,
+       'PHISHING' as result_code, label, description, reviewed_at as created_at
+from (select * from ({_FEED_NEW}) order by seq limit 250)""",
     "cleanup_rule_matches": f"select * from url_rule_matches where match_id not in (select match_id from ({_BENIGN}))",
     "promote_users": """
 select p.* replace (case when p.role = 'user' and s.n >= 10 and s.bad >= 5 then 'analyst' else p.role end as role)

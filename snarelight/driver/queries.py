@@ -150,6 +150,26 @@ def _feed_import(limit: int) -> Query:
     return query
 
 
+def _stored_feed(spark: SparkSession, sf_dir: str) -> Tables:
+    t = triage_tables(spark, sf_dir)
+    imported = feed.feed_import(t, input_rows(spark, sf_dir, "feed"), AS_OF)
+    return feed.store_feed(t, imported.inserted, AS_OF).tables
+
+
+def _stored_feed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _stored_feed(spark, sf_dir)
+    owner = t.users.where(F.col("email") == feed.FEED_EMAIL).select("user_id")
+    return t.url_submissions.join(F.broadcast(owner), "user_id", "left_semi").drop("updated_at")
+
+
+def _stored_feed_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_feed(spark, sf_dir).statuses.where(F.col("label").startswith(feed.LABEL_PREFIX))
+
+
+def _stored_community_statuses(t: Tables) -> DataFrame:
+    return maintenance.community_statuses(t, AS_OF).tables.statuses.where(F.col("label").contains("Community"))
+
+
 def _feed_import_counts(limit: int) -> Query:
     return lambda spark, sf_dir: feed.feed_import(
         triage_tables(spark, sf_dir), input_rows(spark, sf_dir, "feed"), AS_OF, limit
@@ -264,6 +284,8 @@ QUERIES: dict[str, Query] = {
     "inserted_url_check": _report(lambda t: reports.inserted_url_check(t, CHECKED_URL)),
     "recently_updated": _report(lambda t: reports.recently_updated(_reclassified(t), AS_OF)),
     "status_text_search": _report(lambda t: reports.status_text_search(t, "Seed_REVIEW")),
+    "label_text_search": _report(lambda t: reports.status_text_search(t, "CONFIRMED", "label")),
+    "url_display": _report(search.display_rows),
     "activity_counts": _report(reports.activity_counts),
     "rule_match_check": _report(lambda t: reports.rule_match_check(t, CHECKED_RULE)),
     "top_scores": _report(reports.top_scores),
@@ -286,6 +308,7 @@ QUERIES: dict[str, Query] = {
     "add_rule_and_match": _report(_added_rule_matches),
     "recompute_scores": _report(_rounded_scores),
     "community_statuses": _report(lambda t: maintenance.new_community_statuses(t, AS_OF)),
+    "community_statuses_stored": _report(_stored_community_statuses),
     "cleanup_rule_matches": _changed(maintenance.cleanup_rule_matches, "url_rule_matches"),
     "promote_users": _changed(maintenance.promote_users, "users"),
     "auto_classify": _changed(lambda t: maintenance.auto_classify(t, AS_OF), "url_submissions"),
@@ -295,6 +318,8 @@ QUERIES: dict[str, Query] = {
     "feed_import_all": _feed_import(0),
     "feed_import_counts": _feed_import_counts(feed.FEED_LIMIT),
     "feed_import_counts_25": _feed_import_counts(25),
+    "store_feed_urls": _stored_feed_urls,
+    "store_feed_statuses": _stored_feed_statuses,
     "ensure_feed_user": _report(lambda t: feed.ensure_feed_user(t, AS_OF).users),
     "register_users": _register,
     "maintenance_run": _job_reports,

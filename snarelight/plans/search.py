@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.functions.text import code_label, like_any_case
+from snarelight.functions.text import code_label, like_any_case, minute_text, percent_text
 from snarelight.model import RISK_LEVELS, Tables
 from snarelight.operators import rollups
 from snarelight.operators.catalogue import with_catalogue
@@ -135,6 +135,16 @@ def export_rows(tables: Tables, search: Search = Search(), limit: int | None = 1
     return rows.select(*[F.col(c).alias(h) for c, h in headings.items()])
 
 
+def display_rows(tables: Tables) -> DataFrame:
+    """Per URL what a page shows of it: submission time to the minute, and the share of phishing votes."""
+    votes = rollups.votes_by_url(tables.votes).select("url_id", "phishing_votes", "legitimate_votes")
+    cast = F.col("phishing_votes") + F.col("legitimate_votes")
+    share = F.when(cast > 0, 100.0 * F.col("phishing_votes") / cast)
+    return tables.url_submissions.select("url_id", "url", "created_at").join(votes, "url_id", "left").select(
+        "url_id", "url", minute_text(F.col("created_at")).alias("submitted"), percent_text(share).alias("phishing_share")
+    )
+
+
 def available_rules(tables: Tables, url_ids: DataFrame) -> DataFrame:
     """Per URL asked for, the rules it has not matched, by name.
 
