@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,12 +46,37 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="snarelight-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return folder
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{label}-{uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def temporary_folders(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end of the block, the intermediate tables made in it.
+
+    Results are lazy and read those tables, so they have to be written or collected inside the block.
+    """
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        folders = _made.get() or []
+        _made.reset(token)
+        jvm = spark.sparkContext._jvm
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

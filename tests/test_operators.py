@@ -1,5 +1,6 @@
 """Building blocks against brute force on small data."""
 
+import os
 import random
 from datetime import datetime, timedelta
 from urllib.parse import urlparse
@@ -16,6 +17,7 @@ from snarelight.operators.catalogue import with_catalogue
 from snarelight.operators.topk import top_rows
 from snarelight.operators.positions import with_group_positions, with_index, with_new_ids, with_rank
 from snarelight.operators.skew import expand_join, is_small, lookup_join
+from snarelight.session import stored, temporary_folders
 
 START = datetime(2024, 1, 1)
 EDGE_URLS = [
@@ -203,3 +205,11 @@ def test_sessions_at_the_boundary(spark):
         (2, START, 1),
         (2, START + timedelta(hours=8, microseconds=1), 1),
     ]
+
+
+def test_temporary_folders_are_removed(spark):
+    with temporary_folders(spark):
+        df = stored(spark.range(5), "kept")
+        folder = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert df.count() == 5 and os.path.isdir(folder.replace("///", "/"))
+    assert not os.path.exists(folder.replace("///", "/"))
