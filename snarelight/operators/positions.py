@@ -39,11 +39,24 @@ def with_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 def with_group_positions(
     df: DataFrame, group: str, order: list[Column], position: str, total: str, small: bool | None = None
 ) -> DataFrame:
-    """Adds the 1-based place of each row within its (non-NULL) group and the group's size."""
-    indexed = with_index(df, [F.col(group).asc(), *order], "_index")
-    groups = indexed.groupBy(group).agg(F.min("_index").alias("_first"), F.count(F.lit(1)).alias(total))
-    placed = lookup_join(indexed, groups, [group], "inner", spread=["_index"], small=small)
-    return placed.withColumn(position, F.col("_index") - F.col("_first") + 1).drop("_index", "_first")
+    """Adds the 1-based place of each row within its (non-NULL) group and the group's size.
+
+    A partition holds a run of each of its groups. There are at most groups + partitions runs; their
+    sizes, summed along a group, place the rows.
+    """
+    ordered = [F.col(group).asc(), *order]
+    placed = df.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stored(placed, "indexed").withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    runs = ranged.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select(
+        group,
+        "_part",
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_shift"),
+        F.sum("_rows").over(W.partitionBy(group)).alias(total),
+    )
+    joined = lookup_join(ranged, runs, [group, "_part"], "inner", spread=["_at"], small=small)
+    return joined.withColumn(position, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
 def with_new_ids(df: DataFrame, order: list[Column], name: str, last_used: int) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Read-only reports. Each takes the tables and returns a lazy DataFrame.
+"""Read-only reports. Each takes the tables and returns a DataFrame.
+
+Size checks, top rows and rankings run jobs while the report is being built, once each.
 
 Ordered reports end in a range-partitioned sort, limited ones in a top-k; ties are broken
 by the remaining key columns. Foreign keys are taken as given (``audit`` reports breaches).
@@ -26,6 +28,7 @@ from snarelight.operators import rollups
 from snarelight.operators.positions import with_group_positions, with_rank
 from snarelight.operators.skew import BROADCAST_ROWS, expand_join, lookup_join
 from snarelight.operators.topk import rows_of, top_rows, with_people_and_votes
+from snarelight.session import stored
 
 # The top-level domains the category report lists.
 LISTED_TLDS = (".tk", ".ml", ".ga")
@@ -369,6 +372,7 @@ def risk_rankings(tables: Tables, limit: int | None = 20) -> DataFrame:
     scores = _url_scores(tables)
     urls = tables.url_submissions.select("url_id", "url", "url_domain", "result_code")
     if limit is None or limit > BROADCAST_ROWS:
+        scores = stored(scores, "scores")  # narrow rows, read for the distinct scores, their ranks and the join
         ranked = with_rank(scores, "risk_score", "risk_rank")
         votes = rollups.votes_by_url(tables.votes).select("url_id", "vote_count", "avg_vote_value")
         described = lookup_join(
