@@ -12,8 +12,8 @@ Pairs in a place number its square, so a first round emits only a spanning fores
 pairs, and links them up to components; a second round emits all surviving pairs that connect
 different components. Either a pair is verified or its ends are connected already, so components are
 exact. Places of more than ``PLACE`` entries are dealt to blocks and searched block by block. The
-global order puts frequent shingles last; frequency is estimated on a bounded sample, and affects
-speed only.
+global order puts shingles of frequent words last; frequency is estimated on a bounded sample, and
+affects speed only.
 
 Null and empty texts have no set and link with nothing; a text with fewer words than a shingle is one
 shingle; repeated rows are equal documents. Empty tables give empty results. Texts are used whole.
@@ -23,6 +23,7 @@ Input columns with the name of a result are replaced.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +39,31 @@ SHINGLE = 3
 #: The link threshold as a fraction: 90 of 100.
 PART, WHOLE = 90, 100
 PLACE = 4096
-SAMPLE_DOCS, COMMON_SHINGLES = 20_000, 65_536
+SAMPLE_DOCS, COMMON_WORDS = 20_000, 65_536
 #: Groups of a point, for sets up to SMALL_SET and beyond. The second is a multiple of the first.
-GROUPS, MORE_GROUPS, SMALL_SET = 64, 512, 1024
+GROUPS, MORE_GROUPS, SMALL_SET = 32, 128, 1024
+#: Finer groups of which only the parity of the count is kept: so many times as many.
+FINER = 64
 LEAF = 32
 RESULTS = ["n_shingles", "component_id"]
 
 
-class _Hashes(dict):
+class _Words(dict):
+    """Numbers words as they come; a word's number is the place of its hash and its cost."""
+
+    def __init__(self, costs: dict[bytes, int] | None = None) -> None:
+        self.known_costs, self.hashes, self.costs = costs or {}, [], []
+
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+        number = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        self.costs.append(self.known_costs.get(word, 0))
+        return number
+
+    def forget(self, most: int = 1_000_000) -> None:
+        if len(self) > most:
+            self.clear()
+            self.hashes, self.costs = [], []
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,28 +75,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: list, known: dict[bytes, int], size: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct shingles of each text, as sorted 64-bit hashes."""
+def shingle_sets(texts: list, known: _Words, size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text, as sorted 64-bit hashes, and the sums of their words' costs."""
     words = [(t or b"").lower().split() for t in texts]
-    flat = np.fromiter((known[w] for t in words for w in t), np.uint64, sum(map(len, words)))
+    numbers = np.fromiter((known[w] for t in words for w in t), np.int64, sum(map(len, words)))
+    flat = np.array(known.hashes, np.uint64)[numbers] if len(numbers) else np.zeros(0, np.uint64)
+    cost = np.array(known.costs, np.int64)[numbers] if len(numbers) else np.zeros(0, np.int64)
     odd = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-    rolled = np.full(max(0, len(flat) - size + 1), size, np.uint64)
-    for k in range(size):
-        rolled = _mixed((rolled ^ flat[k : len(flat) - size + 1 + k]) * odd[k % 4] + np.uint64(k + 1))
+
+    def shingles(n: int) -> tuple[np.ndarray, np.ndarray]:
+        rolled, costs = np.full(max(0, len(flat) - n + 1), n, np.uint64), np.zeros(max(0, len(flat) - n + 1), np.int64)
+        for k in range(n if len(rolled) else 0):
+            rolled = _mixed((rolled ^ flat[k : len(flat) - n + 1 + k]) * odd[k % 4] + np.uint64(k + 1))
+            costs += cost[k : len(cost) - n + 1 + k]
+        return rolled, costs
+
+    by_size = {n: shingles(n) for n in {min(len(t), size) for t in words} if n}
     out, at = [], 0
     for t in words:
-        n = len(t)
-        if n >= size:
-            out.append(np.unique(rolled[at : at + n - size + 1]))
-        elif n:
-            short = np.uint64(n)
-            one = np.array([short], np.uint64)
-            for k in range(n):
-                one = _mixed((one ^ flat[at + k]) * odd[k % 4] + np.uint64(k + 1))
-            out.append(one)
+        n = min(len(t), size)
+        if n:
+            rolled, costs = (x[at : at + len(t) - n + 1] for x in by_size[n])
+            found, first = np.unique(rolled, return_index=True)
+            out.append((found, costs[first]))
         else:
-            out.append(np.zeros(0, np.uint64))
-        at += n
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        at += len(t)
     return out
 
 
@@ -90,19 +109,32 @@ def prefix_size(n: int) -> int:
 
 
 def point_of(shingles: np.ndarray) -> bytes:
+    """The parities of the counts in the finer groups as bits, then the counts per group."""
     groups = GROUPS if len(shingles) <= SMALL_SET else MORE_GROUPS
-    counts = np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+    finer = np.bincount((shingles % np.uint64(groups * FINER)).astype(np.int64), minlength=groups * FINER)
+    counts = finer.reshape(FINER, groups).sum(0)
+    bits = np.packbits((finer & 1).astype(np.uint8))
+    return bits.tobytes() + counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
-def points(raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Points as rows, folded to GROUPS groups where sets of both kinds meet."""
-    rows = []
+def points(raw: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points and parity bits as rows, folded to the fewer groups where sets of both kinds meet."""
+    rows, bits = [], []
     for b, n in zip(raw, sizes, strict=True):
         groups = GROUPS if n <= SMALL_SET else MORE_GROUPS
-        rows.append(np.frombuffer(b, np.uint8 if len(b) == groups else np.uint32).astype(np.int32))
-    least = min(len(r) for r in rows)
-    return np.stack([r if len(r) == least else r.reshape(-1, least).sum(0) for r in rows])
+        cut = groups * FINER // 8
+        bits.append(np.frombuffer(b, np.uint8, cut))
+        rows.append(np.frombuffer(b[cut:], np.uint8 if len(b) == cut + groups else np.uint32).astype(np.int32))
+    least, few = min(len(r) for r in rows), min(len(x) for x in bits)
+    rows = [r if len(r) == least else r.reshape(-1, least).sum(0) for r in rows]
+    bits = [x if len(x) == few else np.bitwise_xor.reduce(x.reshape(-1, few), 0) for x in bits]
+    return np.stack(rows), np.stack(bits).view(np.uint64)
+
+
+def close(bits: np.ndarray, n: int, other_bits: np.ndarray, other_n: np.ndarray) -> np.ndarray:
+    """Whether the sets may differ by as few shingles as the threshold allows: unequal parities are differences."""
+    apart = np.bitwise_count(bits ^ other_bits).sum(1, dtype=np.int64)
+    return (WHOLE + PART) * apart <= (WHOLE - PART) * (n + other_n)
 
 
 class RTree:
@@ -146,9 +178,9 @@ def place_links(ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], labels: np
     """Pairs of one place that may link: a spanning forest, or with ``labels`` all between different labels."""
     if labels is not None and (labels == labels[0]).all():
         return []
-    table = points(raw, sizes)
+    table, bits = points(raw, sizes)
     if len(ids) == 2:
-        if RTree.may_link(table[0], sizes[0], table[1:], sizes[1:], sizes[1:])[0]:
+        if (RTree.may_link(table[0], sizes[0], table[1:], sizes[1:], sizes[1:]) & close(bits[0], sizes[0], bits[1:], sizes[1:]))[0]:
             return [(int(ids[0]), int(ids[1]))]
         return []
     tree = RTree(table, sizes)
@@ -161,9 +193,10 @@ def place_links(ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], labels: np
         return x
 
     for i in range(1, len(ids)):
-        for j in tree.search(table[i], sizes[i]).tolist():
-            if j >= i:
-                continue
+        near = tree.search(table[i], sizes[i])
+        # Smallest first: places with the same entries then emit the same pairs.
+        near = np.sort(near[near < i])
+        for j in near[close(bits[i], sizes[i], bits[near], sizes[near])].tolist():
             if labels is not None:
                 if labels[i] != labels[j]:
                     out.append((int(ids[i]), int(ids[j])))
@@ -173,7 +206,7 @@ def place_links(ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], labels: np
     return out
 
 
-def _fingerprints(docs: DataFrame, text: str, keep: list[str], common: np.ndarray) -> DataFrame:
+def _fingerprints(docs: DataFrame, text: str, keep: list[str], costs: dict[bytes, int]) -> DataFrame:
     """``keep`` with n_shingles, _set (digest of the set; null: empty), _text (hash of the text), _prefix and _point."""
     rows = docs.select(
         *[F.col(f"`{c}`") for c in keep],
@@ -184,30 +217,22 @@ def _fingerprints(docs: DataFrame, text: str, keep: list[str], common: np.ndarra
         F.array().cast("array<bigint>").alias("_prefix"),
         F.lit(None).cast("binary").alias("_point"),
     )
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+    sent = docs.sparkSession.sparkContext.broadcast(costs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, late = _Hashes(), sent.value
+        known = _Words(sent.value)
         for batch, texts in slices(batches, "_body"):
-            if len(known) > 1_000_000:
-                known.clear()
+            known.forget()
             sets = shingle_sets(texts, known)
-            prefixes, digests, at = [], [], []
-            for s in sets:
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                at.append(point_of(s) if len(s) else None)
-                if len(s):
-                    if len(late):
-                        seen = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                        s = np.concatenate([s[~seen], s[seen]])
-                    s = s[: prefix_size(len(s))]
-                prefixes.append(s.view(np.int64))
             made = {
                 "_body": pa.nulls(len(texts), pa.string()),
-                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "_set": pa.array(digests, pa.binary()),
-                "_prefix": pa.array(prefixes, pa.list_(pa.int64())),
-                "_point": pa.array(at, pa.binary()),
+                "n_shingles": pa.array([len(s) for s, _ in sets], pa.int64()),
+                "_set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s, _ in sets], pa.binary()),
+                # One global order: what is made of rare words first, then by hash.
+                "_prefix": pa.array(
+                    [s[np.lexsort((s, c))[: prefix_size(len(s))]].view(np.int64) if len(s) else [] for s, c in sets], pa.list_(pa.int64())
+                ),
+                "_point": pa.array([point_of(s) if len(s) else None for s, _ in sets], pa.binary()),
             }
             yield pa.RecordBatch.from_arrays(
                 [made.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names
@@ -216,20 +241,21 @@ def _fingerprints(docs: DataFrame, text: str, keep: list[str], common: np.ndarra
     return rows.mapInArrow(run, rows.schema).drop("_body")
 
 
-def _common(docs: DataFrame, text: str) -> np.ndarray:
-    """Shingles that are frequent in a sample of about SAMPLE_DOCS documents: an order for speed, no filter."""
+def _word_costs(docs: DataFrame, text: str) -> dict[bytes, int]:
+    """Costs of the words most frequent in a sample of about SAMPLE_DOCS documents: an order for speed, no filter."""
     every = max(1, math.ceil(docs.count() / SAMPLE_DOCS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for _, texts in slices(batches, "_body"):
-            for s in shingle_sets(texts, known):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
+            counts = Counter(w for t in texts for w in (t or b"").lower().split())
+            columns = [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["w", "n"])
 
     sample = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(F.col(text).cast("string").alias("_body"))
-    counts = sample.mapInArrow(run, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
-    rows = counts.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).toArrow()
-    return np.sort(rows.column("s").to_numpy().astype(np.int64).view(np.uint64))
+    counts = sample.mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "w").limit(COMMON_WORDS).toArrow()
+    logs = np.rint(4 * np.log2(rows.column("n").to_numpy().astype(float))).astype(int).tolist()
+    return dict(zip(rows.column("w").to_pylist(), logs, strict=True))
 
 
 def _candidates(places: DataFrame, labelled: bool) -> DataFrame:
@@ -278,13 +304,12 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str)
     rows = docs.select(F.xxhash64(text).alias("_text"), F.col(text).cast("string").alias("_body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = _Words()
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(bits.value, batch.column("_text").to_numpy())))
             for part, texts in slices([batch], "_body"):
-                if len(known) > 1_000_000:
-                    known.clear()
-                sets = shingle_sets(texts, known)
+                known.forget()
+                sets = [s for s, _ in shingle_sets(texts, known)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("_text"),
@@ -315,13 +340,18 @@ def join_components(
     ``label`` names a column to add that tells components apart even where ids repeat (null: no set).
     """
     kept = [c for c in without(docs, RESULTS).columns if c != text] if keep is None else keep
-    found = stored(_fingerprints(docs, text, list(dict.fromkeys([*kept, doc_id])), _common(docs, text)), "fingerprints")
+    found = stored(_fingerprints(docs, text, list(dict.fromkeys([*kept, doc_id])), _word_costs(docs, text)), "fingerprints")
     with_set = found.where("_set is not null")
     copies = with_set.groupBy("_set").agg(F.min(doc_id).alias("_least"), F.count(F.lit(1)).alias("_rows"))
     entries = with_set.select("_set", "_text", "n_shingles", "_prefix", "_point").dropDuplicates(["_set"])
     entries = stored(entries.withColumn("id", F.monotonically_increasing_id()), "entries")
     tokens = entries.select(F.explode("_prefix").alias("token"), "id")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    member = F.xxhash64("id")
+    shared = tokens.groupBy("token").agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(member).alias("_x"), F.sum(member.bitwiseAND((1 << 40) - 1)).alias("_y")
+    )
+    # Shingles with the same entries (equal counts and digests of ids) make one place.
+    shared = shared.where("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("token").alias("token")).select("token", "_n")
     met = stored(tokens.join(shared, "token"), "met")
     blocks = F.ceil(F.col("_n") / PLACE)
     mine = F.pmod(F.xxhash64("id"), blocks)
@@ -340,11 +370,11 @@ def join_components(
     sets = copies.join(entries.select("_set", "id"), "_set").join(labels.withColumnRenamed("node", "id"), "id", "left")
     sets = stored(sets.withColumn("label", F.coalesce("label", "id")), "sets")
     least = sets.groupBy("label").agg(F.min("_least").alias("component_id"))
-    named_sets = sets.join(least, "label").select("_set", "component_id", "label")
-    empty = found.where("_set is null").withColumn("component_id", F.col(doc_id)).withColumn("label", F.lit(None).cast("long"))
+    named_sets = sets.join(least, "label").select("_set", "component_id", F.col("label").alias("_component"))
+    empty = found.where("_set is null").withColumn("component_id", F.col(doc_id)).withColumn("_component", F.lit(None).cast("long"))
     full = hot_join(with_set, named_sets, ["_set"], copies.select("_set", "_rows"))
     columns = [*[F.col(f"`{c}`") for c in kept], F.col("n_shingles"), F.col("component_id")]
-    columns += [F.col("label").alias(label)] if label else []
+    columns += [F.col("_component").alias(label)] if label else []
     return full.select(*columns).union(empty.select(*columns))
 
 
