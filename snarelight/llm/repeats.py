@@ -3,18 +3,19 @@
 Rolling-hash triggers cut texts into phrases: a window of ``LENGTH`` bytes has its trigger at the
 smallest rolling hash of ``GRAM`` bytes in it, the first of equals, so equal windows have their
 trigger at the same place, and consecutive windows with one trigger form a phrase. A phrase's
-windows are split by their distance to the trigger into parts of ``PART`` distances. The windows of a
+windows are split by their distance to the trigger into parts of 128 distances. The windows of a
 part share their core, the bytes that all of them cover.
 
 * A part whose core occurs once in the corpus has no repeated window. That settles most text.
 * Parts with equal bytes over their whole span (an entry of the dictionary that is parsed twice or
   more) are repeated as a whole.
-* In the remaining groups of one core the suffixes differ somewhere: there the windows of each
-  distinct part (dictionary suffix before the trigger, parse suffix after it) are put in order by
-  their digests, and equal neighbours of different parts are repeats.
+* In the remaining groups of one core the suffixes differ somewhere: there the parts (dictionary
+  suffix before the trigger, parse suffix after it) are split into narrower ones, one row per distinct
+  part, down to single windows (``WIDTHS``), and judged in the same way.
 
 Equality classes are all that removal needs, so order is by digest, not by letter, and only
-suffixes that can repeat are ever ordered. Digests of spans and windows have 128 bits.
+suffixes that can repeat are ever ordered. Parts are equal if two 64-bit digests are, of the core and
+of the whole span.
 
 A null text counts as empty; texts shorter than a window are kept whole; repeated rows repeat each
 other. Matches never cross documents. Very long texts are parsed in segments that overlap by a
@@ -33,8 +34,11 @@ from pyspark.sql import functions as F
 
 from snarelight.llm.common import hot_join, key_filter, may_hold, slices, stored, without
 
-LENGTH, GRAM, PART = 400, 16, 128
-SEGMENT_BYTES = 2 << 20
+LENGTH, GRAM = 400, 16
+#: Distances to the trigger in a part, level by level.
+WIDTHS = (128, 16, 1)
+PART = WIDTHS[0]
+SEGMENT_BYTES = 512 << 10
 RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
 _POSITION = np.uint64((1 << 24) - 1)
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -68,6 +72,11 @@ class Rolling:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
+def _packed(start: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Start of the first window, its distance to the trigger and the number of windows, in one long."""
+    return (start.astype(np.int64) << 17) | (a.astype(np.int64) << 8) | n.astype(np.int64)
+
+
 def segments(texts: list) -> Iterator[list[tuple[int, int, bytes]]]:
     """(number of the text, offset, bytes) in groups of about SEGMENT_BYTES; short texts left out."""
     held, out = 0, []
@@ -125,21 +134,27 @@ class Parser:
         which = np.searchsorted(begins, start, side="right") - 1
         return {
             "text": np.array([k for k, _, _ in group])[which],
-            "start": start - begins[which] + np.array([o for _, o, _ in group])[which],
-            "a": high,
-            "n": high - low + 1,
+            "place": _packed(start - begins[which] + np.array([o for _, o, _ in group])[which], high, high - low + 1),
             "core": _mixed(self.one.of(core, core + LENGTH - PART + 1) + block.astype(np.uint64)).view(np.int64),
-            "f1": _mixed(self.one.of(start, end) ^ salt).view(np.int64),
-            "f2": _mixed(self.two.of(start, end) + salt).view(np.int64),
+            "f1": _mixed(self.two.of(start, end) ^ salt).view(np.int64),
         }
 
-    def windows(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Both digests of every window of ``data``."""
-        letters = np.frombuffer(data, np.uint8)
-        self.one.over(letters)
-        self.two.over(letters)
-        at = np.arange(len(letters) - LENGTH + 1)
-        return _mixed(self.one.of(at, at + LENGTH)).view(np.int64), _mixed(self.two.of(at, at + LENGTH)).view(np.int64)
+    def split(self, body: bytes, place: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, core and f1 of the narrower parts of a part of ``body``."""
+        begin, a, n = place >> 17, (place >> 8) & 511, place & 255
+        data = np.frombuffer(body, np.uint8, n - 1 + LENGTH, begin)
+        self.one.over(data)
+        self.two.over(data)
+        distance = np.arange(a - n + 1, a + 1)
+        block = np.unique(distance // width)
+        low, high = np.maximum(a - n + 1, block * width), np.minimum(a, block * width + width - 1)
+        start, end = a - high, a - low + LENGTH
+        core = a - block * width
+        salt = _mixed((block * 1024 + high).astype(np.uint64) * np.uint64(1024) + low.astype(np.uint64))
+        if width == 1:  # windows are compared whatever their distance
+            block, salt = np.zeros_like(block), np.zeros_like(salt)
+        cores = _mixed(self.one.of(core, core + LENGTH - width + 1) + block.astype(np.uint64)).view(np.int64)
+        return _packed(begin + start, high, high - low + 1), cores, _mixed(self.two.of(start, end) ^ salt).view(np.int64)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -147,26 +162,19 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"_k1": F.xxhash64(body), "_k2": F.xxhash64(F.lit(1), body), "_body": body})
 
 
-PARTS = "_k1 bigint, _k2 bigint, start bigint, a int, n int, core bigint, f1 bigint, f2 bigint"
+PARTS = "_k1 bigint, _k2 bigint, place bigint, core bigint, f1 bigint"
 
 
 def _parts(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
+        names = [f.split()[0] for f in PARTS.split(", ")]
         for batch, texts in slices(batches, "_body"):
             keys = [batch.column(c).to_numpy() for c in ("_k1", "_k2")]
             for group in segments(texts):
                 p = parser.parts(group)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[pa.array(k[p["text"]]) for k in keys],
-                        pa.array(p["start"]),
-                        pa.array(p["a"].astype(np.int32)),
-                        pa.array(p["n"].astype(np.int32)),
-                        *[pa.array(p[c]) for c in ("core", "f1", "f2")],
-                    ],
-                    names=[f.split()[0] for f in PARTS.split(", ")],
-                )
+                columns = [*[k[p["text"]] for k in keys], *[p[c] for c in names[2:]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return keyed.select("_k1", "_k2", "_body").mapInArrow(run, PARTS)
 
@@ -183,61 +191,58 @@ def _texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema).dropDuplicates(["_k1", "_k2"])
 
 
-LEAVES = "_k1 bigint, _k2 bigint, start bigint, alone boolean, f1 bigint, w1 bigint, w2 bigint"
-
-
-def _leaves(keyed: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Every window of the parts in ``mixed``, which has one row per distinct part, with a place of it."""
-    lists = mixed.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "n", "alone", "core", "a", "f1")).alias("parts"))
+def _narrower(keyed: DataFrame, mixed: DataFrame, width: int) -> DataFrame:
+    """The parts in ``mixed`` split into parts of ``width`` distances; ``alone`` is handed down."""
+    lists = mixed.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("place", "alone")).alias("parts"))
     lists = stored(lists, "lists")
     rows = _texts(keyed, lists).join(lists, ["_k1", "_k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
-        names = [f.split()[0] for f in LEAVES.split(", ")]
+        names = [*[f.split()[0] for f in PARTS.split(", ")], "alone"]
         for batch, texts in slices(batches, "_body"):
             for k1, k2, body, parts in zip(
                 batch.column("_k1").to_pylist(), batch.column("_k2").to_pylist(), texts, batch.column("parts").to_pylist(), strict=True
             ):
-                out: list[list] = [[] for _ in range(5)]
+                out = []
                 for part in parts:
-                    n = part["n"]
-                    one, two = parser.windows(body[part["start"] : part["start"] + n - 1 + LENGTH])
-                    out[0].append(np.arange(part["start"], part["start"] + n))
-                    out[1].append(np.full(n, part["alone"]))
-                    out[2].append(np.full(n, part["f1"], np.int64))
-                    out[3].append(one)
-                    out[4].append(two)
-                columns = [np.concatenate(c) for c in out]
+                    made = parser.split(body, part["place"], width)
+                    out.append((*made, np.full(len(made[0]), part["alone"])))
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
                 n = len(columns[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)), *[pa.array(c) for c in columns]], names=names
-                )
+                columns = [np.full(n, k1, np.int64), np.full(n, k2, np.int64), *columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return rows.mapInArrow(run, LEAVES)
+    return rows.mapInArrow(run, f"{PARTS}, alone boolean")
+
+
+def _settled(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repeated parts, distinct parts that have to be split); ``parts`` are alone (seen once) or stand for several."""
+    entries = parts.groupBy("core", "f1").agg(
+        F.sum(F.when(F.col("alone"), F.lit(1)).otherwise(F.lit(2))).alias("_seen"), F.min(F.struct("_k1", "_k2", "place")).alias("at")
+    )
+    entries = stored(entries, "entries")
+    again = entries.where("_seen > 1").select("core", "f1")
+    # Equal texts have equal parts: their rows fall together here.
+    repeated = parts.where("alone").join(again, ["core", "f1"], "left_semi").select("_k1", "_k2", "place").distinct()
+    groups = entries.groupBy("core").agg(F.count(F.lit(1)).alias("_entries"), F.min("_seen").alias("_least"))
+    mixed = entries.join(groups.where("_entries > 1 and _least = 1").select("core"), "core", "left_semi")
+    return repeated, mixed.select("at.*", (F.col("_seen") == 1).alias("alone"))
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """_k1, _k2 and spans (array of start and end) of the texts with repeats."""
     parts = stored(_parts(keyed), "parts")
-    cores = parts.groupBy("core").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    shared = stored(parts.join(cores.select("core"), "core", "left_semi"), "shared")
-    entries = shared.groupBy("core", "f1", "f2").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(F.struct("_k1", "_k2", "start", "a", "n")).alias("at")
-    )
-    entries = stored(entries, "entries")
-    groups = entries.groupBy("core").agg(F.count(F.lit(1)).alias("entries"), F.min("_rows").alias("least"))
-    open_groups = groups.where("entries > 1 and least = 1").select("core")
-    mixed = entries.join(open_groups, "core", "left_semi").select("core", "f1", (F.col("_rows") == 1).alias("alone"), "at.*")
-    leaves = stored(_leaves(keyed, mixed), "leaves")
-    found = leaves.groupBy("w1", "w2").agg(F.min("f1").alias("_f"), F.max("f1").alias("_g")).where("_f <> _g").select("w1", "w2")
-    single = leaves.where("alone").join(found, ["w1", "w2"], "left_semi").select("_k1", "_k2", "start", F.lit(1).alias("n"))
-    # Parts parsed twice or more; equal texts have equal parts, so copies fall together.
-    places = shared.groupBy("core", "f1", "f2", "_k1", "_k2", "start").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("_own"))
-    again = entries.where("_rows > 1").select("core", "f1", "f2")
-    whole = places.join(again, ["core", "f1", "f2"], "left_semi").select("_k1", "_k2", "start", "n")
-    spans = whole.union(single).select("_k1", "_k2", F.struct("start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end")).alias("s"))
-    return spans.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    cores = parts.groupBy("core").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("core")
+    shared = stored(parts.join(cores, "core", "left_semi").withColumn("alone", F.lit(True)), "shared")
+    found, mixed = _settled(shared)
+    for width in WIDTHS[1:]:
+        narrow = stored(_narrower(keyed, mixed, width), "narrower")
+        more, mixed = _settled(narrow)
+        found = found.union(more)
+    start, n = F.shiftright("place", 17), F.col("place").bitwiseAND(255)
+    span = F.struct(start.alias("start"), (start + n - 1 + LENGTH).alias("end"))
+    return found.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:

@@ -48,7 +48,7 @@ def made_texts():
     return out
 
 
-@pytest.mark.parametrize("segment", [2 << 20, 700])
+@pytest.mark.parametrize("segment", [512 << 10, 700])
 def test_repeats_equal_brute_force(spark, monkeypatch, segment):
     monkeypatch.setattr(repeats, "SEGMENT_BYTES", segment)
     texts = made_texts()
