@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from snarelight.llm.common import hot_join, key_filter, lookup_join, may_hold, slices, stored, without
 from snarelight.llm.components import components
+from snarelight.session import new_folder, temporary_folders
 
 SHINGLE = 3
 #: The link threshold as a fraction: 90 of 100.
@@ -382,16 +383,21 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """``docs`` with one row of each component, the one with the smallest id (then text hash); rows without a set stay."""
     marked = docs.withColumn("_key", F.coalesce(F.col(doc_id).cast("string"), F.lit("~")))
     marked = marked.withColumn("_hash", F.coalesce(F.xxhash64(text), F.lit(0).cast("long")))
-    found = stored(join_components(marked, text, doc_id, [doc_id, "_key", "_hash"], "_label").where("_label is not null"), "grouped")
-    best = found.groupBy("_label").agg(F.min(F.struct(doc_id, "_key", "_hash")).alias("_best"), F.count(F.lit(1)).alias("_rows"))
-    several = stored(best.where("_rows > 1"), "several")
-    members = hot_join(found, several.select("_label", "_best"), ["_label"], several.select("_label", "_rows"))
-    loser = (F.col("_key") != F.col("_best._key")) | (F.col("_hash") != F.col("_best._hash"))
-    losers = stored(members.where(loser).select("_key", "_hash").distinct(), "losers")
+    spark = docs.sparkSession
+    losers_at, repeated_at = new_folder(spark, "losers"), new_folder(spark, "repeated")
+    with temporary_folders(spark):  # of all the join's tables only the ids of what goes are kept
+        found = stored(join_components(marked, text, doc_id, [doc_id, "_key", "_hash"], "_label").where("_label is not null"), "grouped")
+        best = found.groupBy("_label").agg(F.min(F.struct(doc_id, "_key", "_hash")).alias("_best"), F.count(F.lit(1)).alias("_rows"))
+        several = stored(best.where("_rows > 1"), "several")
+        members = hot_join(found, several.select("_label", "_best"), ["_label"], several.select("_label", "_rows"))
+        loser = (F.col("_key") != F.col("_best._key")) | (F.col("_hash") != F.col("_best._hash"))
+        members.where(loser).select("_key", "_hash").distinct().write.parquet(losers_at)
+        losers = spark.read.schema("_key string, _hash bigint").parquet(losers_at)
+        # Repeated rows of a winner: same id and text.
+        repeated = found.groupBy("_key", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key", "_hash")
+        repeated.join(losers, ["_key", "_hash"], "left_anti").write.parquet(repeated_at)
+        repeated = spark.read.schema("_key string, _hash bigint").parquet(repeated_at)
     kept = lookup_join(marked, losers, ["_key", "_hash"], "left_anti")
-    # Repeated rows of a winner: same id and text.
-    repeated = found.groupBy("_key", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key", "_hash")
-    repeated = stored(repeated.join(losers, ["_key", "_hash"], "left_anti"), "repeated")
     if not repeated.isEmpty():
         single = lookup_join(kept, repeated, ["_key", "_hash"], "left_anti")
         again = lookup_join(kept, repeated, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"])
