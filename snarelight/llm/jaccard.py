@@ -1,6 +1,7 @@
 """N-gram Jaccard join over count vectors in R-trees.
 
-A document's set is its distinct shingles of ``SHINGLE`` words. Hashing shingles into groups gives a
+A document's set is its distinct shingles of ``size`` words; sets link at a Jaccard of ``part`` of ``WHOLE`` or more
+(defaults: ``SHINGLE`` and ``PART``). Hashing shingles into groups gives a
 point, the counts per group; two sets share at most the sum over groups of the smaller count.
 Documents whose sets are equal become one entry. Entries meet where they share a shingle among their
 first (n - ceil(t n) + 1) in one global order: two sets with Jaccard t must. What meets in such a
@@ -37,7 +38,7 @@ from snarelight.llm.components import components
 from snarelight.session import new_folder, temporary_folders
 
 SHINGLE = 3
-#: The link threshold as a fraction: 90 of 100.
+#: The default link threshold as a fraction: 90 of 100.
 PART, WHOLE = 90, 100
 PLACE = 4096
 SAMPLE_DOCS, COMMON_WORDS = 20_000, 65_536
@@ -105,8 +106,8 @@ def shingle_sets(texts: list, known: _Words, size: int = SHINGLE) -> list[tuple[
     return out
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-n * PART // WHOLE) + 1
+def prefix_size(n: int, part: int = PART) -> int:
+    return n - -(-n * part // WHOLE) + 1
 
 
 def point_of(shingles: np.ndarray) -> bytes:
@@ -132,16 +133,17 @@ def points(raw: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.stack(rows), np.stack(bits).view(np.uint64)
 
 
-def close(bits: np.ndarray, n: int, other_bits: np.ndarray, other_n: np.ndarray) -> np.ndarray:
+def close(bits: np.ndarray, n: int, other_bits: np.ndarray, other_n: np.ndarray, part: int = PART) -> np.ndarray:
     """Whether the sets may differ by as few shingles as the threshold allows: unequal parities are differences."""
     apart = np.bitwise_count(bits ^ other_bits).sum(1, dtype=np.int64)
-    return (WHOLE + PART) * apart <= (WHOLE - PART) * (n + other_n)
+    return (WHOLE + part) * apart <= (WHOLE - part) * (n + other_n)
 
 
 class RTree:
     """Points packed by size and coordinates; nodes hold the largest counts and the range of sizes."""
 
-    def __init__(self, table: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, table: np.ndarray, sizes: np.ndarray, part: int = PART) -> None:
+        self.part = part
         order = np.lexsort((*table[:, :3].T, sizes))
         self.order, self.table, self.sizes = order, table[order], sizes[order]
         self.levels = []
@@ -153,13 +155,13 @@ class RTree:
             self.levels.append((top, low, high))
 
     @staticmethod
-    def may_link(point, n, top, low, high) -> np.ndarray:
+    def may_link(point, n, top, low, high, part=PART) -> np.ndarray:
         """Whether entries with at most these counts and sizes in low..high may reach the threshold."""
         shared = np.minimum(top, point).sum(1)
-        fits = (high * WHOLE >= n * PART) & (low * PART <= n * WHOLE)
+        fits = (high * WHOLE >= n * part) & (low * part <= n * WHOLE)
         # Jaccard >= t: (whole + part) * shared >= part * (sum of sizes); the least size allowed bounds the sum.
-        least = np.maximum(low, -(-n * PART // WHOLE))
-        return fits & ((WHOLE + PART) * shared >= PART * (n + least))
+        least = np.maximum(low, -(-n * part // WHOLE))
+        return fits & ((WHOLE + part) * shared >= part * (n + least))
 
     def search(self, point: np.ndarray, n: int) -> np.ndarray:
         """Entries (numbers as given) that may link with a set of n shingles at ``point``."""
@@ -167,24 +169,27 @@ class RTree:
         for top, low, high in reversed(self.levels[:-1]):
             children = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
             children = children[children < len(low)]
-            nodes = children[self.may_link(point, n, top[children], low[children], high[children])]
+            nodes = children[self.may_link(point, n, top[children], low[children], high[children], self.part)]
         if self.levels:
             nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < len(self.sizes)]
-        hit = nodes[self.may_link(point, n, self.table[nodes], self.sizes[nodes], self.sizes[nodes])]
+        hit = nodes[self.may_link(point, n, self.table[nodes], self.sizes[nodes], self.sizes[nodes], self.part)]
         return self.order[hit]
 
 
-def place_links(ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], labels: np.ndarray | None) -> list[tuple[int, int]]:
+def place_links(
+    ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], labels: np.ndarray | None, part: int = PART
+) -> list[tuple[int, int]]:
     """Pairs of one place that may link: a spanning forest, or with ``labels`` all between different labels."""
     if labels is not None and (labels == labels[0]).all():
         return []
     table, bits = points(raw, sizes)
     if len(ids) == 2:
-        if (RTree.may_link(table[0], sizes[0], table[1:], sizes[1:], sizes[1:]) & close(bits[0], sizes[0], bits[1:], sizes[1:]))[0]:
+        fits = RTree.may_link(table[0], sizes[0], table[1:], sizes[1:], sizes[1:], part)
+        if (fits & close(bits[0], sizes[0], bits[1:], sizes[1:], part))[0]:
             return [(int(ids[0]), int(ids[1]))]
         return []
-    tree = RTree(table, sizes)
+    tree = RTree(table, sizes, part)
     out, root = [], list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -197,7 +202,7 @@ def place_links(ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], labels: np
         near = tree.search(table[i], sizes[i])
         # Smallest first: places with the same entries then emit the same pairs.
         near = np.sort(near[near < i])
-        for j in near[close(bits[i], sizes[i], bits[near], sizes[near])].tolist():
+        for j in near[close(bits[i], sizes[i], bits[near], sizes[near], part)].tolist():
             if labels is not None:
                 if labels[i] != labels[j]:
                     out.append((int(ids[i]), int(ids[j])))
@@ -207,7 +212,7 @@ def place_links(ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], labels: np
     return out
 
 
-def _fingerprints(docs: DataFrame, text: str, keep: list[str], costs: dict[bytes, int]) -> DataFrame:
+def _fingerprints(docs: DataFrame, text: str, keep: list[str], costs: dict[bytes, int], size: int, part: int) -> DataFrame:
     """``keep`` with n_shingles, _set (digest of the set; null: empty), _text (hash of the text), _prefix and _point."""
     rows = docs.select(
         *[F.col(f"`{c}`") for c in keep],
@@ -224,14 +229,14 @@ def _fingerprints(docs: DataFrame, text: str, keep: list[str], costs: dict[bytes
         known = _Words(sent.value)
         for batch, texts in slices(batches, "_body"):
             known.forget()
-            sets = shingle_sets(texts, known)
+            sets = shingle_sets(texts, known, size)
             made = {
                 "_body": pa.nulls(len(texts), pa.string()),
                 "n_shingles": pa.array([len(s) for s, _ in sets], pa.int64()),
                 "_set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s, _ in sets], pa.binary()),
                 # One global order: what is made of rare words first, then by hash.
                 "_prefix": pa.array(
-                    [s[np.lexsort((s, c))[: prefix_size(len(s))]].view(np.int64) if len(s) else [] for s, c in sets], pa.list_(pa.int64())
+                    [s[np.lexsort((s, c))[: prefix_size(len(s), part)]].view(np.int64) if len(s) else [] for s, c in sets], pa.list_(pa.int64())
                 ),
                 "_point": pa.array([point_of(s) if len(s) else None for s, _ in sets], pa.binary()),
             }
@@ -259,7 +264,7 @@ def _word_costs(docs: DataFrame, text: str) -> dict[bytes, int]:
     return dict(zip(rows.column("w").to_pylist(), logs, strict=True))
 
 
-def _candidates(places: DataFrame, labelled: bool) -> DataFrame:
+def _candidates(places: DataFrame, labelled: bool, part: int) -> DataFrame:
     """a and b of the pairs that may link; ``places`` has token, x and y (block numbers), id, n, point (and label)."""
     names = ["token", "x", "y", "id", "n", "point", *(["label"] if labelled else [])]
     rows = places.select(*names).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "id")
@@ -272,32 +277,32 @@ def _candidates(places: DataFrame, labelled: bool) -> DataFrame:
             cuts = [0] + [i for i in range(1, len(key)) if key[i] != key[i - 1]] + [len(key)]
             out = []
             for s, e in zip(cuts, cuts[1:], strict=False):
-                part = (key[s], [c[s:e] for c in columns[3:]])
-                if held and held[0] == part[0]:
-                    for mine, more in zip(held[1], part[1], strict=True):
+                place = (key[s], [c[s:e] for c in columns[3:]])
+                if held and held[0] == place[0]:
+                    for mine, more in zip(held[1], place[1], strict=True):
                         mine += more
                     continue
                 if held:
-                    out += _linked(held[1], labelled)
-                held = list(part)
+                    out += _linked(held[1], labelled, part)
+                held = list(place)
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if held and (out := _linked(held[1], labelled)):
+        if held and (out := _linked(held[1], labelled, part)):
             a, b = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _linked(columns: list[list], labelled: bool) -> list[tuple[int, int]]:
+def _linked(columns: list[list], labelled: bool, part: int) -> list[tuple[int, int]]:
     if len(columns[0]) < 2:
         return []
     labels = np.array(columns[3]) if labelled else None
-    return place_links(np.array(columns[0]), np.array(columns[1]), columns[2], labels)
+    return place_links(np.array(columns[0]), np.array(columns[1]), columns[2], labels, part)
 
 
-def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str, size: int, part: int) -> DataFrame:
     """The pairs whose sets reach the threshold. Sets are made again, for the texts in question only."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = stored(ends.join(entries.select("id", "_text", "_set"), "id"), "wanted")
@@ -308,12 +313,12 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str)
         known = _Words()
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(bits.value, batch.column("_text").to_numpy())))
-            for part, texts in slices([batch], "_body"):
+            for piece, texts in slices([batch], "_body"):
                 known.forget()
-                sets = [s for s, _ in shingle_sets(texts, known)]
+                sets = [s for s, _ in shingle_sets(texts, known, size)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("_text"),
+                        piece.column("_text"),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                     ],
@@ -329,19 +334,21 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str)
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("_sa", "_sb"))
     total = F.size("_sa") + F.size("_sb")
-    return stored(both.where((WHOLE + PART) * shared >= PART * total).select("a", "b"), "linked")
+    return stored(both.where((WHOLE + part) * shared >= part * total).select("a", "b"), "linked")
 
 
 def join_components(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, label: str | None = None
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, label: str | None = None,
+    size: int = SHINGLE, part: int = PART,
 ) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all but the text) with n_shingles and component_id.
 
     component_id is the smallest doc_id of the documents connected by links; without a set, the own id.
+    Sets are of shingles of ``size`` words and link at a Jaccard of ``part`` of ``WHOLE``.
     ``label`` names a column to add that tells components apart even where ids repeat (null: no set).
     """
     kept = [c for c in without(docs, RESULTS).columns if c != text] if keep is None else keep
-    found = stored(_fingerprints(docs, text, list(dict.fromkeys([*kept, doc_id])), _word_costs(docs, text)), "fingerprints")
+    found = stored(_fingerprints(docs, text, list(dict.fromkeys([*kept, doc_id])), _word_costs(docs, text), size, part), "fingerprints")
     with_set = found.where("_set is not null")
     copies = with_set.groupBy("_set").agg(F.min(doc_id).alias("_least"), F.count(F.lit(1)).alias("_rows"))
     entries = with_set.select("_set", "_text", "n_shingles", "_prefix", "_point").dropDuplicates(["_set"])
@@ -359,14 +366,14 @@ def join_components(
     met = met.join(entries.select("id", F.col("n_shingles").alias("n"), F.col("_point").alias("point")), "id")
     met = met.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     met = met.withColumns({"x": F.least("_mine", "_other"), "y": F.greatest("_mine", "_other")})
-    first = stored(_candidates(met, False), "pairs")
-    links = _verified(first, entries, docs, text)
+    first = stored(_candidates(met, False, part), "pairs")
+    links = _verified(first, entries, docs, text, size, part)
     labels = stored(components(links), "components")
     named = met.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     # Pairs of the first round that failed are known to fail.
-    second = stored(_candidates(named, True).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = stored(_candidates(named, True, part).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        links = links.union(_verified(second, entries, docs, text))
+        links = links.union(_verified(second, entries, docs, text, size, part))
         labels = stored(components(links), "components")
     sets = copies.join(entries.select("_set", "id"), "_set").join(labels.withColumnRenamed("node", "id"), "id", "left")
     sets = stored(sets.withColumn("label", F.coalesce("label", "id")), "sets")
@@ -379,14 +386,14 @@ def join_components(
     return full.select(*columns).union(empty.select(*columns))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, part: int = PART) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest id (then text hash); rows without a set stay."""
     marked = docs.withColumn("_key", F.coalesce(F.col(doc_id).cast("string"), F.lit("~")))
     marked = marked.withColumn("_hash", F.coalesce(F.xxhash64(text), F.lit(0).cast("long")))
     spark = docs.sparkSession
     losers_at, repeated_at = new_folder(spark, "losers"), new_folder(spark, "repeated")
     with temporary_folders(spark):  # of all the join's tables only the ids of what goes are kept
-        found = stored(join_components(marked, text, doc_id, [doc_id, "_key", "_hash"], "_label").where("_label is not null"), "grouped")
+        found = stored(join_components(marked, text, doc_id, [doc_id, "_key", "_hash"], "_label", size, part).where("_label is not null"), "grouped")
         best = found.groupBy("_label").agg(F.min(F.struct(doc_id, "_key", "_hash")).alias("_best"), F.count(F.lit(1)).alias("_rows"))
         several = stored(best.where("_rows > 1"), "several")
         members = hot_join(found, several.select("_label", "_best"), ["_label"], several.select("_label", "_rows"))
