@@ -1,4 +1,4 @@
-"""Exact removal of long repeats by prefix-free parsing.
+"""Exact removal of long repeats by parsing at window minimizers and digests of the parts.
 
 Rolling-hash triggers cut texts into phrases: a window of ``LENGTH`` bytes has its trigger at the
 smallest rolling hash of ``GRAM`` bytes in it, the first of equals, so equal windows have their
@@ -13,8 +13,8 @@ part share their core, the bytes that all of them cover.
   suffix before the trigger, parse suffix after it) are split into narrower ones, one row per distinct
   part, down to single windows (``WIDTHS``), and judged in the same way.
 
-Equality classes are all that removal needs, so order is by digest, not by letter, and only
-suffixes that can repeat are ever ordered. Parts are equal if two 64-bit digests are, of the core and
+Equality classes are all that removal needs: parts are grouped by digests, no suffix array of dictionary
+or parse is built, and no suffix is sorted. Parts are equal if two 64-bit digests are, of the core and
 of the whole span.
 
 A null text counts as empty; texts shorter than a window are kept whole; repeated rows repeat each
