@@ -1,15 +1,14 @@
 import sys
-from datetime import datetime
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from snarelight.model import SCHEMAS, Tables  # noqa: E402
-from snarelight.session import build_session  # noqa: E402
+from helpers import DAY, table  # noqa: E402
 
-DAY = datetime(2024, 3, 1, 9, 0, 0)
+from snarelight.model import Tables  # noqa: E402
+from snarelight.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,17 +19,14 @@ def spark():
     session.stop()
 
 
-def table(spark, name, rows):
-    return spark.createDataFrame(rows, SCHEMAS[name])
-
-
+# People and score sources are made up. The URLs, rules, codes, votes and scores, which expected results need.
 SEED = {
     "users": [
-        (1, "Admin User", "admin@triage.example", "admin", DAY),
-        (2, "Security Analyst", "analyst@triage.example", "analyst", DAY),
-        (3, "John Doe", "john.doe@example.com", "user", DAY),
-        (4, "Jane Smith", "jane.smith@example.com", "user", DAY),
-        (5, "Bob Johnson", "bob.johnson@example.com", "user", DAY),
+        (1, "Root Account", "admin@triage.example", "admin", DAY),
+        (2, "Lead Reviewer", "analyst@triage.example", "analyst", DAY),
+        (3, "Priya Nair", "priya.nair@example.com", "user", DAY),
+        (4, "Olga Brandt", "olga.brandt@example.com", "user", DAY),
+        (5, "Tomas Ferreira", "tomas.ferreira@example.com", "user", DAY),
     ],
     "rules": [
         (1, "Suspicious Keywords", None, "verify|secure|update|account|login", "keyword", "high", None),
@@ -75,11 +71,11 @@ SEED = {
         for i, (user, url, value) in enumerate([(3, 1, 1), (4, 1, 1), (5, 2, -1), (3, 3, 1), (4, 4, -1), (5, 5, 1)])
     ],
     "url_score_comparisons": [
-        (1, 1, "VirusTotal", 0.85, 0.90, "high", DAY),
-        (2, 2, "Google Safe Browsing", 0.05, 0.02, "low", DAY),
-        (3, 3, "VirusTotal", 0.92, 0.95, "critical", DAY),
-        (4, 4, "Google Safe Browsing", 0.03, 0.01, "low", DAY),
-        (5, 5, "URLVoid", 0.65, 0.70, "medium", DAY),
+        (1, 1, "Engine Alpha", 0.85, 0.90, "high", DAY),
+        (2, 2, "Engine Beta", 0.05, 0.02, "low", DAY),
+        (3, 3, "Engine Alpha", 0.92, 0.95, "critical", DAY),
+        (4, 4, "Engine Beta", 0.03, 0.01, "low", DAY),
+        (5, 5, "Engine Gamma", 0.65, 0.70, "medium", DAY),
     ],
 }
 
@@ -90,7 +86,3 @@ def seed(spark, tmp_path_factory):
     for name, data in SEED.items():
         table(spark, name, data).coalesce(1).write.parquet(f"{root}/{name}")
     return Tables.from_parquet(spark, root)
-
-
-def rows(df, *columns):
-    return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DAY, rows
+from helpers import DAY, rows
 from snarelight.operators import voting
 from snarelight.plans import feed, intake
 from snarelight.plans.search import export_rows
@@ -50,8 +50,8 @@ def test_register_reasons(spark, seed):
         (1, "A", "a@x", "name_too_short", None),
         (2, " Al ", "al.x", "invalid_email", None),
         (3, "Al", "a@" + "x" * 254, "invalid_email", None),
-        (4, "Al", "john.doe@example.com", "email_taken", None),
-        (5, "Al", "John.Doe@example.com", None, True),
+        (4, "Al", "priya.nair@example.com", "email_taken", None),
+        (5, "Al", "Priya.Nair@example.com", None, True),
         (6, "Al", " new@x ", None, False),
         (7, "Bo", "new@x", "email_taken", None),
     ]
@@ -140,7 +140,7 @@ def test_export_bytes(spark, seed, tmp_path):
     (part,) = (tmp_path / "out").glob("part-*.csv")
     assert part.read_bytes() == (
         b"URL,Domain,TLD,Status,Submitter,Submitted,Phishing votes,Legitimate votes\r\n"
-        b'"http://a/""b"", c ",192.168.1.100,,PHISHING,John Doe,2024-03-01 09:00:00,1,0\r\n'
+        b'"http://a/""b"", c ",192.168.1.100,,PHISHING,Priya Nair,2024-03-01 09:00:00,1,0\r\n'
     )
 
 

@@ -1,7 +1,7 @@
 """Large catalogues, ids that are never given out again, hosts, feed headers and competing snapshots."""
 
 import pytest
-from conftest import DAY, rows, table
+from helpers import DAY, rows, table
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

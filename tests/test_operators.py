@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from snarelight.functions import text, urls, verdicts
 from snarelight.operators import sessions, voting
 from snarelight.operators.catalogue import with_catalogue

@@ -5,7 +5,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DAY, rows, table
+from helpers import DAY, rows, table
 from snarelight.plans import audit, feed, intake, jobs, maintenance, reports, rules_engine, search
 from snarelight.plans.search import Search
 
@@ -20,7 +20,7 @@ def test_counts(seed):
 
 def test_contributors(seed):
     stats = reports.contributor_stats(seed).drop("user_id", "email", "role")
-    assert rows(stats) == [("John Doe", 4, 4, 0, 0), ("Jane Smith", 3, 0, 1, 2), ("Bob Johnson", 3, 0, 3, 0)]
+    assert rows(stats) == [("Priya Nair", 4, 4, 0, 0), ("Olga Brandt", 3, 0, 1, 2), ("Tomas Ferreira", 3, 0, 3, 0)]
 
 
 def test_rule_usage(seed):
@@ -85,7 +85,7 @@ def test_url_analysis_report(seed):
 
 def test_top_rule_submitters(seed):
     got = rows(reports.top_rule_submitters(seed), "name", "urls_submitted", "total_rule_matches", "avg_rules_per_url")
-    assert got == [("John Doe", 4, 9, 2.25), ("Jane Smith", 2, 2, 1.0)]
+    assert got == [("Priya Nair", 4, 9, 2.25), ("Olga Brandt", 2, 2, 1.0)]
 
 
 def test_risk_categories(seed):
@@ -150,11 +150,11 @@ def test_dossier_and_available_rules(seed, spark):
         ("rule", "Suspicious TLD"),
         ("rule", "Suspicious Domain Pattern"),
         ("rule", "Suspicious Keywords"),
-        ("score", "VirusTotal"),
+        ("score", "Engine Alpha"),
         ("status", "Confirmed Phishing"),
-        ("url", "John Doe"),
-        ("vote", "John Doe"),
-        ("vote", "Jane Smith"),
+        ("url", "Priya Nair"),
+        ("vote", "Priya Nair"),
+        ("vote", "Olga Brandt"),
     ]
     by_severity = search.in_page_order(dossier, by_severity=True).where("section = 'rule'")
     assert rows(by_severity, "risk_level") == [("high",), ("high",), ("medium",)]
@@ -170,7 +170,7 @@ def test_single_lookups(seed, spark):
     pairs = spark.createDataFrame([(1, 3), (1, 5)], "url_id bigint, user_id bigint")
     assert sorted(rows(reports.viewer_votes(seed, pairs))) == [(1, 3, 1), (1, 5, None)]
     assert rows(reports.feed_summary(seed, "nobody@x")) == [(0, None)]
-    assert rows(reports.feed_summary(seed, "john.doe@example.com")) == [(4, DAY)]
+    assert rows(reports.feed_summary(seed, "priya.nair@example.com")) == [(4, DAY)]
     assert rows(reports.status_text_search(seed, "CONFIRMED", "label"), "status_id") == [(1,), (3,)]
 
 
@@ -257,7 +257,7 @@ def test_cleanup_rule_matches_drops_orphans(spark, seed):
 
 def test_audit_counts_every_kind(spark, seed):
     t = seed.with_tables(
-        users=seed.users.unionByName(table(spark, "users", [(6, "Eve", "john.doe@example.com", "root", DAY)])),
+        users=seed.users.unionByName(table(spark, "users", [(6, "Eve", "priya.nair@example.com", "root", DAY)])),
         votes=seed.votes.unionByName(table(spark, "votes", [(9, 3, 1, 0, DAY)])),
         url_score_comparisons=seed.url_score_comparisons.withColumn("created_at", F.lit(None).cast("timestamp_ntz")),
     )
