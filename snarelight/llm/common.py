@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +37,15 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def packed(names: list[str]) -> Column:
+    """The user's columns of these names as one struct ``_user``: no name in it can clash with a work column."""
+    return F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(None).alias("none")]).alias("_user")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("_user").getField(c).alias(c) for c in names]
+
+
 def with_running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
     """Adds, for each entry of ``totals``, the sum of the column over all rows before this one in ``order``.
 
@@ -104,19 +114,25 @@ def may_hold(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bitmap, np.uint32)[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
 
 
+def arrow_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about SLICE_BYTES of its ``column``-th column (strings)."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        piece = np.cumsum(size) // SLICE_BYTES
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(size)]])
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """The batches cut so that each has about SLICE_BYTES of ``column``; with its values as bytes or None."""
     for batch in batches:
-        values = batch.column(column).cast(pa.binary()).to_pylist()
-        start = held = 0
-        for i, value in enumerate(values):
-            held += len(value or b"")
-            if held >= SLICE_BYTES or i == len(values) - 1:
-                yield batch.slice(start, i + 1 - start), values[start : i + 1]
-                start, held = i + 1, 0
+        for piece in arrow_slices([batch], batch.schema.get_field_index(column)):
+            yield piece, piece.column(column).cast(pa.binary()).to_pylist()
 
 
 __all__ = [
-    "FILTER_BITS", "LOWER", "SPACES", "UPPER", "WORD", "hot_join", "is_small", "key_filter", "lookup_join", "lowered", "may_hold", "slices", "stored", "table",
-    "with_running_totals", "without",
+    "FILTER_BITS", "LOWER", "SPACES", "UPPER", "WORD", "arrow_slices", "hot_join", "is_small", "key_filter", "lookup_join", "lowered", "may_hold", "packed", "slices", "stored",
+    "table", "unpacked", "with_running_totals", "without",
 ]

@@ -133,8 +133,37 @@ FROM base b JOIN state s USING (src) LEFT JOIN picked p ON p.src = b.src AND p.k
 """
 
 
+NEAR_VECTORS = """
+WITH RECURSIVE usable AS (
+  SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), units AS (
+  SELECT rn, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM usable
+), links AS (
+  SELECT a.rn AS a, b.rn AS b FROM units a JOIN units b ON a.rn <> b.rn AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT r.a, min(u.vec_id) AS vec_id FROM reach r JOIN units u ON u.rn = r.b GROUP BY 1
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY 1
+), whole AS (
+  SELECT u.rn, u.vec_id, coalesce(c.n, 0) AS n_links, least(u.vec_id, l.vec_id) AS component_id
+  FROM units u LEFT JOIN counts c ON c.a = u.rn LEFT JOIN least l ON l.a = u.rn
+  UNION ALL
+  SELECT NULL, vec_id, 0, vec_id FROM embeddings WHERE NOT (len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0) OR embedding IS NULL
+)
+SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM whole
+"""
+
+
 ORACLES = {
     "op1_decontaminate": DECONTAMINATE,
     "op9_quality_rules": QUALITY,
     "op10_mixing": _mixing(),
+    "op12_embedding_near_dedup": NEAR_VECTORS,
 }

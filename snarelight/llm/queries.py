@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snarelight.llm import chat, decontaminate, jaccard, lm, mixing, personal, quality, repeats, secrets, sharding
-from snarelight.llm.common import table
+from snarelight.llm import chat, decontaminate, embeddings, jaccard, lm, mixing, periodic, personal, quality, repeats, secrets, sharding, spelling
+from snarelight.llm.common import WORD, table
 from snarelight.llm.oracles import ORACLES
 
 
@@ -89,6 +89,59 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+#: Every so many (document, word) pairs are misspelled before words are counted.
+MISSPELLED = 97
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(docs, doc_id="doc_id", change=spelling.drop_letter(MISSPELLED))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), keep=["vec_id"])
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id and text) with the words of every tenth id's text (by hash) made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    rows = docs.withColumn("_g", F.floor(h / 10)).withColumn("_words", F.when(h % 10 == 0, words))
+    n, g = F.size("_words"), F.col("_g")
+    rows = rows.withColumn("_a", F.when(n > 0, (g % n).cast("int")))
+    a = F.col("_a")
+    rows = rows.withColumn("_p", F.when(n > 0, (1 + F.floor((n - a) / (3 + g % 8))).cast("int")))
+    at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % F.col("_p"))
+    changed = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", at(i))), " ")
+    return rows.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.find_runs(docs, keep=["doc_id"])
+    lines = F.transform(
+        "runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    )
+    written = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+
+    def better(best: Column, r: Column) -> Column:
+        # Products of whole numbers compare the quotients exactly; runs come by start, then period.
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    rows = found.withColumn("_best", F.aggregate("runs", none, better))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_best.start").alias("start"),
+        F.col("_best.length").alias("length"),
+        F.col("_best.period").alias("period"),
+        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(written.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_personal_data": op2_personal_data,
@@ -100,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
