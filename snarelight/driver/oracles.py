@@ -151,6 +151,13 @@ where island = last_island
 group by user_id, url_id having count(*) % 2 = 1
 """
 
+# A vote's part of the stream, and the newest time of the parts before it less one hour.
+_ARRIVED = """
+select v.*, max(ts) over (order by part range between unbounded preceding and 1 preceding) - interval 1 hour as watermark
+from (select v.*, least(2, cast(floor(3 * (epoch_us(v.ts) - (select min(epoch_us(ts)) from events))
+          / ((select max(epoch_us(ts)) - min(epoch_us(ts)) from events) + 1)) as int)) + if(event_id % 50 = 0, 1, 0) as part
+      from vote_log v where vote_value in (-1, 1)) v
+"""
 _SESSIONS = """
 select user_id, min(ts) as session_start, max(ts) as last_seen, max(ts) + interval 8 hour as expires_at, count(*) as event_count
 from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as session_no
@@ -460,6 +467,10 @@ select s.url as "URL", s.url_domain as "Domain", s.tld as "TLD", s.result_code a
        cast(k.legitimate_votes as varchar) as "Legitimate votes"
 from url_submissions s join users p using (user_id) join ({_VOTE_SPLIT}) k on k.url_id = s.url_id""",
     "apply_snapshot": _VOTED_CODE,
+    "apply_changes": f"""
+select 'url_submissions' as table_name, url_id as row_id, result_code from ({_VOTED_CODE})
+union all
+select 'url_rule_matches', match_id, null from url_rule_matches where match_id not in (select match_id from ({_BENIGN}))""",
     "parse_urls": f"""
 select page_id, url_domain, tld, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) as scheme
 from ({sql_url_parts("pages")})""",
@@ -496,7 +507,9 @@ select distinct l_orderkey * 25 + l_partkey % 23, l_orderkey, 'not_found' from l
 where l_tax > 0.04 and (l_orderkey * 25 + l_partkey % 23, l_orderkey) not in (select match_id, url_id from url_rule_matches)""",
     "delete_submissions": _deleted(),
     "fold_votes": _FOLDED,
-    "stream_votes": _FOLDED,
+    "stream_votes": _FOLDED.replace("from vote_log", f"from (select * from ({_ARRIVED}) where watermark is null or ts >= watermark) as vote_log"),
+    "stream_votes_late": f"select event_id, ts, user_id, url_id, vote_value, watermark from ({_ARRIVED}) where ts < watermark",
+    "stream_sessions_all": _SESSIONS,
     "reclassify_by_votes": _VOTED_CODE,
     "annotate_admin_statuses": """
 select t.* exclude (url_code, hit) replace (

@@ -67,6 +67,20 @@ def _apply_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.load(spark, root)[0].url_submissions
 
 
+def _apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by change sets: reclassified rows and deleted matches only are written."""
+    root = new_folder(spark, "snapshots")
+    snapshots.save(triage_tables(spark, sf_dir), root)
+    stored, _ = snapshots.load(spark, root)
+    snapshots.save_changes(stored, _reclassified(stored), root, ["url_submissions"])
+    cleaned = maintenance.cleanup_rule_matches(stored).tables
+    snapshots.save_changes(stored, cleaned, root, ["url_rule_matches"])
+    tables, _ = snapshots.load(spark, root)
+    ids = [getattr(tables, n).select(F.lit(n).alias("table_name"), F.col(IDS[n]).alias("row_id"), c) for n, c in
+           (("url_submissions", F.col("result_code")), ("url_rule_matches", F.lit(None).cast("string").alias("result_code")))]
+    return ids[0].unionByName(ids[1])
+
+
 def _viewer_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = triage_tables(spark, sf_dir)
     asked = t.url_submissions.select("url_id", (F.col("url_id") % 100).alias("user_id"))
@@ -183,27 +197,58 @@ def _fold_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voting.fold_votes(input_rows(spark, sf_dir, "vote_log")).drop("vote_id")
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = read(spark, sf_dir, "events").schema
-    # A file stream wants a folder or a pattern; the braces let the table be a single file too.
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events.parquet}}")
+#: The events arrive in so many parts; the stream is run again after each.
+PARTS = 3
+#: Every so many events arrive one part late.
+LATE_EVENTS = 50
+#: Part of the events by time, and by number, as a number from 0.
+PART_OF_TIME = f"""
+select e.*, least({PARTS - 1}, cast(floor({PARTS} * (unix_micros(cast(e.ts as timestamp)) - (select min(unix_micros(cast(ts as timestamp))) from {{events}}))
+    / ((select max(unix_micros(cast(ts as timestamp))) - min(unix_micros(cast(ts as timestamp))) from {{events}}) + 1)) as int))
+  + case when e.event_id % {LATE_EVENTS} = 0 then 1 else 0 end as part
+from {{events}} e
+"""
+PART_OF_NUMBER = f"""
+select e.*, cast(floor({PARTS} * (e.event_id - (select min(event_id) from {{events}}))
+    / ((select max(event_id) - min(event_id) from {{events}}) + 1)) as int) as part
+from {{events}} e
+"""
+
+
+def _arriving(spark: SparkSession, sf_dir: str, parts: str, run) -> None:
+    """Writes the events part by part and lets ``run`` take each part over from the stream of all that has arrived."""
+    events = read(spark, sf_dir, "events")
+    folder = new_folder(spark, "events")
+    dealt = spark.sql(parts, events=events)
+    for part in range(PARTS + (parts == PART_OF_TIME)):
+        dealt.where(F.col("part") == part).drop("part").write.parquet(f"{folder}/arrived-{part}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/arrived-*")
+        _finish(run(stream))
 
 
 def _finish(query) -> None:
     query.awaitTermination()
 
 
-def _stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run_votes(spark: SparkSession, sf_dir: str) -> str:
     out = new_folder(spark, "votes")
-    log = spark.sql(VOTE_LOG, events=_event_stream(spark, sf_dir))
-    _finish(streams.stream_votes(log, out))
-    return streams.current_votes(spark, out).drop("vote_id")
+    _arriving(spark, sf_dir, PART_OF_TIME, lambda events: streams.stream_votes(spark.sql(VOTE_LOG, events=events), out))
+    return out
+
+
+def _stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.current_votes(spark, _run_votes(spark, sf_dir)).drop("vote_id")
+
+
+def _late_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_run_votes(spark, sf_dir)}/late").select("event_id", "ts", "user_id", "url_id", "vote_value", "watermark")
 
 
 def _stream_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "submissions")
-    requests = input_rows(spark, sf_dir, "requests", events=_event_stream(spark, sf_dir))
-    _finish(streams.stream_submit(requests, triage_tables(spark, sf_dir), out))
+    tables = triage_tables(spark, sf_dir)
+    requests = lambda events: input_rows(spark, sf_dir, "requests", events=events)
+    _arriving(spark, sf_dir, PART_OF_NUMBER, lambda events: streams.stream_submit(requests(events), tables, out))
     accepted = spark.read.parquet(f"{out}/accepted")
     hits = spark.read.parquet(f"{out}/hits").select("seq", "rule_id")
     return accepted.join(hits, "seq", "left").select("seq", "user_id", "url", "url_domain", "tld", "result_code", "rule_id")
@@ -211,18 +256,33 @@ def _stream_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "feed")
-    rows = input_rows(spark, sf_dir, "feed", events=_event_stream(spark, sf_dir))
-    _finish(streams.stream_feed(rows, triage_tables(spark, sf_dir), out, AS_OF))
+    tables = triage_tables(spark, sf_dir)
+    rows = lambda events: input_rows(spark, sf_dir, "feed", events=events)
+    _arriving(spark, sf_dir, PART_OF_NUMBER, lambda events: streams.stream_feed(rows(events), tables, out, AS_OF))
     return spark.read.parquet(f"{out}/accepted").drop("batch", "result_code")
 
 
+_SESSION = "user_id bigint, session_start timestamp_ntz, last_seen timestamp_ntz, expires_at timestamp_ntz, event_count bigint"
+
+
+def _run_sessions(spark: SparkSession, sf_dir: str) -> str:
+    out = new_folder(spark, "sessions")
+    events = read(spark, sf_dir, "events")
+    # A file stream wants a folder or a pattern; the braces let the table be a single file too.
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/{{events.parquet}}")
+    _finish(streams.stream_sessions(stream.select("user_id", "ts"), out))
+    return out
+
+
 def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions the stream has closed; the last ones stay open until later events arrive."""
-    out = new_folder(spark, "sessions")
-    _finish(streams.stream_sessions(_event_stream(spark, sf_dir).select("user_id", "ts"), out))
-    return spark.read.schema(
-        "user_id bigint, session_start timestamp_ntz, last_seen timestamp_ntz, expires_at timestamp_ntz, event_count bigint"
-    ).parquet(f"{out}/sessions")
+    return spark.read.schema(_SESSION).parquet(f"{_run_sessions(spark, sf_dir)}/sessions")
+
+
+def _all_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed sessions, and the open ones from the stream's state."""
+    out = _run_sessions(spark, sf_dir)
+    return spark.read.schema(_SESSION).parquet(f"{out}/sessions").unionByName(streams.open_sessions(spark, out))
 
 
 def _parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,6 +352,7 @@ QUERIES: dict[str, Query] = {
     "feed_rows": _feed_rows,
     "export_urls": _export_urls,
     "apply_snapshot": _apply_snapshot,
+    "apply_changes": _apply_changes,
     "parse_urls": _parsed_pages,
     "submit_urls": _submit,
     "store_submissions": _stored_submissions,
@@ -329,4 +390,6 @@ QUERIES: dict[str, Query] = {
     "stream_votes": _stream_votes,
     "stream_feed": _stream_feed,
     "stream_sessions": _stream_sessions,
+    "stream_sessions_all": _all_stream_sessions,
+    "stream_votes_late": _late_votes,
 }

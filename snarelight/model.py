@@ -97,7 +97,7 @@ class Tables:
     """One consistent snapshot of the seven tables.
 
     ``last_ids`` has the highest id ever given out in a table, where rows have been deleted
-    since: ids are never given out again.
+    since: ids are never given out again. ``version`` is that of the snapshot they were loaded from.
     """
 
     users: DataFrame
@@ -108,10 +108,11 @@ class Tables:
     votes: DataFrame
     url_score_comparisons: DataFrame
     last_ids: Mapping[str, int] = field(default_factory=dict)
+    version: int | None = None
 
     @classmethod
     def names(cls) -> list[str]:
-        return [f.name for f in fields(cls) if f.name != "last_ids"]
+        return [f.name for f in fields(cls) if f.name not in ("last_ids", "version")]
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Tables":

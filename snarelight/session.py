@@ -51,6 +51,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession, name: str):
+    """A path and its file system, as Spark's own readers and writers reach it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
@@ -73,10 +79,9 @@ def temporary_folders(spark: SparkSession) -> Iterator[None]:
     finally:
         folders = _made.get() or []
         _made.reset(token)
-        jvm = spark.sparkContext._jvm
         for folder in folders:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = shared_path(spark, folder)
+            files.delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

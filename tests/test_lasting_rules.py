@@ -2,7 +2,6 @@
 
 import pytest
 from helpers import DAY, rows, table
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from snarelight.functions.urls import malformed_host
@@ -134,6 +133,6 @@ def test_the_later_of_two_runs_fails(seed, spark, tmp_path, monkeypatch):
     assert snapshots.save(fewer, root, ["votes"]) == 2
     with monkeypatch.context() as m:
         m.setattr(snapshots, "_latest", lambda spark, root: before)  # started from version 1 as well
-        with pytest.raises(AnalysisException):
+        with pytest.raises(snapshots.ConcurrentChange):
             snapshots.save(seed.with_tables(votes=seed.votes.where("vote_id > 4")), root, ["votes"])
     assert [r.vote_id for r in snapshots.load(spark, root)[0].votes.orderBy("vote_id").collect()] == [1, 2]
