@@ -46,6 +46,17 @@ def unpacked(names: list[str]) -> list[Column]:
     return [F.col("_user").getField(c).alias(c) for c in names]
 
 
+def shielded(df: DataFrame, text: str, **more: str) -> DataFrame:
+    """``_user`` (all columns but the text), ``text``, and further columns under plain names: nothing else that could clash."""
+    others = [c for c in df.columns if c != text]
+    return df.select(packed(others), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(n) for n, c in more.items()])
+
+
+def restored(names: list[str], text: str) -> list[Column]:
+    """The user's columns of these names, the text among them."""
+    return [F.col("text").alias(c) if c == text else F.col("_user").getField(c).alias(c) for c in names]
+
+
 def with_running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
     """Adds, for each entry of ``totals``, the sum of the column over all rows before this one in ``order``.
 
@@ -114,17 +125,25 @@ def may_hold(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bitmap, np.uint32)[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
 
 
-def arrow_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about SLICE_BYTES of its ``column``-th column (strings)."""
+def arrow_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about ``most`` bytes of its ``column``-th column (strings)."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
-        piece = np.cumsum(size) // SLICE_BYTES
+        piece = np.cumsum(size) // most
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(size)]])
         for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if end > start:
                 yield batch.slice(start, end - start)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts (large strings), and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    words, of = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full), np.bincount(of.filter(full).to_numpy(), minlength=len(texts))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """The batches cut so that each has about SLICE_BYTES of ``column``; with its values as bytes or None."""
     for batch in batches:
@@ -133,6 +152,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
 
 
 __all__ = [
-    "FILTER_BITS", "LOWER", "SPACES", "UPPER", "WORD", "arrow_slices", "hot_join", "is_small", "key_filter", "lookup_join", "lowered", "may_hold", "packed", "slices", "stored",
+    "FILTER_BITS", "LOWER", "SPACES", "UPPER", "WORD", "arrow_slices", "hot_join", "is_small", "key_filter", "lookup_join", "lowered", "may_hold", "packed", "restored", "shielded", "slices", "split_words", "stored",
     "table", "unpacked", "with_running_totals", "without",
 ]

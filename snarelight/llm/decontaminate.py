@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import slices, stored, without
+from snarelight.llm.common import restored, shielded, slices, stored, without
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -182,27 +182,27 @@ def search(
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids (sorted, distinct) and matches (longest, with places)."""
     base = without(docs, RESULTS)
-    df = base.withColumns({"n_words": F.lit(0).cast("long"), "_hit": F.array().cast("array<bigint>")})
+    df = shielded(base, text).withColumns({"n_words": F.lit(0).cast("long"), "_hit": F.array().cast("array<bigint>")})
     df = df.withColumn("matches", F.array().cast("array<struct<item_id:string,doc_word:bigint,item_word:bigint,n_words:bigint>>"))
     context = docs.sparkSession.sparkContext
     done = 0
     for block in _blocks(benchmark, item_id, item_text, window) or []:
-        df = _pass(df, context.broadcast(block), text, window)
+        df = _pass(df, context.broadcast(block), window)
         done += 1
         if done % BLOCKS_PER_PASS == 0:
             df = stored(df, "searched")
     if not done:
-        df = _pass(df, context.broadcast([]), text, window)
+        df = _pass(df, context.broadcast([]), window)
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return df.select(
-        *[F.col(f"`{c}`") for c in base.columns], "n_words", F.size("_hit").cast("long").alias("n_hit"), ids.alias("item_ids"), "matches"
+        *restored(base.columns, text), "n_words", F.size("_hit").cast("long").alias("n_hit"), ids.alias("item_ids"), "matches"
     )
 
 
-def _pass(df: DataFrame, items, text: str, window: int) -> DataFrame:
+def _pass(df: DataFrame, items, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(items.value, window)
-        for batch, texts in slices(batches, text):
+        for batch, texts in slices(batches, "text"):
             found, shard, held = [], [], 0
             words = [words_of(t) for t in texts]
             for w in words:
@@ -230,5 +230,6 @@ def _pass(df: DataFrame, items, text: str, window: int) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their columns (less those of RESULTS' names)."""
-    return search(docs, benchmark, text, **options).where("n_hit = 0").drop(*RESULTS)
+    """The rows of ``docs`` without any hit, with all their columns."""
+    found = search(shielded(docs, text), benchmark, "text", **options)
+    return found.where("n_hit = 0").select(*restored(docs.columns, text))

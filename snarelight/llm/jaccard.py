@@ -13,8 +13,7 @@ Pairs in a place number its square, so a first round emits only a spanning fores
 pairs, and links them up to components; a second round emits all surviving pairs that connect
 different components. Either a pair is verified or its ends are connected already, so components are
 exact. Places of more than ``PLACE`` entries are dealt to blocks and searched block by block. The
-global order puts shingles of frequent words last; frequency is estimated on a bounded sample, and
-affects speed only.
+global order puts shingles of frequent words last; it affects speed only.
 
 Null and empty texts have no set and link with nothing; a text with fewer words than a shingle is one
 shingle; repeated rows are equal documents. Empty tables give empty results. Texts are used whole.
@@ -23,17 +22,16 @@ Input columns with the name of a result are replaced.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import hot_join, key_filter, lookup_join, may_hold, slices, stored, without
+from snarelight.llm.common import arrow_slices, hot_join, key_filter, lookup_join, may_hold, packed, split_words, stored, unpacked, without
 from snarelight.llm.components import components
 from snarelight.session import new_folder, temporary_folders
 
@@ -41,7 +39,10 @@ SHINGLE = 3
 #: The default link threshold as a fraction: 90 of 100.
 PART, WHOLE = 90, 100
 PLACE = 4096
-SAMPLE_DOCS, COMMON_WORDS = 20_000, 65_536
+#: Words that may be ordered by their frequency: those with this share of some slice of texts, at most so many.
+COMMON_SHARE, COMMON_WORDS = 2.0**-14, 65_536
+#: Text bytes made into sets at a time.
+TASK_BYTES = 2 << 20
 #: Groups of a point, for sets up to SMALL_SET and beyond. The second is a multiple of the first.
 GROUPS, MORE_GROUPS, SMALL_SET = 32, 128, 1024
 #: Finer groups of which only the parity of the count is kept: so many times as many.
@@ -50,24 +51,6 @@ LEAF = 32
 RESULTS = ["n_shingles", "component_id"]
 
 
-class _Words(dict):
-    """Numbers words as they come; a word's number is the place of its hash and its cost."""
-
-    def __init__(self, costs: dict[bytes, int] | None = None) -> None:
-        self.known_costs, self.hashes, self.costs = costs or {}, [], []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        self.costs.append(self.known_costs.get(word, 0))
-        return number
-
-    def forget(self, most: int = 1_000_000) -> None:
-        if len(self) > most:
-            self.clear()
-            self.hashes, self.costs = [], []
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xFF51AFD7ED558CCD)
@@ -77,12 +60,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_sets(texts: list, known: _Words, size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The distinct shingles of each text, as sorted 64-bit hashes, and the sums of their words' costs."""
-    words = [(t or b"").lower().split() for t in texts]
-    numbers = np.fromiter((known[w] for t in words for w in t), np.int64, sum(map(len, words)))
-    flat = np.array(known.hashes, np.uint64)[numbers] if len(numbers) else np.zeros(0, np.uint64)
-    cost = np.array(known.costs, np.int64)[numbers] if len(numbers) else np.zeros(0, np.int64)
+def shingle_sets(texts: pa.Array, costs: dict[bytes, int], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text, as sorted 64-bit hashes, and the sums of their words' ``costs``."""
+    words, counts = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    numbers = coded.indices.to_numpy()
+    flat = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))[numbers]
+    cost = np.fromiter((costs.get(w, 0) for w in distinct), np.int64, len(distinct))[numbers]
     odd = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
     def shingles(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,17 +77,17 @@ def shingle_sets(texts: list, known: _Words, size: int = SHINGLE) -> list[tuple[
             costs += cost[k : len(cost) - n + 1 + k]
         return rolled, costs
 
-    by_size = {n: shingles(n) for n in {min(len(t), size) for t in words} if n}
+    by_size = {n: shingles(n) for n in {min(c, size) for c in counts.tolist()} if n}
     out, at = [], 0
-    for t in words:
-        n = min(len(t), size)
+    for count in counts.tolist():
+        n = min(count, size)
         if n:
-            rolled, costs = (x[at : at + len(t) - n + 1] for x in by_size[n])
+            rolled, own = (x[at : at + count - n + 1] for x in by_size[n])
             found, first = np.unique(rolled, return_index=True)
-            out.append((found, costs[first]))
+            out.append((found, own[first]))
         else:
             out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        at += len(t)
+        at += count
     return out
 
 
@@ -212,13 +197,20 @@ def place_links(
     return out
 
 
-def _fingerprints(docs: DataFrame, text: str, keep: list[str], costs: dict[bytes, int], size: int, part: int) -> DataFrame:
-    """``keep`` with n_shingles, _set (digest of the set; null: empty), _text (hash of the text), _prefix and _point."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+
+
+def _fingerprints(docs: DataFrame, text: str, doc_id: str, keep: list[str], costs: dict[bytes, int], size: int, part: int) -> DataFrame:
+    """_user (``keep``) and doc_id with n_shingles, _set (digest of the set; null: empty), _text (hash of the text), _prefix and _point."""
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col(text).cast("string").alias("_body"),
+        F.col(f"`{text}`").cast("string").alias("_body"),
+        packed(keep),
+        F.col(f"`{doc_id}`").alias("doc_id"),
         F.lit(0).cast("long").alias("n_shingles"),
-        F.xxhash64(text).alias("_text"),
+        F.xxhash64(F.col(f"`{text}`")).alias("_text"),
         F.lit(None).cast("binary").alias("_set"),
         F.array().cast("array<bigint>").alias("_prefix"),
         F.lit(None).cast("binary").alias("_point"),
@@ -226,18 +218,14 @@ def _fingerprints(docs: DataFrame, text: str, keep: list[str], costs: dict[bytes
     sent = docs.sparkSession.sparkContext.broadcast(costs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words(sent.value)
-        for batch, texts in slices(batches, "_body"):
-            known.forget()
-            sets = shingle_sets(texts, known, size)
+        for batch in arrow_slices(batches, 0, TASK_BYTES):
+            sets = shingle_sets(batch.column(0), sent.value, size)
             made = {
-                "_body": pa.nulls(len(texts), pa.string()),
+                "_body": pa.nulls(len(batch), pa.string()),
                 "n_shingles": pa.array([len(s) for s, _ in sets], pa.int64()),
                 "_set": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s, _ in sets], pa.binary()),
                 # One global order: what is made of rare words first, then by hash.
-                "_prefix": pa.array(
-                    [s[np.lexsort((s, c))[: prefix_size(len(s), part)]].view(np.int64) if len(s) else [] for s, c in sets], pa.list_(pa.int64())
-                ),
+                "_prefix": _lists([s[np.lexsort((s, c))[: prefix_size(len(s), part)]] if len(s) else s for s, c in sets]),
                 "_point": pa.array([point_of(s) if len(s) else None for s, _ in sets], pa.binary()),
             }
             yield pa.RecordBatch.from_arrays(
@@ -248,17 +236,20 @@ def _fingerprints(docs: DataFrame, text: str, keep: list[str], costs: dict[bytes
 
 
 def _word_costs(docs: DataFrame, text: str) -> dict[bytes, int]:
-    """Costs of the words most frequent in a sample of about SAMPLE_DOCS documents: an order for speed, no filter."""
-    every = max(1, math.ceil(docs.count() / SAMPLE_DOCS))
+    """Costs of the words most frequent in all documents: an order for speed, no filter.
+
+    A slice of texts reports the words that make up ``COMMON_SHARE`` of it, so what is shuffled is bounded by the number of slices.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, "_body"):
-            counts = Counter(w for t in texts for w in (t or b"").lower().split())
-            columns = [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())]
+        for batch in arrow_slices(batches, 0):
+            words, _ = split_words(pc.ascii_lower(pc.fill_null(batch.column(0), "")))
+            counts = words.value_counts()
+            often = pc.greater_equal(counts.field("counts"), max(2, int(COMMON_SHARE * len(words))))
+            columns = [counts.field("values").filter(often).cast(pa.binary()), counts.field("counts").filter(often)]
             yield pa.RecordBatch.from_arrays(columns, names=["w", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(F.col(text).cast("string").alias("_body"))
-    counts = sample.mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = docs.select(F.col(f"`{text}`").cast("string").alias("_body")).mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "w").limit(COMMON_WORDS).toArrow()
     logs = np.rint(4 * np.log2(rows.column("n").to_numpy().astype(float))).astype(int).tolist()
     return dict(zip(rows.column("w").to_pylist(), logs, strict=True))
@@ -307,21 +298,16 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str,
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = stored(ends.join(entries.select("id", "_text", "_set"), "id"), "wanted")
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "_text"))
-    rows = docs.select(F.xxhash64(text).alias("_text"), F.col(text).cast("string").alias("_body"))
+    body = F.col(f"`{text}`")
+    rows = docs.select(body.cast("string").alias("_body"), F.xxhash64(body).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(bits.value, batch.column("_text").to_numpy())))
-            for piece, texts in slices([batch], "_body"):
-                known.forget()
-                sets = [s for s, _ in shingle_sets(texts, known, size)]
+            for piece in arrow_slices([batch], 0, TASK_BYTES):
+                sets = [s for s, _ in shingle_sets(piece.column(0), {}, size)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("_text"),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    ],
+                    [piece.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(sets)],
                     names=["_text", "_set", "shingles"],
                 )
 
@@ -348,9 +334,9 @@ def join_components(
     ``label`` names a column to add that tells components apart even where ids repeat (null: no set).
     """
     kept = [c for c in without(docs, RESULTS).columns if c != text] if keep is None else keep
-    found = stored(_fingerprints(docs, text, list(dict.fromkeys([*kept, doc_id])), _word_costs(docs, text), size, part), "fingerprints")
+    found = stored(_fingerprints(docs, text, doc_id, kept, _word_costs(docs, text), size, part), "fingerprints")
     with_set = found.where("_set is not null")
-    copies = with_set.groupBy("_set").agg(F.min(doc_id).alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    copies = with_set.groupBy("_set").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
     entries = with_set.select("_set", "_text", "n_shingles", "_prefix", "_point").dropDuplicates(["_set"])
     entries = stored(entries.withColumn("id", F.monotonically_increasing_id()), "entries")
     tokens = entries.select(F.explode("_prefix").alias("token"), "id")
@@ -379,22 +365,28 @@ def join_components(
     sets = stored(sets.withColumn("label", F.coalesce("label", "id")), "sets")
     least = sets.groupBy("label").agg(F.min("_least").alias("component_id"))
     named_sets = sets.join(least, "label").select("_set", "component_id", F.col("label").alias("_component"))
-    empty = found.where("_set is null").withColumn("component_id", F.col(doc_id)).withColumn("_component", F.lit(None).cast("long"))
+    empty = found.where("_set is null").withColumn("component_id", F.col("doc_id")).withColumn("_component", F.lit(None).cast("long"))
     full = hot_join(with_set, named_sets, ["_set"], copies.select("_set", "_rows"))
-    columns = [*[F.col(f"`{c}`") for c in kept], F.col("n_shingles"), F.col("component_id")]
+    columns = [*unpacked(kept), F.col("n_shingles"), F.col("component_id")]
     columns += [F.col("_component").alias(label)] if label else []
     return full.select(*columns).union(empty.select(*columns))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, part: int = PART) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest id (then text hash); rows without a set stay."""
-    marked = docs.withColumn("_key", F.coalesce(F.col(doc_id).cast("string"), F.lit("~")))
-    marked = marked.withColumn("_hash", F.coalesce(F.xxhash64(text), F.lit(0).cast("long")))
+    body = F.col(f"`{text}`")
+    marked = docs.select(
+        packed(docs.columns),
+        body.alias("text"),
+        F.col(f"`{doc_id}`").alias("doc_id"),
+        F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("~")).alias("_key"),
+        F.coalesce(F.xxhash64(body), F.lit(0).cast("long")).alias("_hash"),
+    )
     spark = docs.sparkSession
     losers_at, repeated_at = new_folder(spark, "losers"), new_folder(spark, "repeated")
     with temporary_folders(spark):  # of all the join's tables only the ids of what goes are kept
-        found = stored(join_components(marked, text, doc_id, [doc_id, "_key", "_hash"], "_label", size, part).where("_label is not null"), "grouped")
-        best = found.groupBy("_label").agg(F.min(F.struct(doc_id, "_key", "_hash")).alias("_best"), F.count(F.lit(1)).alias("_rows"))
+        found = stored(join_components(marked, "text", "doc_id", ["doc_id", "_key", "_hash"], "_label", size, part).where("_label is not null"), "grouped")
+        best = found.groupBy("_label").agg(F.min(F.struct("doc_id", "_key", "_hash")).alias("_best"), F.count(F.lit(1)).alias("_rows"))
         several = stored(best.where("_rows > 1"), "several")
         members = hot_join(found, several.select("_label", "_best"), ["_label"], several.select("_label", "_rows"))
         loser = (F.col("_key") != F.col("_best._key")) | (F.col("_hash") != F.col("_best._hash"))
@@ -409,4 +401,4 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
         single = lookup_join(kept, repeated, ["_key", "_hash"], "left_anti")
         again = lookup_join(kept, repeated, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"])
         kept = single.unionByName(again)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*unpacked(docs.columns))

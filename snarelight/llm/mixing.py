@@ -6,25 +6,25 @@ the source's words before it have been asked for: inverting the cumulative deman
 the document's training position in 0..1, and documents are range-sorted by position.
 
 Whole documents are taken. A target holds some whole passes over its source and a rest; the rest
-is filled with documents in hash order, then, ``PICKS`` times, with the largest document that still
-fits, and last with the smallest of the others if going over the target by it is nearer. Documents of one source with equal id and
-text are indistinguishable and taken together.
+is filled with documents in hash order, each if it still fits: running totals over what fits, again
+and again until nothing does (each time the first that doesn't fit goes, and all that are larger than
+the room left). Last comes the smallest of the others, if going over the target by it is nearer. Documents of
+one source with equal id and text are indistinguishable and taken together.
 
-A null source is a source of its own; null texts and texts without words have size 0 and take
-part like others. Without any words all targets are 0. Empty tables give empty results. Input
+A null source is a source of its own; null texts and texts without words have size 0 and are
+taken in whole passes only. Very long texts are documents like others: shorter ones fill what they leave. Without any words all targets are 0. Empty tables give empty results. Input
 columns with the name of a result are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import WORD, is_small, lookup_join, stored, with_running_totals, without
-
-PICKS = 4
+from snarelight.llm.common import WORD, is_small, lookup_join, restored, shielded, stored, unpacked, with_running_totals, without
 
 
 @dataclass(frozen=True)
@@ -134,36 +134,44 @@ def plan(
     firsts = ran.groupBy("_src").agg(F.min("_before").alias("_first"))
     state = state.join(firsts, "_src")
     placed = lookup_join(ran, state, ["_src"], "inner", spread=["_key"], small=few)
-    placed = placed.withColumn("_before", F.col("_before") - F.col("_first")).drop("_first")
-    taken = F.col("_before") + F.col("_size") <= F.col("_rest")
-    placed = stored(placed.withColumn("_at", F.when(taken, F.col("_before"))), "placed")
-    left = placed.groupBy("_src").agg(
-        (F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_at").isNotNull(), F.col("_size"))), F.lit(0))).alias("_left"),
-        F.coalesce(F.sum(F.when(F.col("_at").isNotNull(), F.col("_size"))), F.lit(0)).alias("_filled"),
-    )
-    left = stored(left, "left")
-    picks = None
-    for turn in range(PICKS + 1):
-        open_items = placed.where("_at is null and _size > 0").select("_src", "_key", "_size")
-        if picks is not None:
-            open_items = lookup_join(open_items, picks.select("_src", "_key"), ["_src", "_key"], "left_anti", small=few)
-        fitting = lookup_join(open_items, left, ["_src"], "inner", spread=["_key"], small=few)
-        if turn < PICKS:
-            fitting, chosen = fitting.where("_size <= _left"), F.max(F.struct("_size", "_key"))
-        else:
-            fitting, chosen = fitting.where("_size > _left and _size - _left < _left"), F.min(F.struct("_size", "_key"))
-        best = fitting.groupBy("_src").agg(chosen.alias("_best"), F.first("_filled").alias("_filled"))
-        best = stored(best.select("_src", "_best._key", "_best._size", F.col("_filled").alias("_picked_at")), "picks")
-        picks = best if picks is None else picks.unionByName(best)
-        used = best.select("_src", F.col("_size").alias("_used"))
-        left = stored(
-            left.join(F.broadcast(used) if few else used, "_src", "left").select(
-                "_src",
-                (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left"),
-                (F.col("_filled") + F.coalesce("_used", F.lit(0))).alias("_filled"),
-            ),
-            "left",
+    placed = stored(placed.withColumn("_before", F.col("_before") - F.col("_first")).drop("_first"), "placed")
+    zero = F.lit(0).cast("long")
+    left = stored(state.select("_src", F.col("_rest").alias("_left"), zero.alias("_filled")), "left")
+    # In the first round the totals over all documents serve as they are.
+    totals = lookup_join(placed.select("_src", "_key", "_size", F.col("_before").alias("_run")).where("_size > 0"), left, ["_src"], "inner", spread=["_key"], small=few)
+    picks, beyond = [], []
+    while True:
+        fits = F.col("_run") + F.col("_size") <= F.col("_left")
+        judged = stored(totals.withColumn("_fits", fits), "judged")
+        taken = judged.where("_fits").select("_src", "_key", (F.col("_filled") + F.col("_run")).alias("_picked_at"))
+        picks.append(taken)
+        used = judged.where("_fits").groupBy("_src").agg(F.sum("_size").alias("_used"))
+        left = left.join(F.broadcast(used) if few else used, "_src", "left").select(
+            "_src", (F.col("_left") - F.coalesce("_used", zero)).alias("_left"), (F.col("_filled") + F.coalesce("_used", zero)).alias("_filled")
         )
+        left = stored(left, "left")
+        others = judged.where("not _fits").select("_src", "_key", "_size")
+        others = stored(lookup_join(others, left, ["_src"], "inner", spread=["_key"], small=few), "others")
+        # What is larger than the room now stays so.
+        beyond.append(others.where("_size > _left").select("_src", "_key", "_size"))
+        fitting = others.where("_size <= _left")
+        if fitting.isEmpty():
+            break
+        totals = with_running_totals(fitting, [F.col("_src"), F.col("_key")], {"_run": F.col("_size")})
+        firsts = totals.groupBy("_src").agg(F.min("_run").alias("_first"))
+        totals = lookup_join(totals, firsts, ["_src"], "inner", spread=["_key"], small=few)
+        totals = totals.withColumn("_run", F.col("_run") - F.col("_first")).drop("_first")
+    # Going over the target by less than what is missing.
+    beyond = lookup_join(reduce(DataFrame.unionByName, beyond), left, ["_src"], "inner", spread=["_key"], small=few)
+    over = beyond.where("_size - _left < _left").groupBy("_src").agg(F.min(F.struct("_size", "_key")).alias("_best"), F.first("_filled").alias("_filled"))
+    over = stored(over.select("_src", "_best._key", "_best._size", F.col("_filled").alias("_picked_at")), "over")
+    picks.append(over.select("_src", "_key", "_picked_at"))
+    used = over.select("_src", F.col("_size").alias("_used"))
+    left = stored(
+        left.join(F.broadcast(used) if few else used, "_src", "left").select("_src", (F.col("_filled") + F.coalesce("_used", zero)).alias("_filled")), "left"
+    )
+    placed = placed.withColumn("_at", F.lit(None).cast("long"))
+    picks = stored(reduce(DataFrame.unionByName, picks), "picks")
     chosen = lookup_join(placed, picks.select("_src", "_key", "_picked_at"), ["_src", "_key"], "left", small=few)
     chosen = chosen.withColumn("_at", F.coalesce("_at", "_picked_at"))
     copies = F.col("_passes") + F.col("_at").isNotNull().cast("long")
@@ -196,10 +204,11 @@ def plan(
 def mix_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """Every row of ``docs`` without its text, with its size, its source's figures, copies and positions."""
     base = without(docs, [c for c in RESULTS if c not in (text, doc_id, source)])
-    planned = stored(plan(base.select(doc_id, text, source), text, doc_id, source, **options), "plan")
-    rows = _sized(base, text, doc_id, source).drop(text, "_size")
+    inner = shielded(base, text, doc_id=doc_id, source=source)
+    planned = stored(plan(inner.drop("_user"), **options), "plan")
+    rows = _sized(inner, "text", "doc_id", "source").drop("text", "_size")
     return _with_plan(rows, planned).select(
-        *[c for c in base.columns if c != text],
+        *unpacked([c for c in base.columns if c != text]),
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
@@ -215,9 +224,10 @@ def _with_plan(rows: DataFrame, planned: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The training sequence: rows of ``docs``, once per copy, range-sorted by training position."""
-    planned = stored(plan(docs.select(doc_id, text, source), text, doc_id, source, **options), "plan")
-    rows = _sized(docs, text, doc_id, source).drop("_size")
+    inner = shielded(docs, text, doc_id=doc_id, source=source)
+    planned = stored(plan(inner.drop("_user"), **options), "plan")
+    rows = _sized(inner, "text", "doc_id", "source").drop("_size")
     taken = planned.where("_copies > 0").select("_src", "_key", "_positions")
     copies = _with_plan(rows, taken).withColumn("_position", F.explode("_positions"))
     order = [F.col("_position"), F.col("_src"), F.col("_key")]
-    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*restored(docs.columns, text))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from snarelight.llm.mixing import PICKS
 from snarelight.llm.quality import STOP_WORDS
 
 _SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -73,25 +72,8 @@ FROM fold LEFT JOIN words USING (rn) LEFT JOIN found USING (rn)
 """
 
 
-def _mixing() -> str:
-    picks = []
-    for k in range(PICKS + 1):
-        chosen = " UNION ALL ".join(f"SELECT src, k FROM pick{j}" for j in range(k))
-        last = f"left{k}"
-        anti = f"WHERE NOT EXISTS (SELECT 1 FROM ({chosen}) c WHERE c.src = p.src AND c.k = p.k)" if k else ""
-        order, fit = ("p.size DESC, p.k DESC", "p.size <= l.room") if k < PICKS else ("p.size, p.k", "p.size > l.room AND p.size - l.room < l.room")
-        picks.append(f"""
-pick{k} AS (
-  SELECT src, k, size FROM (
-    SELECT p.src, p.k, p.size, row_number() OVER (PARTITION BY p.src ORDER BY {order}) AS n
-    FROM (SELECT * FROM placed WHERE NOT fits AND size > 0) p JOIN {last} l ON l.src = p.src AND {fit} {anti}
-  ) WHERE n = 1
-), left{k + 1} AS (
-  SELECT l.src, l.room - coalesce(b.size, 0) AS room FROM {last} l LEFT JOIN pick{k} b USING (src)
-)""")
-    every = " UNION ALL ".join(f"SELECT src, k FROM pick{j}" for j in range(PICKS + 1))
-    return f"""
-WITH base AS (
+MIXING = """
+WITH RECURSIVE base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
     md5(coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || coalesce(md5(text), '~')) AS k,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
@@ -116,15 +98,24 @@ WITH base AS (
   FROM capped
 ), state AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM targets
-), placed AS (
-  SELECT i.src, i.k, i.size,
-    sum(i.size) OVER (PARTITION BY i.src ORDER BY i.k) <= s.target - s.passes * s.source_size AS fits
-  FROM items i JOIN state s USING (src)
-), left0 AS (
-  SELECT s.src, any_value(s.target - s.passes * s.source_size) - coalesce(sum(p.size) FILTER (p.fits), 0) AS room
-  FROM state s JOIN placed p USING (src) GROUP BY s.src
-), {",".join(picks)}, picked AS (
-  SELECT src, k FROM placed WHERE fits UNION ALL {every}
+), turns AS (
+  SELECT src, k, size, row_number() OVER (PARTITION BY src ORDER BY k) AS n FROM items
+), fill AS (
+  SELECT src, CAST(0 AS BIGINT) AS n, target - passes * source_size AS room, CAST(NULL AS VARCHAR) AS took FROM state
+  UNION ALL
+  SELECT f.src, t.n, CASE WHEN t.size <= f.room THEN f.room - t.size ELSE f.room END,
+    CASE WHEN t.size > 0 AND t.size <= f.room THEN t.k END
+  FROM fill f JOIN turns t ON t.src = f.src AND t.n = f.n + 1
+), left_over AS (
+  SELECT src, arg_max(room, n) AS room FROM fill GROUP BY src
+), over AS (
+  SELECT src, k FROM (
+    SELECT t.src, t.k, row_number() OVER (PARTITION BY t.src ORDER BY t.size, t.k) AS place
+    FROM turns t JOIN left_over l ON l.src = t.src AND t.size > l.room AND t.size - l.room < l.room
+    WHERE NOT EXISTS (SELECT 1 FROM fill f WHERE f.src = t.src AND f.took = t.k)
+  ) WHERE place = 1
+), picked AS (
+  SELECT src, took AS k FROM fill WHERE took IS NOT NULL UNION ALL SELECT src, k FROM over
 )
 SELECT b.doc_id, b.size, s.source_size, s.target,
   CAST(b.size * (s.passes + CASE WHEN p.k IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken,
@@ -164,6 +155,6 @@ SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, component_id, vec_id IS NOT D
 ORACLES = {
     "op1_decontaminate": DECONTAMINATE,
     "op9_quality_rules": QUALITY,
-    "op10_mixing": _mixing(),
+    "op10_mixing": MIXING,
     "op12_embedding_near_dedup": NEAR_VECTORS,
 }

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import arrow_slices, packed, unpacked, without
+from snarelight.llm.common import arrow_slices, packed, split_words, unpacked, without
 
 LEAST, TIMES = 24, 3
 RESULTS = ["n_words", "runs", "collapsed"]
@@ -194,14 +194,6 @@ def runs_of(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: in
     return [sorted(runs, key=lambda r: (r[0], r[2])) for runs in out]
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of the texts (large binary), and the number of words of each text."""
-    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-    words, of = lists.flatten(), pc.list_parent_indices(lists)
-    full = pc.greater(pc.binary_length(words), 0)
-    return words.filter(full), np.bincount(of.filter(full).to_numpy(), minlength=len(texts))
-
-
 def find_runs(
     docs: DataFrame, text: str = "text", keep: list[str] | None = None, least: int = LEAST, times: int = TIMES
 ) -> DataFrame:
@@ -220,7 +212,7 @@ def find_runs(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches, 1):
-            words, counts = _words(batch.column(1))
+            words, counts = split_words(batch.column(1))
             ends = np.cumsum(counts)
             starts = ends - counts
             numbers = words.dictionary_encode().indices.to_numpy()

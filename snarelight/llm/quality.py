@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import SPACES, WORD, lowered, without
+from snarelight.llm.common import SPACES, WORD, lowered, restored, shielded, without
 
 #: Common function words of English, French, Spanish and German.
 STOP_WORDS = (
@@ -117,5 +117,6 @@ def judge(
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that every rule keeps, with their columns (less those of RESULTS' names)."""
-    return judge(docs, text).where(F.col("kept") & (F.col(ROW) >= 0)).drop(*RESULTS, ROW)
+    """The rows of ``docs`` that every rule keeps, with all their columns."""
+    judged = judge(shielded(docs, text), "text").where(F.col("kept") & (F.col(ROW) >= 0))
+    return judged.select(*restored(docs.columns, text))

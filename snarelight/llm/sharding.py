@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import hot_join, lookup_join, stored, with_running_totals, without
+from snarelight.llm.common import hot_join, lookup_join, packed, stored, unpacked, with_running_totals, without
 
 BUCKET_ITEMS = 20_000
 TOP_ITEMS = 12_288
@@ -99,23 +99,23 @@ def assign_shards(docs: DataFrame, shards: int = 24, text: str = "text", keep: l
 
     A slot is a row's place in its shard, in order of the rows' group and columns.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
     kept = without(docs, RESULTS).columns if keep is None else keep
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
+        packed(kept),
         (F.length(body) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(body).cast("long").alias("text_crc32"),
-        F.when(F.col(text).isNull(), F.lit("-")).otherwise(F.concat_ws(".", F.xxhash64(body), F.length(body))).alias("_id"),
+        F.when(F.col(f"`{text}`").isNull(), F.lit("-")).otherwise(F.concat_ws(".", F.xxhash64(body), F.length(body))).alias("_id"),
     )
     rows = stored(rows, "rows")
     groups = stored(rows.groupBy("_id").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows")), "groups")
     placed = stored(group_shards(groups, shards), "group_shards")
     dealt = hot_join(rows, placed, ["_id"], groups.select("_id", "_rows"))
-    order = [F.col("_shard"), F.col("_id"), *[F.col(f"`{c}`") for c in kept if c != text]]
+    order = [F.col("_shard"), F.col("_id"), *[F.col("_user").getField(c) for c in kept if c != text]]
     numbered = with_running_totals(dealt, order, {"_place": F.lit(1).cast("long")})
     firsts = numbered.groupBy("_shard").agg(F.min("_place").alias("_first"))
     return numbered.join(F.broadcast(firsts), "_shard").select(
-        *[F.col(f"`{c}`") for c in kept],
+        *unpacked(kept),
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -42,7 +43,7 @@ def test_quality_metrics_equal_brute_force(request, which):
 
 def test_quality_keeps_columns_and_handles_empty_tables(odd, empty):
     kept = quality.keep_good(odd)
-    assert kept.columns == [c for c in odd.columns if c != "n_words"]  # replaced, as documented
+    assert kept.columns == odd.columns
     assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
@@ -94,6 +95,35 @@ def test_taken_words_come_near_the_targets(spark):
     assert all(abs(r["k"] - r["t"]) <= 0.005 * r["t"] for r in report.collect())
 
 
+@pytest.mark.parametrize("shift", [0, 1, 2, 3])
+def test_short_texts_fill_what_a_long_one_leaves(spark, shift):
+    rows = [(shift * 100_000, "long", 1_000_000)] + [(shift * 100_000 + 1 + i, "long", 100) for i in range(10_000)]
+    rows += [(900_000 + i, "other", 250_000) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n int").select("doc_id", "source", F.repeat(F.lit("w "), F.col("n")).alias("text"))
+    for r in mixing.mix_report(docs).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k")).collect():
+        if r["source"] == "long":
+            assert abs(r["k"] - r["t"]) <= 100
+
+
+def test_taken_documents_equal_a_walk_through_them(sample):
+    report = mixing.mix_report(sample).collect()
+    own = {r["doc_id"]: hashlib.md5(f"{r['doc_id']}:{hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest() for r in sample.collect()}
+    by_source = defaultdict(list)
+    for r in report:
+        by_source[r["source"]].append(r)
+    for rows in by_source.values():
+        rows.sort(key=lambda r: own[r["doc_id"]])
+        passes = int(rows[0]["target"] // rows[0]["source_size"])
+        room, extra = rows[0]["target"] - passes * rows[0]["source_size"], set()
+        for r in rows:
+            if 0 < r["size"] <= room:
+                room -= r["size"]
+                extra.add(r["doc_id"])
+        over = [(r["size"], own[r["doc_id"]], r["doc_id"]) for r in rows if r["doc_id"] not in extra and room < r["size"] < 2 * room]
+        extra |= {min(over)[2]} if over else set()
+        assert {r["doc_id"]: r["copies"] for r in rows} == {r["doc_id"]: passes + (r["doc_id"] in extra) for r in rows}
+
+
 def test_mixing_reruns_agree_and_copies_rows(odd, sample, empty):
     a = sorted(map(str, mixing.mix_report(sample).collect()))
     assert a == sorted(map(str, mixing.mix_report(sample.repartition(5)).collect()))
