@@ -22,7 +22,7 @@ Input columns with the name of a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -323,6 +323,41 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str,
     return stored(both.where((WHOLE + part) * shared >= part * total).select("a", "b"), "linked")
 
 
+#: Pairs between two components that are verified in the first turn, and by how much they grow with every turn.
+TRIED, GROWTH = 2, 16
+
+
+def _connected(pairs: DataFrame, links: DataFrame | None, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The links so far with verified pairs, and their components (node, label): every pair is either verified or within one.
+
+    Most pairs run between texts that others connect, so turns verify a few pairs of any two components, and then more of
+    those that are still apart, until none is left. The first turn, where each entry is on its own, takes one pair of each ``b``.
+    """
+    labels = None if links is None else stored(components(links), "components")
+    rest, tried = pairs.select("a", "b"), TRIED
+    while True:
+        if labels is None:
+            best = rest.groupBy("b").agg(F.min(F.struct(F.xxhash64("a", "b").alias("h"), "a")).alias("best"))
+            chosen = best.select("best.a", "b")
+        else:
+            of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+            named = rest.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            la, lb = F.coalesce("la", "a"), F.coalesce("lb", "b")
+            named = named.where(la != lb).select("a", "b", F.least(la, lb).alias("x"), F.greatest(la, lb).alias("y"))
+            rest = stored(named, "apart")
+            if rest.isEmpty():
+                return links, labels
+            groups = rest.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_rows"))
+            counted = hot_join(rest, groups, ["x", "y"], groups)
+            chosen = counted.where(F.pmod(F.xxhash64("a", "b"), F.col("_rows")) < tried).select("a", "b")
+            tried *= GROWTH
+        chosen = stored(chosen, "chosen")
+        found = verify(chosen)
+        links = found if links is None else links.unionByName(found)
+        labels = stored(components(links), "components")
+        rest = rest.select("a", "b").join(chosen, ["a", "b"], "left_anti")
+
+
 def join_components(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, label: str | None = None,
     size: int = SHINGLE, part: int = PART,
@@ -353,14 +388,13 @@ def join_components(
     met = met.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     met = met.withColumns({"x": F.least("_mine", "_other"), "y": F.greatest("_mine", "_other")})
     first = stored(_candidates(met, False, part), "pairs")
-    links = _verified(first, entries, docs, text, size, part)
-    labels = stored(components(links), "components")
+    verify = lambda pairs: _verified(pairs, entries, docs, text, size, part)
+    links, labels = _connected(first, None, verify)
     named = met.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    # Pairs of the first round that failed are known to fail.
+    # Pairs of the first round that failed are known to fail; the others are in one component.
     second = stored(_candidates(named, True, part).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        links = links.union(_verified(second, entries, docs, text, size, part))
-        labels = stored(components(links), "components")
+        links, labels = _connected(second, links, verify)
     sets = copies.join(entries.select("_set", "id"), "_set").join(labels.withColumnRenamed("node", "id"), "id", "left")
     sets = stored(sets.withColumn("label", F.coalesce("label", "id")), "sets")
     least = sets.groupBy("label").agg(F.min("_least").alias("component_id"))
