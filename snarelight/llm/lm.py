@@ -1,20 +1,28 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are words (A-Z lowered) and one end per text. Contexts are the one or two symbols before;
-a context is a candidate if its share of all symbols is at least ``CONTEXT_SHARE`` (the tree's usual
-lower bound on a suffix's probability, which also bounds the tree), and it is retained if its
-next-symbol distribution diverges from its parent suffix's by at least ``MIN_BITS`` bits a symbol and
-``MIN_GAIN`` bits in all. Distributions are smoothed by absolute discounting: what is taken from
-seen successors goes to the others in proportion to the parent's distribution; the root is the
-unigram distribution with 0.1 added to each count. A text's score is the log10 probability of its
-symbols, each under the longest retained suffix before it.
-
-Counts cover all training texts. Frequent words (a share of at least 2^-HEAD_BITS, so at most
-2^HEAD_BITS words) are broadcast; the other words of each text meet their counts in a join.
+Symbols are words (A-Z lowered) and one end per text; a text's symbols have an end before the first.
+A context is what stands before a symbol, one to ``depth`` symbols of the same text. All floors are
+evidence, not shares, so the tree grows with the corpus: a context is a candidate once seen
+``least_context`` times, a successor is listed in it once seen there ``least_next`` times. A context
+is retained if its next-symbol distribution diverges from its parent suffix's by at least
+``MIN_BITS`` bits a symbol and ``MIN_GAIN`` bits in all. Distributions are smoothed by absolute
+discounting: what is taken from listed successors goes to the others in proportion to the parent's
+distribution; the root is the unigram distribution with 0.1 added to each count. A text's score is
+the log10 probability of its symbols, each under the longest retained suffix before it.
+
+On Spark: strings of symbols are 64-bit digests. Each level is counted in a pass over the texts that
+leaves out strings whose two shorter halves miss their floors (bitmaps of fixed size say so; what they
+let through too much is cut by its exact count). Contexts, divergences and probabilities are tables
+made by grouping and joins. The probability of a symbol is its root's times one factor for each
+string that ends there or just before, so a text's score is its base score plus a sum over its strings:
+strings with a share of at least 2^-HOT_BITS at their level (a bounded number) are broadcast, the others
+meet their factors in a join. Words and their counts are split in the same way at 2^-HEAD_BITS.
 
 A text is trained on unless crc32 of its id (as text, null: empty) is a multiple of 10. Null and empty
-texts are one end. Repeated rows count and are scored each. Empty tables give empty results;
-without training texts every word is unknown. Input columns with the name of a result are replaced.
+texts are one end. Repeated rows count and are scored each; there are no ties to break. Long texts
+are numbered whole, at a few hundred bytes a word. Empty tables give empty results; without training
+texts every word is unknown. Input columns with the name of a result are replaced, others never clash.
+Two strings with one digest (of 64 bits) would be taken for the same.
 """
 
 from __future__ import annotations
@@ -22,25 +30,26 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import slices, stored, without
+from snarelight.llm.common import arrow_slices, hot_join, key_filter, may_hold, packed, slices, split_words, stored, unpacked, without
 
-HEAD_BITS = 20
-#: Least shares of: contexts of one symbol, symbols in contexts of two, successors listed in a context.
-CONTEXT_SHARE, PAIR_SHARE, NEXT_SHARE = 2.0**-12, 2.0**-10, 2.0**-14
-#: Successors are listed if the pair has this share, so that a level lists at most 2^20.
-LISTED_SHARE = 2.0**-20
+HEAD_BITS, HOT_BITS = 20, 20
+DEPTH, LEAST_NEXT, LEAST_CONTEXT = 3, 4, 64
 MIN_BITS, MIN_GAIN, DISCOUNT = 0.02, 10.0, 0.5
 ADDED = 0.1
 FLUSH_WORDS = 400_000
-FLUSH_PAIRS = 4_000_000
+FLUSH_STRINGS = 2_000_000
 END = b""
+#: Spark's xxhash64 has this seed.
+SEED = 42
 RESULTS = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -50,7 +59,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def _held_out(doc_id: str):
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
 def unigrams(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -68,8 +77,7 @@ def unigrams(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         if counts:
             yield _counted(counts)
 
-    train = docs.where(~_held_out(doc_id)).select(F.col(text).alias("_text"))
-    return train.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return _training(docs, text, doc_id).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
@@ -80,7 +88,7 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 @dataclass
 class Head:
-    """Frequent words by falling count; a word's number is its place. Numbers below a limit may be contexts."""
+    """Frequent words with their counts."""
 
     words: list[bytes]
     counts: np.ndarray
@@ -88,8 +96,6 @@ class Head:
     distinct: int
 
     def __post_init__(self) -> None:
-        least = lambda share: int((self.counts >= max(2.0, share * self.total)).sum())
-        self.contexts, self.pairs, self.nexts = least(CONTEXT_SHARE), least(PAIR_SHARE), least(NEXT_SHARE)
         self.log_norm = float(np.log10(self.total + ADDED * (self.distinct + 1)))
 
     def root(self) -> np.ndarray:
@@ -100,207 +106,253 @@ def head_of(counts: DataFrame) -> Head:
     """Collects at most 2^HEAD_BITS words: each has that share of all tokens."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     rows = counts.where(F.col("c") >= max(2, total >> HEAD_BITS)).toArrow()
-    words, c = rows.column("word").to_pylist(), rows.column("c").to_numpy()
-    order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
-    return Head([words[i] for i in order], c[order].astype(np.int64), total, distinct)
+    return Head(rows.column("word").to_pylist(), rows.column("c").to_numpy().astype(np.int64), total, distinct)
 
 
-def _numbered(texts: list, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list]:
-    """Word numbers (-1: none) of all texts, an end before the first and after each; ends; tail words per text."""
-    end = known.get(END, -1)
-    get = known.get
-    numbers, lengths, tails = [end], [], []
-    for body in texts:
-        words = words_of(body)
-        own = [get(w, -1) for w in words]
-        numbers += own
-        numbers.append(end)
-        lengths.append(len(own) + 1)
-        tails.append([w for w, k in zip(words, own, strict=True) if k < 0] + ([END] if end < 0 else []))
-    return np.array(numbers, np.int64), np.array(lengths, np.int64), tails
+class Symbols:
+    """The symbols of some texts in a row, each text's with an end before and after."""
 
+    def __init__(self, texts: pa.Array) -> None:
+        words, self.n_words = split_words(pc.ascii_lower(texts.cast(pa.large_string())))
+        coded = words.dictionary_encode()
+        #: Different words, the end last; which of them each symbol is; its text; its place in it.
+        self.words = [*coded.dictionary.cast(pa.large_binary()).to_pylist(), END]
+        lengths = self.n_words + 2
+        self.text = np.repeat(np.arange(len(lengths)), lengths)
+        self.place = np.arange(len(self.text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.inner = (self.place > 0) & (self.place <= np.repeat(self.n_words, lengths))
+        self.of = np.full(len(self.text), len(self.words) - 1, np.int64)
+        self.of[self.inner] = coded.indices.to_numpy(zero_copy_only=False)
+        digests = np.array([xxhash.xxh64_intdigest(w, SEED) for w in self.words], np.uint64)
+        self.digest = digests[self.of]
 
-# Keys of (context, successor): one symbol before: u * 2^20 + x; two (u v): 2^62 + (u * 2^20 + v) * 2^20 + x.
-_BITS = HEAD_BITS
-_TWO = 1 << 62
+    def strings(self, depth: int) -> Iterator[np.ndarray]:
+        """Digests of the strings of 1, 2 .. depth + 1 symbols that end at each symbol (if as many stand in its text)."""
+        ending = self.digest
+        yield ending.view(np.int64)
+        for _ in range(depth):
+            ending = np.concatenate([ending[:1], _joined(ending[:-1], self.digest[1:])])
+            yield ending.view(np.int64)
 
 
-def _keys(numbers: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol after the first: the one-symbol and two-symbol context before it, or -1."""
-    one = np.where(numbers[:-1] < head.contexts, numbers[:-1], -1)
-    two = np.full(len(one), -1, np.int64)
-    u, v = numbers[:-2], numbers[1:-1]
-    two[1:] = np.where((u >= 0) & (v >= 0) & (u < head.pairs) & (v < head.pairs), (u << _BITS) + v, -1)
-    return one, two
+def _joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The digest of a string from that of all but its last symbol and the last symbol's (a 64-bit finaliser)."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) ^ symbol
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def successors(docs: DataFrame, text: str, doc_id: str, head: Broadcast, total: int) -> DataFrame:
-    """key and n: how often each listed successor follows each candidate context."""
+def _training(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.where(~_held_out(doc_id)).select(F.col(f"`{text}`").alias("_text"))
+
+
+def _counted_strings(train: DataFrame, level: int, contexts: bytes, listed: bytes) -> DataFrame:
+    """key and n of the strings of level + 1 symbols whose first and last ``level`` symbols may be in the bitmaps."""
+    sent = train.sparkSession.sparkContext.broadcast((contexts, listed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Head(*head.value)
-        known = {w: i for i, w in enumerate(own.words)}
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, texts in slices(batches, "_text"):
-            numbers, lengths, _ = _numbered(texts, known)
-            one, two = _keys(numbers, own)
-            # A text's first symbol has only the end before it.
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            two[starts] = -1
-            x = numbers[1:]
-            ok = (x >= 0) & (x < own.nexts)
-            new = np.concatenate([(one << _BITS)[ok & (one >= 0)] + x[ok & (one >= 0)], _TWO + (two[ok & (two >= 0)] << _BITS) + x[ok & (two >= 0)]])
-            found, n = np.unique(new, return_counts=True)
-            both = np.concatenate([keys, found])
-            keys, at = np.unique(both, return_inverse=True)
+        for batch in arrow_slices(batches, 0):
+            symbols = Symbols(batch.column(0))
+            *_, below, own = symbols.strings(level)
+            ok = np.flatnonzero(symbols.place >= level)
+            ok = ok[may_hold(sent.value[1], below[ok])]
+            ok = ok[may_hold(sent.value[0], below[ok - 1])]
+            found, n = np.unique(own[ok], return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > FLUSH_PAIRS:
+            if len(keys) > FLUSH_STRINGS:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
                 keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-
-    train = docs.where(~_held_out(doc_id)).select(F.col(text).alias("_text"))
-    least = max(2.0, LISTED_SHARE * total)
-    return train.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-
-
-class Tree:
-    """The retained contexts: log10 probabilities of listed successors, and the weight of all others."""
-
-    def __init__(self, one: dict[str, np.ndarray], two: dict[str, np.ndarray]) -> None:
-        self.one, self.two = one, two
-
-    @classmethod
-    def grown(cls, head: Head, keys: np.ndarray, n: np.ndarray) -> Tree:
-        root = 10.0 ** head.root()
-        one = cls._level(keys[keys < _TWO], n[keys < _TWO], head, lambda c: head.counts[c], lambda c, x: root[x])
-        pair_keys, pair_n = keys[keys >= _TWO] - _TWO, n[keys >= _TWO]
-        pairs = {int(k): int(c) for k, c in zip(keys[keys < _TWO], n[keys < _TWO], strict=True)}
-
-        def pair_total(c: np.ndarray) -> np.ndarray:
-            return np.array([pairs.get(int(k), 0) for k in c], np.int64)
-
-        def parent(c: np.ndarray, x: np.ndarray) -> np.ndarray:
-            return 10.0 ** cls._under(one, c & ((1 << _BITS) - 1), x, np.log10(root[x]))
-
-        return cls(one, cls._level(pair_keys, pair_n, head, pair_total, parent))
-
-    @staticmethod
-    def _level(keys, n, head, total_of, parent_of) -> dict[str, np.ndarray]:
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        contexts, first = np.unique(keys >> _BITS, return_index=True)
-        if not len(contexts):
-            return {k: np.zeros(0, t) for k, t in (("contexts", np.int64), ("other", float), ("keys", np.int64), ("logs", float))}
-        of = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(keys))))
-        total = np.maximum(total_of(contexts), np.bincount(of, n, len(contexts))).astype(float)
-        parent = parent_of(contexts[of], keys & ((1 << _BITS) - 1))
-        p = (n - DISCOUNT) / total[of]
-        listed, parent_listed = np.bincount(of, p, len(contexts)), np.bincount(of, parent, len(contexts))
-        rest, parent_rest = np.maximum(1 - listed, 1e-12), np.maximum(1 - parent_listed, 1e-12)
-        bits = np.bincount(of, p * np.log2(p / parent), len(contexts)) + rest * np.log2(rest / parent_rest)
-        enough = total >= CONTEXT_SHARE * head.total
-        kept = enough & (bits >= MIN_BITS) & (bits * total >= MIN_GAIN)
-        return {
-            "contexts": contexts[kept],
-            "other": np.log10(rest / parent_rest)[kept],
-            "keys": keys[kept[of]],
-            "logs": np.log10(p)[kept[of]],
-        }
-
-    @staticmethod
-    def _under(level: dict, context: np.ndarray, x: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """log10 probability of x under its context; ``below`` is the one under the parent (used if not retained)."""
-        state = _find(level["contexts"], context)
-        listed = _find(level["keys"], (context << _BITS) + x)
-        other = level["other"][state] if len(level["other"]) else np.zeros(len(x))
-        logs = level["logs"][listed] if len(level["logs"]) else np.zeros(len(x))
-        return np.where(state < 0, below, np.where((listed >= 0) & (x >= 0), logs, other + below))
-
-    def scores(self, numbers: np.ndarray, lengths: np.ndarray, head: Head, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per symbol: log10 probability under the root and under the tree, words beyond the head counted as 0 in both."""
-        x = numbers[1:]
-        base = np.where(x >= 0, root[x] if len(root) else 0.0, 0.0)
-        one, two = _keys(numbers, head)
-        two[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = -1
-        out = base.copy()
-        for level, context in ((self.one, one), (self.two, two)):
-            at = np.flatnonzero(context >= 0)
-            out[at] = self._under(level, context[at], x[at], out[at])
-        return base, out
-
-
-def _find(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The place of each value, or -1."""
-    if not len(ordered):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return np.where(ordered[at] == values, at, -1)
-
-
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+    return train.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _halves(train: DataFrame, bitmaps: list[bytes]) -> DataFrame:
+    """level, key, ctx (all but the last symbol) and low (all but the first) of the strings that may be in their level's bitmap."""
+    sent = train.sparkSession.sparkContext.broadcast(bitmaps)
+    names = ["level", "key", "ctx", "low"]
+
+    def written(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((0, 4), np.int64)
+        for batch in arrow_slices(batches, 0):
+            symbols = Symbols(batch.column(0))
+            found, below = [seen], None
+            for level, own in enumerate(symbols.strings(len(sent.value))):
+                if level:
+                    at = np.flatnonzero(symbols.place >= level)
+                    at = at[may_hold(sent.value[level - 1], own[at])]
+                    at = at[np.unique(own[at], return_index=True)[1]]
+                    found.append(np.stack([np.full(len(at), level), own[at], below[at - 1], below[at]], axis=1))
+                below = own
+            seen = np.concatenate(found)
+            seen = seen[np.unique(seen[:, 1], return_index=True)[1]]
+            if len(seen) > FLUSH_STRINGS:
+                yield written(seen)
+                seen = seen[:0]
+        yield written(seen)
+
+    rows = train.mapInArrow(run, "level bigint, key bigint, ctx bigint, low bigint")
+    return rows.groupBy("level", "key").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"))
+
+
+def _rows_of(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _level(keys: DataFrame, below: DataFrame, least_context: int) -> tuple[DataFrame, DataFrame]:
+    """The retained contexts (ctx, total, other) and all strings (key, n, logp, factor) of a level.
+
+    ``other`` is the factor (log10) of a symbol not listed in the context, ``logp`` the probability of the
+    last symbol under the longest retained context up to this level, ``factor`` what a listed one gets beside ``other``.
+    """
+    parents = below.select(F.col("key").alias("low"), F.col("logp").alias("parent"))
+    keys = stored(hot_join(keys, parents, ["low"], _rows_of(keys, "low")).drop("low"), "strings")
+    left = F.col("n") - DISCOUNT
+    # The context's total is left out of the sums and comes in afterwards, one row a context.
+    sums = keys.groupBy("ctx").agg(
+        F.sum(left).alias("s"),
+        F.sum(left * (F.log2(left) - F.col("parent") / F.lit(float(np.log10(2))))).alias("g"),
+        F.sum(F.pow(F.lit(10.0), "parent")).alias("q"),
+    )
+    totals = below.where(F.col("n") >= least_context).select(F.col("key").alias("ctx"), F.col("n").cast("double").alias("total"))
+    rest, parent_rest = F.greatest(1 - F.col("s") / F.col("total"), F.lit(1e-12)), F.greatest(1 - F.col("q"), F.lit(1e-12))
+    bits = (F.col("g") - F.col("s") * F.log2("total")) / F.col("total") + rest * F.log2(rest / parent_rest)
+    measured = sums.join(totals, "ctx").select("ctx", "total", F.log10(rest / parent_rest).alias("other"), bits.alias("bits"))
+    enough = (F.col("bits") >= MIN_BITS) & (F.col("bits") * F.col("total") >= MIN_GAIN)
+    retained = stored(measured.where(enough).drop("bits"), "contexts")
+    joined = hot_join(keys, retained, ["ctx"], _rows_of(keys, "ctx"), "left")
+    own = F.log10(left / F.col("total"))
+    strings = joined.select(
+        "key", "n", F.coalesce(own, F.col("parent")).alias("logp"), (own - F.col("parent") - F.col("other")).alias("factor")
+    )
+    return retained, stored(strings, "level")
+
+
+def tree(
+    docs: DataFrame, counts: DataFrame, log_norm: float, text: str, doc_id: str,
+    depth: int = DEPTH, least_next: int = LEAST_NEXT, least_context: int = LEAST_CONTEXT,
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, n, factor) of all strings that change a probability, and the retained contexts by length."""
+    train = _training(docs, text, doc_id)
+    root = F.log10(F.col("c") + F.lit(ADDED)) - F.lit(log_norm)
+    below = counts.select(F.xxhash64("word").alias("key"), F.col("c").alias("n"), root.alias("logp"))
+    levels, bitmaps, last = [], [], below
+    for level in range(1, depth + 1):
+        often = lambda least, of=last: key_filter(of.where(F.col("n") >= least), "key")
+        strings = _counted_strings(train, level, often(least_context), often(least_next)).where(F.col("n") >= least_next)
+        last = stored(strings, f"counted{level}")
+        levels.append(last)
+        bitmaps.append(key_filter(last, "key"))
+    halves = stored(_halves(train, bitmaps), "halves") if levels else None
+    parts, contexts = [], []
+    for level, strings in enumerate(levels, start=1):
+        keys = strings.join(halves.where(F.col("level") == level).drop("level"), "key")
+        retained, below = _level(keys, below, least_context)
+        contexts.append(retained)
+        parts.append(retained.select(F.col("ctx").alias("id"), F.col("total").cast("long").alias("n"), F.col("other").alias("factor")))
+        parts.append(below.where(F.col("factor").isNotNull()).select(F.col("key").alias("id"), "n", "factor"))
+    none = counts.where(F.lit(False)).select(F.lit(0).cast("long").alias("id"), F.col("c").alias("n"), F.lit(0.0).alias("factor"))
+    both = reduce(DataFrame.unionByName, parts, none)
+    factors = both.groupBy("id").agg(F.max("n").alias("n"), F.sum("factor").alias("factor"))
+    return stored(factors, "factors"), contexts
+
+
+def score(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None,
+    depth: int = DEPTH, least_next: int = LEAST_NEXT, least_context: int = LEAST_CONTEXT,
+) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all but the text) with RESULTS."""
     spark = docs.sparkSession
     counts = stored(unigrams(docs, text, doc_id), "unigrams")
     head = head_of(counts)
     # Broadcasts hold plain data: workers need no copy of this package.
     sent = spark.sparkContext.broadcast((head.words, head.counts, head.total, head.distinct))
-    listed = successors(docs, text, doc_id, sent, head.total).toArrow()
-    grown = Tree.grown(head, listed.column("key").to_numpy().astype(np.int64), listed.column("n").to_numpy().astype(np.int64))
-    tree = spark.sparkContext.broadcast((grown.one, grown.two))
+    factors, _ = tree(docs, counts, head.log_norm, text, doc_id, depth, least_next, least_context)
+    # Strings of one length occur about as often as there are tokens, so at most 2^HOT_BITS of them have this share.
+    hot = factors.where(F.col("n") >= max(2, head.total >> HOT_BITS)).select("id", "factor").toArrow()
+    ids, values = hot.column("id").to_numpy().astype(np.int64), hot.column("factor").to_numpy().astype(float)
+    order = np.argsort(ids)
+    known_strings = spark.sparkContext.broadcast((ids[order], values[order], key_filter(factors, "id")))
     kept = [c for c in without(docs, RESULTS).columns if c != text] if keep is None else keep
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.col(text).alias("_text"),
+        packed(kept),
+        F.col(f"`{text}`").alias("_text"),
         _held_out(doc_id).alias("held_out"),
         F.lit(0).cast("long").alias("n_tokens"),
         F.lit(0).cast("long").alias("_n_head"),
         F.lit(0.0).alias("_base"),
         F.lit(0.0).alias("_score"),
         F.array().cast("array<binary>").alias("_tail"),
+        F.array().cast("array<bigint>").alias("_rare"),
     )
 
+    text_at = rows.columns.index("_text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, states = Head(*sent.value), Tree(*tree.value)
-        known = {w: i for i, w in enumerate(own.words)}
-        root = own.root()
-        for batch, texts in slices(batches, "_text"):
-            numbers, lengths, tails = _numbered(texts, known)
-            base, logs = states.scores(numbers, lengths, own, root)
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        own = Head(*sent.value)
+        known, root = {w: i for i, w in enumerate(own.words)}, own.root()
+        ids, values, bitmap = known_strings.value
+        for batch in arrow_slices(batches, text_at):
+            symbols, n = Symbols(batch.column("_text")), batch.num_rows
+            number = np.array([known.get(w, -1) for w in symbols.words], np.int64)[symbols.of]
+            given = symbols.place > 0
+            per_text = lambda at, weights=None: np.bincount(symbols.text[at], weights, n)
+            headed = np.flatnonzero(given & (number >= 0))
+            tail = np.flatnonzero(given & (number < 0))
+            base = per_text(headed, root[number[headed]]).astype(float)  # without symbols the counts are whole numbers
+            logs, rare, rare_of = base.copy(), [], []
+            for level, own_ids in enumerate(symbols.strings(depth)):
+                # A single symbol is a context only, so the last end doesn't count.
+                at = np.flatnonzero(symbols.place >= level if level else symbols.inner | ~given)
+                at = at[may_hold(bitmap, own_ids[at])]
+                place = np.minimum(np.searchsorted(ids, own_ids[at]), max(0, len(ids) - 1))
+                found = ids[place] == own_ids[at] if len(ids) else np.zeros(len(at), bool)
+                logs += per_text(at[found], values[place[found]])
+                rare.append(own_ids[at[~found]])
+                rare_of.append(symbols.text[at[~found]])
+            rare_of = np.concatenate(rare_of)
+            order = np.argsort(rare_of, kind="stable")
+            tail_words = pa.array(symbols.words, pa.binary()).take(pa.array(symbols.of[tail]))
             made = {
-                "_text": pa.nulls(len(texts), pa.string()),
-                "n_tokens": pa.array(lengths),
-                "_n_head": pa.array(np.add.reduceat((numbers[1:] >= 0).astype(np.int64), starts)),
-                "_base": pa.array(np.add.reduceat(base, starts)),
-                "_score": pa.array(np.add.reduceat(logs, starts)),
-                "_tail": pa.array(tails, pa.list_(pa.binary())),
+                "_text": pa.nulls(n, pa.string()),
+                "n_tokens": pa.array(symbols.n_words + 1),
+                "_n_head": pa.array(per_text(headed).astype(np.int64)),
+                "_base": pa.array(base),
+                "_score": pa.array(logs),
+                "_tail": _lists(tail_words, per_text(tail)),
+                "_rare": _lists(pa.array(np.concatenate(rare)[order]), np.bincount(rare_of, minlength=n)),
             }
-            yield pa.RecordBatch.from_arrays(
-                [made.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names
-            )
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
 
     scored = rows.mapInArrow(run, rows.schema).drop("_text").withColumn("_row", F.monotonically_increasing_id())
     scored = stored(scored, "scored")
     # Every tail word of every text meets its count; unknown words have none.
     tail = scored.select("_row", F.explode("_tail").alias("word"))
-    norm = head.log_norm
-    sums = (
-        tail.join(counts, "word", "left")
-        .groupBy("_row")
-        .agg(
-            F.sum(F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ADDED)) - F.lit(norm)).alias("_tail_score"),
-            F.count("c").alias("_tail_known"),
-        )
+    known_words = tail.join(counts, "word", "left").groupBy("_row").agg(
+        F.sum(F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ADDED)) - F.lit(head.log_norm)).alias("_tail_score"),
+        F.count("c").alias("_tail_known"),
     )
-    more = F.coalesce(F.col("_tail_score"), F.lit(0.0))
-    return scored.drop("_tail").join(sums, "_row", "left").select(
-        *[F.col(f"`{c}`") for c in kept],
+    rare = scored.select("_row", F.explode("_rare").alias("id"))
+    strings = rare.join(factors.select("id", "factor"), "id").groupBy("_row").agg(F.sum("factor").alias("_rare_score"))
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    parts = scored.drop("_tail", "_rare").join(known_words, "_row", "left").join(strings, "_row", "left")
+    return parts.select(
+        *unpacked(kept),
         "held_out",
         "n_tokens",
         (F.col("_n_head") + F.coalesce(F.col("_tail_known"), F.lit(0))).alias("n_known"),
         F.lit(head.total).cast("long").alias("train_tokens"),
-        (F.col("_base") + more).alias("base_score"),
-        (F.col("_score") + more).alias("score"),
+        (F.col("_base") + zero("_tail_score")).alias("base_score"),
+        (F.col("_score") + zero("_tail_score") + zero("_rare_score")).alias("score"),
     )
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)

@@ -195,32 +195,91 @@ def test_tree_beats_the_base_on_held_out_texts(spark):
     assert row[0] > row[1]
 
 
-def test_distributions_sum_to_one():
-    rng = np.random.default_rng(1)
-    words_ = [b""] + [f"w{i}".encode() for i in range(30)]
-    text = rng.integers(0, 31, 20000)
-    text[1::2] = (text[::2][: len(text[1::2])] * 7 + 3) % 31
-    counts = np.sort(np.bincount(text, minlength=31))[::-1]
-    head = lm.Head(words_, counts.astype(np.int64), int(counts.sum()), 31)
-    one, two = lm._keys(np.concatenate([[0], text]), head)
-    keys = np.concatenate([(one << 20) + text, lm._TWO + (two[1:] << 20) + text[1:]])
-    found, n = np.unique(keys[keys >= 0], return_counts=True)
-    tree = lm.Tree.grown(head, found, n)
-    root = head.root()
-    unknown = math.log10(lm.ADDED) - head.log_norm
-    assert 10**unknown + (10**root).sum() == pytest.approx(1, abs=1e-9)
-    x = np.arange(31)
-    for level, parent in ((tree.one, None), (tree.two, tree.one)):
-        for c in level["contexts"][:20]:
-            below, rest = root, unknown
-            if parent is not None:
-                v = np.full(31, c & ((1 << 20) - 1))
-                below = tree._under(parent, v, x, root)
-                state = lm._find(parent["contexts"], v[:1])[0]
-                rest = unknown + (parent["other"][state] if state >= 0 else 0)
-            p = 10 ** tree._under(level, np.full(31, c), x, below)
-            other = level["other"][lm._find(level["contexts"], np.array([c]))[0]]
-            assert p.sum() + 10 ** (rest + other) == pytest.approx(1, abs=1e-6)
+def chain_model(rows, depth, least_next, least_context):
+    """The suffix tree by plain dictionaries; returns a text's score and the distribution after a history."""
+    train = [t for d, t in rows if zlib.crc32(str(d).encode()) % 10]
+    unigrams = Counter(w for t in train for w in [*words(t), None])
+    total = sum(unigrams.values())
+    norm = total + 0.1 * (len(unigrams) + 1)
+    after = defaultdict(Counter)
+    for t in train:
+        symbols = [None, *words(t), None]
+        for i in range(1, len(symbols)):
+            for k in range(1, min(depth, i) + 1):
+                after[tuple(symbols[i - k : i])][symbols[i]] += 1
+    kept = {}
+
+    def p(history, x):
+        for k in range(min(depth, len(history)), 0, -1):
+            if (state := kept.get(history[-k:])) is not None:
+                listed, other = state
+                return listed[x] if x in listed else other * p(history[len(history) - k + 1 :], x)
+        return (unigrams[x] + 0.1) / norm
+
+    for k in range(1, depth + 1):
+        for c in [c for c in after if len(c) == k]:
+            n = sum(after[c].values())
+            listed = {x: (m - 0.5) / n for x, m in after[c].items() if m >= least_next}
+            if n < least_context or not listed:
+                continue
+            parent = {x: p(c[1:], x) for x in listed}
+            rest, parent_rest = 1 - sum(listed.values()), 1 - sum(parent.values())
+            rest, parent_rest = max(rest, 1e-12), max(parent_rest, 1e-12)
+            bits = sum(q * math.log2(q / parent[x]) for x, q in listed.items()) + rest * math.log2(rest / parent_rest)
+            if bits >= 0.02 and bits * n >= 10:
+                kept[c] = (listed, rest / parent_rest)
+
+    def text_score(t):
+        symbols = (None, *words(t), None)
+        return sum(math.log10(p(symbols[:i], symbols[i])) for i in range(1, len(symbols)))
+
+    return text_score, p, kept, unigrams, norm
+
+
+def rhymes():
+    """Texts with dependencies of one to three words, copies, a null and a long text."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(300):
+        out = []
+        for _ in range(rng.randint(0, 40)):
+            out += rng.choice(["a b c d", "x b c e", "a b f", "g", "h i", "b c"]).split() + [f"w{rng.randint(0, 300)}"] * rng.randint(0, 1)
+        rows.append((d, " ".join(out)))
+    return [*rows, (300, None), (301, "a b c " * 3000), *[(400 + i, rows[7][1]) for i in range(20)]]
+
+
+@pytest.mark.parametrize(("hot", "least_next", "least_context"), [(20, 4, 64), (5, 2, 8)])
+def test_language_model_scores(spark, monkeypatch, hot, least_next, least_context):
+    monkeypatch.setattr(lm, "HOT_BITS", hot)  # with few bits most strings meet their factors in the join
+    rows = rhymes()
+    text_score, p, kept, unigrams, norm = chain_model(rows, 3, least_next, least_context)
+    assert {len(c) for c in kept} == {1, 2, 3}
+    got = lm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), least_next=least_next, least_context=least_context)
+    got = {r["doc_id"]: r["score"] for r in got.collect()}
+    assert got == {d: pytest.approx(text_score(t), abs=1e-6) for d, t in rows}
+    for c in kept:
+        unknown = 0.1 / norm
+        for k in range(1, len(c) + 1):
+            unknown *= kept[c[-k:]][1] if c[-k:] in kept else 1
+        assert sum(p(c, x) for x in unigrams) + unknown == pytest.approx(1, abs=1e-6)
+
+
+def test_tree_grows_with_the_corpus(spark):
+    sizes = []
+    for sf in ("0.001", "0.01"):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+        counts = lm.unigrams(docs, "text", "doc_id")
+        _, contexts = lm.tree(docs, counts, lm.head_of(counts).log_norm, "text", "doc_id")
+        sizes.append([c.count() for c in contexts])
+    assert all(b > 1.5 * a for a, b in zip(*sizes, strict=True)), sizes
+
+
+def test_language_model_keeps_clashing_columns(spark):
+    names = ["_row", "_score", "_rare", "_tail", "_text", "_user", "a.b", "word", "id", "c"]
+    row = (1, "a b", *range(len(names)))
+    df = spark.createDataFrame([row], "doc_id bigint, text string, " + ", ".join(f"`{n}` bigint" for n in names))
+    out = lm.score(df).first().asDict()
+    assert [out[n] for n in names] == list(range(len(names)))
 
 
 def test_language_model_of_empty_tables(empty):
