@@ -133,7 +133,8 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLI
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [len(size)]])
         for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if end > start:
-                yield batch.slice(start, end - start)
+                # A copy: splitting texts of a slice with an offset loses words.
+                yield batch.take(pa.array(np.arange(start, end)))
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -47,7 +47,6 @@ MIN_BITS, MIN_GAIN, DISCOUNT = 0.02, 10.0, 0.5
 ADDED = 0.1
 FLUSH_WORDS = 400_000
 END = b""
-#: Spark's xxhash64 has this seed.
 SEED = 42
 RESULTS = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -218,6 +217,17 @@ def _level(keys: DataFrame, below: DataFrame, least_context: int) -> tuple[DataF
     return retained, stored(strings, "level")
 
 
+def _digested(counts: DataFrame) -> DataFrame:
+    """Counts by the digests that ``Symbols`` gives words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = np.array([xxhash.xxh64_intdigest(w, SEED) for w in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), batch.column(1)], names=["key", "c"])
+
+    return counts.select("word", "c").mapInArrow(run, "key bigint, c bigint")
+
+
 def tree(
     docs: DataFrame, counts: DataFrame, log_norm: float, text: str, doc_id: str,
     depth: int = DEPTH, least_next: int = LEAST_NEXT, least_context: int = LEAST_CONTEXT,
@@ -225,7 +235,7 @@ def tree(
     """(id, n, factor) of all strings that change a probability, and the retained contexts by length."""
     train = _training(docs, text, doc_id)
     root = F.log10(F.col("c") + F.lit(ADDED)) - F.lit(log_norm)
-    below = counts.select(F.xxhash64("word").alias("key"), F.col("c").alias("n"), root.alias("logp"))
+    below = stored(_digested(counts).select("key", F.col("c").alias("n"), root.alias("logp")), "words")
     levels, bitmaps, last = [], [], below
     for level in range(1, depth + 1):
         often = lambda least, of=last: key_filter(of.where(F.col("n") >= least), "key")

@@ -5,12 +5,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_near_duplicate_stage import components_of
 
 import corpus_pipeline
-from snarelight.llm import components, jaccard, lm, quality, repeats
+from snarelight.llm import common, components, jaccard, lm, quality, repeats
 
 SPLIT = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
@@ -264,6 +265,13 @@ def test_language_model_scores(spark, monkeypatch, hot, least_next, least_contex
         assert sum(p(c, x) for x in unigrams) + unknown == pytest.approx(1, abs=1e-6)
 
 
+def test_sliced_texts_keep_their_words():
+    texts = pa.array([f"a{i} b c{i % 7}" if i % 5 else None for i in range(1000)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    got = [w for piece in common.arrow_slices([batch], 0, 100) for w in common.split_words(piece.column(0))[0].to_pylist()]
+    assert got == [w for t in texts.to_pylist() for w in words(t)]
+
+
 def test_tree_grows_with_the_corpus(spark):
     sizes = []
     for sf in ("0.001", "0.01"):
