@@ -45,8 +45,8 @@ COMMON_SHARE, COMMON_WORDS = 2.0**-14, 65_536
 TASK_BYTES = 2 << 20
 #: Groups of a point, for sets up to SMALL_SET and beyond. The second is a multiple of the first.
 GROUPS, MORE_GROUPS, SMALL_SET = 32, 128, 1024
-#: Finer groups of which only the parity of the count is kept: so many times as many.
-FINER = 64
+#: Finer groups of which only the parity of the count is kept: more than the set has shingles, within these bounds.
+FEWEST_BITS, MOST_BITS = 512, 1 << 14
 LEAF = 32
 RESULTS = ["n_shingles", "component_id"]
 
@@ -95,33 +95,58 @@ def prefix_size(n: int, part: int = PART) -> int:
     return n - -(-n * part // WHOLE) + 1
 
 
+def parity_bits(n: int) -> int:
+    """The least power of two above n, within the bounds: places of long sets would otherwise pass every pair."""
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << int(n).bit_length()))
+
+
 def point_of(shingles: np.ndarray) -> bytes:
     """The parities of the counts in the finer groups as bits, then the counts per group."""
-    groups = GROUPS if len(shingles) <= SMALL_SET else MORE_GROUPS
-    finer = np.bincount((shingles % np.uint64(groups * FINER)).astype(np.int64), minlength=groups * FINER)
-    counts = finer.reshape(FINER, groups).sum(0)
-    bits = np.packbits((finer & 1).astype(np.uint8))
+    groups, finer = GROUPS if len(shingles) <= SMALL_SET else MORE_GROUPS, parity_bits(len(shingles))
+    fine = np.bincount((shingles & np.uint64(finer - 1)).astype(np.int64), minlength=finer)
+    counts = fine.reshape(-1, groups).sum(0)
+    bits = np.packbits((fine & 1).astype(np.uint8))
     return bits.tobytes() + counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
-def points(raw: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points and parity bits as rows, folded to the fewer groups where sets of both kinds meet."""
-    rows, bits = [], []
+def points(raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The counts per group as rows, folded to the fewer groups where sets of both kinds meet."""
+    rows = []
     for b, n in zip(raw, sizes, strict=True):
-        groups = GROUPS if n <= SMALL_SET else MORE_GROUPS
-        cut = groups * FINER // 8
-        bits.append(np.frombuffer(b, np.uint8, cut))
-        rows.append(np.frombuffer(b[cut:], np.uint8 if len(b) == cut + groups else np.uint32).astype(np.int32))
-    least, few = min(len(r) for r in rows), min(len(x) for x in bits)
-    rows = [r if len(r) == least else r.reshape(-1, least).sum(0) for r in rows]
-    bits = [x if len(x) == few else np.bitwise_xor.reduce(x.reshape(-1, few), 0) for x in bits]
-    return np.stack(rows), np.stack(bits).view(np.uint64)
-
-
-def close(bits: np.ndarray, n: int, other_bits: np.ndarray, other_n: np.ndarray, part: int = PART) -> np.ndarray:
-    """Whether the sets may differ by as few shingles as the threshold allows: unequal parities are differences."""
-    apart = np.bitwise_count(bits ^ other_bits).sum(1, dtype=np.int64)
-    return (WHOLE + part) * apart <= (WHOLE - part) * (n + other_n)
+        groups, cut = GROUPS if n <= SMALL_SET else MORE_GROUPS, parity_bits(n) // 8
+        rows.append(np.frombuffer(b, np.uint8 if len(b) == cut + groups else np.uint32, groups, cut).astype(np.int32))
+    least = min(map(len, rows))
+    return np.stack([r if len(r) == least else r.reshape(-1, least).sum(0) for r in rows])
+
+
+class Parities:
+    """The parity bits of a place's entries. Two entries are compared at the smaller one's number of bits."""
+
+    def __init__(self, raw: list[bytes], sizes: np.ndarray, part: int = PART) -> None:
+        self.sizes, self.part = sizes, part
+        self.widths = np.array([parity_bits(n) // 8 for n in sizes])
+        self.raw = [np.frombuffer(b, np.uint8, w) for b, w in zip(raw, self.widths.tolist(), strict=True)]
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each entry's row is, and the rows of all entries of at least this width, folded to it."""
+        if width not in self.folded:
+            wide = np.flatnonzero(self.widths >= width)
+            where = np.zeros(len(self.raw), np.int64)
+            where[wide] = np.arange(len(wide))
+            rows = [np.bitwise_xor.reduce(self.raw[i].reshape(-1, width), 0) for i in wide.tolist()]
+            self.folded[width] = where, np.stack(rows).view(np.uint64)
+        return self.folded[width]
+
+    def close(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which sets may differ from the i-th by as few shingles as the threshold allows: unequal parities are differences."""
+        apart = np.zeros(len(others), np.int64)
+        widths = np.minimum(self.widths[others], self.widths[i])
+        for width in set(widths.tolist()):
+            mine = widths == width
+            where, rows = self.at(width)
+            apart[mine] = np.bitwise_count(rows[where[others[mine]]] ^ rows[where[i]]).sum(1, dtype=np.int64)
+        return (WHOLE + self.part) * apart <= (WHOLE - self.part) * (self.sizes[i] + self.sizes[others])
 
 
 class RTree:
@@ -168,10 +193,10 @@ def place_links(
     """Pairs of one place that may link: a spanning forest, or with ``labels`` all between different labels."""
     if labels is not None and (labels == labels[0]).all():
         return []
-    table, bits = points(raw, sizes)
+    table, parities = points(raw, sizes), Parities(raw, sizes, part)
     if len(ids) == 2:
         fits = RTree.may_link(table[0], sizes[0], table[1:], sizes[1:], sizes[1:], part)
-        if (fits & close(bits[0], sizes[0], bits[1:], sizes[1:], part))[0]:
+        if (fits & parities.close(0, np.ones(1, np.int64)))[0]:
             return [(int(ids[0]), int(ids[1]))]
         return []
     tree = RTree(table, sizes, part)
@@ -187,7 +212,7 @@ def place_links(
         near = tree.search(table[i], sizes[i])
         # Smallest first: places with the same entries then emit the same pairs.
         near = np.sort(near[near < i])
-        for j in near[close(bits[i], sizes[i], bits[near], sizes[near], part)].tolist():
+        for j in near[parities.close(i, near)].tolist():
             if labels is not None:
                 if labels[i] != labels[j]:
                     out.append((int(ids[i]), int(ids[j])))

@@ -146,12 +146,13 @@ def test_tree_search_loses_no_pair():
     for s in list(sets):
         sets.append(np.unique(np.concatenate([s[: int(len(s) * 0.97)], rng.integers(0, 1 << 62, len(s) // 60).astype(np.uint64)])))
     sizes = np.array([len(s) for s in sets])
-    table, bits = jaccard.points([jaccard.point_of(s) for s in sets], sizes)
+    raw = [jaccard.point_of(s) for s in sets]
+    table, parities = jaccard.points(raw, sizes), jaccard.Parities(raw, sizes)
     tree = jaccard.RTree(table, sizes)
     few = 0
     for i, s in enumerate(sets):
         near = tree.search(table[i], sizes[i])
-        found = set(near[jaccard.close(bits[i], sizes[i], bits[near], sizes[near])].tolist())
+        found = set(near[parities.close(i, near)].tolist())
         few += len(found)
         for j, o in enumerate(sets):
             shared = len(np.intersect1d(s, o))
