@@ -420,6 +420,14 @@ select user_id, count(*) as url_count from url_submissions s
 where contains(lower(url), 'p/1') and result_code = 'LEGITIMATE'
   and exists (from url_rule_matches m where m.url_id = s.url_id and m.rule_id = 4)
 group by 1""",
+    "search_facets": """
+with found as (
+  from url_submissions s
+  where contains(lower(url), 'p/1') and exists (from url_rule_matches m where m.url_id = s.url_id and m.rule_id = 4))
+select 'result_code' as facet, ifnull(result_code, '') as value, count(*) as url_count from found where user_id = 7 group by 2
+union all select 'user_id', user_id::varchar, count(*) from found where result_code = 'LEGITIMATE' group by 2
+union all select 'tld', tld, count(*) from found where user_id = 7 and result_code = 'LEGITIMATE' group by 2
+union all select 'total', null, count(*) from found where user_id = 7 and result_code = 'LEGITIMATE' having count(*) > 0""",
     "rule_catalog": "select rule_id, rule_name, rule_type, risk_level from rules",
     "url_dossier": _DOSSIER,
     "available_rules": """

@@ -333,6 +333,7 @@ QUERIES: dict[str, Query] = {
     "search_urls_all": _report(lambda t: search.search_urls(t, Search(text="P/1"), VIEWER, None)),
     "status_facet": _report(lambda t: search.status_facet(t, FACETS.without("user_id"))),
     "user_facet": _report(lambda t: search.user_facet(t, FACETS)),
+    "search_facets": _report(lambda t: search.search_facets(t, FACETS)),
     "rule_catalog": _report(reports.rule_catalog),
     "url_dossier": _report(search.url_dossier),
     "available_rules": _report(_available_rules),

@@ -39,17 +39,26 @@ def _same_id(column: str, value) -> Column:
     return F.col(column) == F.lit(str(value)).try_cast("bigint")
 
 
+#: Filters that facets count by: each facet leaves its own filter out.
+FACETS = ("result_code", "user_id", "tld")
+
+
+def _passes(search: Search, name: str) -> Column | None:
+    """The test of one filter of ``FACETS``, or None where the search doesn't set it."""
+    value = getattr(search, name)
+    if not _given(value):
+        return None
+    return _same_id(name, value) if name == "user_id" else F.col(name) == value
+
+
 def matching(tables: Tables, search: Search) -> DataFrame:
     """The submissions a search selects."""
     urls = tables.url_submissions
     if search.text:
         urls = urls.where(like_any_case(F.col("url"), search.text) | like_any_case(F.col("url_domain"), search.text))
-    if search.result_code:
-        urls = urls.where(F.col("result_code") == search.result_code)
-    if _given(search.user_id):
-        urls = urls.where(_same_id("user_id", search.user_id))
-    if search.tld:
-        urls = urls.where(F.col("tld") == search.tld)
+    for name in FACETS:
+        if (test := _passes(search, name)) is not None:
+            urls = urls.where(test)
     if _given(search.rule_id):
         with_rule = tables.url_rule_matches.where(_same_id("rule_id", search.rule_id))
         urls = urls.join(rollups.keys_of(with_rule), "url_id", "left_semi")
@@ -113,6 +122,32 @@ def user_facet(tables: Tables, search: Search = Search()) -> DataFrame:
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("url_count"))
 
 
+def search_facets(tables: Tables, search: Search = Search()) -> DataFrame:
+    """(facet, value, url_count) of every facet and the ``total`` of the search, from one scan.
+
+    Each URL carries a bit per filter it passes. It counts for a facet if it passes all filters but the
+    facet's own, and for the total (value NULL) if it passes all. URLs that fail two filters go at the
+    scan, and counts are added up before the one shuffle. Values are text; a missing result code is '',
+    a missing user or tld NULL. A facet without URLs, the total included, has no row.
+    """
+    tests = [_passes(search, name) for name in FACETS]
+    bits = [F.lit(1 << i) if test is None else F.when(test, 1 << i).otherwise(0) for i, test in enumerate(tests)]
+    every = (1 << len(FACETS)) - 1
+    rows = matching(tables, search.without(*FACETS)).select(*FACETS, reduce(Column.bitwiseOR, bits).alias("passed"))
+    rows = rows.where(F.bit_count("passed") >= len(FACETS) - 1)
+    values = [code_label(F.col("result_code"), ""), F.col("user_id").cast("string"), F.col("tld")]
+
+    def entry(facet: str, value: Column, own: int) -> Column:
+        counts = F.col("passed").bitwiseOR(own) == every
+        return F.when(counts, F.struct(F.lit(facet).alias("facet"), value.alias("value")))
+
+    entries = [entry(name, value, 1 << i) for i, (name, value) in enumerate(zip(FACETS, values, strict=True))]
+    entries.append(entry("total", F.lit(None).cast("string"), 0))
+    return rows.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("facet", "value").agg(
+        F.count(F.lit(1)).alias("url_count")
+    )
+
+
 def export_rows(tables: Tables, search: Search = Search(), limit: int | None = 100) -> DataFrame:
     """The columns of the CSV export, in file order and with its headings."""
     headings = {
