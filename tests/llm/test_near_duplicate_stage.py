@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -67,3 +68,30 @@ def test_join_figures_are_parameters(spark):
     for size, part in ((5, 80), (3, 90), (2, 60)):
         got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(docs, size=size, part=part).collect()}
         assert got == dict(zip(ids, components_of(rows, size, part), strict=True))
+
+
+@pytest.mark.parametrize("part", [80, 90])
+def test_parities_of_long_sets_lose_no_pair_and_let_few_through(part):
+    rng = np.random.default_rng(part)
+    fresh = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    sets = []
+    for n in (500, 520, 1030, 4090, 4100, 9000, 16380, 40000):
+        base = np.unique(fresh(n))
+        # Near sets on both sides of a width, sets that share half, and unrelated ones.
+        sets += [base, base[: int(n * 0.93)], np.unique(np.concatenate([base, fresh(n // 12)]))]
+        sets += [np.unique(np.concatenate([base[: n // 2], fresh(n // 2)])), np.unique(fresh(n))]
+    sizes = np.array([len(s) for s in sets])
+    parities = jaccard.Parities([jaccard.point_of(s) for s in sets], sizes, part)
+    assert len(set(parities.widths.tolist())) > 4 and sizes.max() > jaccard.MOST_BITS
+    passed = linked = 0
+    for i, s in enumerate(sets):
+        others = np.arange(i)
+        close = parities.close(i, others)
+        assert (close == [parities.close(j, np.array([i]))[0] for j in others.tolist()]).all()
+        for j in others.tolist():
+            shared = len(np.intersect1d(s, sets[j]))
+            link = 100 * shared >= part * (len(s) + len(sets[j]) - shared)
+            assert close[j] or not link
+            if max(sizes[i], sizes[j]) < jaccard.MOST_BITS and min(sizes[i], sizes[j]) * 100 >= part * max(sizes[i], sizes[j]):
+                passed, linked = passed + close[j], linked + link
+    assert linked <= passed <= 2 * linked
