@@ -24,6 +24,21 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows
 
 
+def parts_for(*tables: DataFrame, task_rows: int) -> int:
+    """In how many parts the rows of ``tables`` are dealt so that a task gets about ``task_rows``; 1 if no more than that."""
+    rows = sum(df.count() for df in tables)
+    return 1 if rows <= task_rows else max(-(-rows // task_rows), tables[0].sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """``df`` dealt to so many tasks by ``keys``.
+
+    Without a number, adaptive execution joins partitions up to a size in compressed bytes, and files are split by
+    theirs: millions of narrow rows for a task that sorts or groups them.
+    """
+    return df.repartition(parts, *keys) if parts > 1 else df
+
+
 def _hot_keys(many: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     """Keys above ``hot_rows`` and their salt counts: at most rows/hot_rows entries."""
     return (
