@@ -19,13 +19,15 @@ from snarelight.model import SUSPICIOUS, Tables
 from snarelight.operators import rollups
 from snarelight.operators.catalogue import with_catalogue
 from snarelight.operators.positions import with_new_ids
-from snarelight.operators.skew import is_small, lookup_join
+from snarelight.operators.skew import dealt, is_small, lookup_join, parts_for
 from snarelight.plans.maintenance import Change, shaped
 from snarelight.session import stored
 
 # Limits of the input forms.
 MAX_URL, MAX_NOTE, MAX_EMAIL, MIN_NAME = 2048, 500, 255, 2
 FORBIDDEN_IN_URL = r"[\n\r;]"
+#: Matches and requests that one task of a removal sorts.
+TASK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -187,16 +189,21 @@ def store_matches(
     )
 
 
-def remove_rule_matches(tables: Tables, requests: DataFrame) -> Change:
-    """Deletes matches by (match_id, url_id); ``problems`` lists the pairs that do not exist."""
+def remove_rule_matches(tables: Tables, requests: DataFrame, task_rows: int = TASK_ROWS) -> Change:
+    """Deletes matches by (match_id, url_id); ``problems`` lists the pairs that do not exist.
+
+    Both sides of the joins are dealt by the pair to tasks of about ``task_rows`` rows.
+    """
     keys = ["match_id", "url_id"]
     asked = requests.select(*keys).distinct()
+    parts = parts_for(tables.url_rule_matches, requests, task_rows=task_rows)
+    matches, asked = (dealt(df, keys, parts) for df in (tables.url_rule_matches, asked))
     return Change(
         tables.remembering("url_rule_matches").with_tables(
-            url_rule_matches=shaped(tables.url_rule_matches.join(asked, keys, "left_anti"), "url_rule_matches")
+            url_rule_matches=shaped(matches.join(asked, keys, "left_anti"), "url_rule_matches")
         ),
-        tables.url_rule_matches.join(asked, keys, "left_semi").select("match_id"),
-        asked.join(tables.url_rule_matches.select(*keys), keys, "left_anti"),
+        matches.join(asked, keys, "left_semi").select("match_id"),
+        asked.join(matches.select(*keys), keys, "left_anti"),
     )
 
 

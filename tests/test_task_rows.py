@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from snarelight.model import SCHEMAS
-from snarelight.plans import audit
+from snarelight.plans import audit, intake
 
 
 def plan(df):
@@ -30,3 +30,13 @@ def test_audit_groups_hold_few_counters():
     referenced = [sum(c[3] == target for c in audit._constraints()) for target in {c[3] for c in audit._constraints()}]
     assert audit._SLOTS == max(referenced) == 5
     assert len(audit._DOMAINS) == len({c[3] for c in audit._constraints()}) and set(SCHEMAS) == {c[0] for c in audit._constraints()}
+
+
+def test_removal_deals_both_sides(spark, seed):
+    asked = spark.createDataFrame([(1, 1), (1, 1), (2, 3), (99, 1), (5, 3)], "match_id bigint, url_id bigint")
+    whole, dealt = intake.remove_rule_matches(seed, asked), intake.remove_rule_matches(seed, asked, task_rows=3)
+    kept = [x.tables.url_rule_matches.select("match_id", "url_id") for x in (whole, dealt)]
+    assert sorted(rows(kept[0])) == sorted(rows(kept[1]))
+    assert sorted(rows(dealt.problems)) == sorted(rows(whole.problems)) == [(2, 3), (99, 1)]
+    assert dealt.rows_affected() == whole.rows_affected() == 2
+    assert "REPARTITION_BY_NUM" in plan(dealt.problems)
