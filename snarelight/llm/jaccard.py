@@ -10,9 +10,11 @@ set sizes below them; a search keeps what the summed minima allow, and only surv
 verified on the whole sets.
 
 Pairs in a place number its square, so a first round emits only a spanning forest of the surviving
-pairs, and links them up to components; a second round emits all surviving pairs that connect
-different components. Either a pair is verified or its ends are connected already, so components are
-exact. Places of more than ``PLACE`` entries are dealt to blocks and searched block by block. The
+pairs, and links them up to components. All surviving pairs of a place lie in its forest's trees, so
+only places whose trees still span several components are left; a second round searches their trees'
+entries again, with the whole sets, and emits the links that join components. Either a pair is
+verified or its ends are connected already, so components are exact, and no round emits more pairs
+than entries in its places. Places of more than ``PLACE`` entries are dealt to blocks and searched block by block. The
 global order puts shingles of frequent words last; it affects speed only.
 
 Null and empty texts have no set and link with nothing; a text with fewer words than a shingle is one
@@ -23,6 +25,7 @@ Input columns with the name of a result are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,8 @@ GROUPS, MORE_GROUPS, SMALL_SET = 32, 128, 1024
 #: Finer groups of which only the parity of the count is kept: more than the set has shingles, within these bounds.
 FEWEST_BITS, MOST_BITS = 512, 1 << 14
 LEAF = 32
+#: Shingles of a block in the second round.
+BLOCK_SHINGLES = 2 << 20
 RESULTS = ["n_shingles", "component_id"]
 
 
@@ -187,19 +192,31 @@ class RTree:
         return self.order[hit]
 
 
+def linked(mine: np.ndarray, others: list[np.ndarray], part: int = PART) -> np.ndarray:
+    """Which of the other sets (sorted, not empty) link with mine."""
+    if not others:
+        return np.zeros(0, bool)
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    hits = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+    shared = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes)
+    return (WHOLE + part) * shared >= part * (len(mine) + sizes)
+
+
 def place_links(
-    ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], labels: np.ndarray | None, part: int = PART
+    ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], labels: np.ndarray | None, part: int = PART, sets: list[np.ndarray] | None = None
 ) -> list[tuple[int, int]]:
-    """Pairs of one place that may link: a spanning forest, or with ``labels`` all between different labels."""
+    """A spanning forest of the pairs of one place that may link, or with ``labels`` and ``sets`` of the links between labels."""
     if labels is not None and (labels == labels[0]).all():
         return []
     table, parities = points(raw, sizes), Parities(raw, sizes, part)
-    if len(ids) == 2:
+    if len(ids) == 2 and sets is None:
         fits = RTree.may_link(table[0], sizes[0], table[1:], sizes[1:], sizes[1:], part)
         if (fits & parities.close(0, np.ones(1, np.int64)))[0]:
             return [(int(ids[0]), int(ids[1]))]
         return []
     tree = RTree(table, sizes, part)
+    own = list(range(len(ids))) if labels is None else np.unique(labels, return_inverse=True)[1].tolist()
     out, root = [], list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -212,11 +229,12 @@ def place_links(
         near = tree.search(table[i], sizes[i])
         # Smallest first: places with the same entries then emit the same pairs.
         near = np.sort(near[near < i])
-        for j in near[parities.close(i, near)].tolist():
-            if labels is not None:
-                if labels[i] != labels[j]:
-                    out.append((int(ids[i]), int(ids[j])))
-            elif (a := find(i)) != (b := find(j)):
+        near = near[parities.close(i, near)]
+        if sets is not None:
+            near = near[[find(own[j]) != find(own[i]) for j in near.tolist()]] if len(near) else near
+            near = near[linked(sets[i], [sets[j] for j in near.tolist()], part)]
+        for j in near.tolist():
+            if (a := find(own[i])) != (b := find(own[j])):
                 root[max(a, b)] = min(a, b)
                 out.append((int(ids[i]), int(ids[j])))
     return out
@@ -280,48 +298,110 @@ def _word_costs(docs: DataFrame, text: str) -> dict[bytes, int]:
     return dict(zip(rows.column("w").to_pylist(), logs, strict=True))
 
 
-def _candidates(places: DataFrame, labelled: bool, part: int) -> DataFrame:
-    """a and b of the pairs that may link; ``places`` has token, x and y (block numbers), id, n, point (and label)."""
-    names = ["token", "x", "y", "id", "n", "point", *(["label"] if labelled else [])]
+def _by_place(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """The places (three columns) of sorted rows, each with the lists of its other columns."""
+    held = None
+    for batch in batches:
+        columns = [_values(batch.column(c)) for c in names]
+        key = list(zip(*columns[:3], strict=True))
+        cuts = [0] + [i for i in range(1, len(key)) if key[i] != key[i - 1]] + [len(key)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            place = (key[s], [c[s:e] for c in columns[3:]])
+            if held and held[0] == place[0]:
+                for mine, more in zip(held[1], place[1], strict=True):
+                    mine += more
+                continue
+            if held:
+                yield held
+            held = place
+    if held:
+        yield held
+
+
+def _values(column: pa.Array) -> list:
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy().tolist()
+    return [flat[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+
+
+def _in_batches(rows: Iterator[tuple[int, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=names)
+
+
+def _forests(places: DataFrame, part: int) -> DataFrame:
+    """token, x, y, a and b: in each place, a spanning forest of the pairs that may link.
+
+    ``places`` has token, x and y (block numbers), id, n and point.
+    """
+    names, made = ["token", "x", "y", "id", "n", "point"], ["token", "x", "y", "a", "b"]
     rows = places.select(*names).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in names]
-            key = list(zip(*columns[:3], strict=True))
-            cuts = [0] + [i for i in range(1, len(key)) if key[i] != key[i - 1]] + [len(key)]
-            out = []
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                place = (key[s], [c[s:e] for c in columns[3:]])
-                if held and held[0] == place[0]:
-                    for mine, more in zip(held[1], place[1], strict=True):
-                        mine += more
-                    continue
-                if held:
-                    out += _linked(held[1], labelled, part)
-                held = list(place)
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if held and (out := _linked(held[1], labelled, part)):
-            a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _linked(columns: list[list], labelled: bool, part: int) -> list[tuple[int, int]]:
-    if len(columns[0]) < 2:
-        return []
-    labels = np.array(columns[3]) if labelled else None
-    return place_links(np.array(columns[0]), np.array(columns[1]), columns[2], labels, part)
+        found = (
+            (*key, min(a, b), max(a, b))
+            for key, (ids, sizes, raw) in _by_place(batches, names)
+            if len(ids) > 1
+            for a, b in place_links(np.array(ids), np.array(sizes), raw, None, part)
+        )
+        yield from _in_batches(found, made)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in made))
+
+
+def _open_places(forests: DataFrame, labels: DataFrame) -> DataFrame:
+    """place and id of what may still link entries of different components.
+
+    All pairs of a place that may link lie in trees of its forest. Where the ends of every tree's pairs have one
+    label by now, no pair is left; elsewhere the trees' entries are searched again. Places with the same entries are one.
+    """
+    key = ["token", "x", "y"]
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"_{name}"))
+    named = forests.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    differ = named.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(*key).distinct()
+    left = forests.join(stored(differ, "open"), key, "left_semi")
+    ends = stored(left.select(*key, F.col("a").alias("id")).union(left.select(*key, "b")).distinct(), "ends")
+    member = F.xxhash64("id")
+    digests = ends.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(member).alias("_x"), F.sum(member.bitwiseAND((1 << 40) - 1)).alias("_y")
+    )
+    one = digests.groupBy("_n", "_x", "_y").agg(F.min(F.struct(*key)).alias("_key")).select("_key.*")
+    return stored(ends.join(stored(one.withColumn("place", F.monotonically_increasing_id()), "places"), key).select("place", "id"), "members")
+
 
+def _joined_up(members: DataFrame, entries: DataFrame, labels: DataFrame, sets: DataFrame, part: int) -> DataFrame:
+    """a and b: verified links that join all components which links within a place of ``members`` connect.
 
-def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str, size: int, part: int) -> DataFrame:
-    """The pairs whose sets reach the threshold. Sets are made again, for the texts in question only."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = stored(ends.join(entries.select("id", "_text", "_set"), "id"), "wanted")
+    The sets come along, so no pair leaves a task unless it joins two components. Places are dealt to blocks by the
+    shingles they hold.
+    """
+    known = members.join(entries.select("id", F.col("n_shingles").alias("n"), F.col("_point").alias("point")), "id")
+    blocks = known.groupBy("place").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("_blocks"))
+    known = known.join(blocks, "place").withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    known = known.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    known = known.withColumns({"x": F.least("_mine", "_other"), "y": F.greatest("_mine", "_other")})
+    named = known.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    names = ["place", "x", "y", "id", "n", "point", "label", "shingles"]
+    rows = named.join(sets, "id").select(*names).repartition("place", "x", "y").sortWithinPartitions("place", "x", "y", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (
+            (min(a, b), max(a, b))
+            for _, (ids, sizes, raw, own, shingles) in _by_place(batches, names)
+            if len(ids) > 1
+            for a, b in place_links(np.array(ids), np.array(sizes), raw, np.array(own), part, shingles)
+        )
+        yield from _in_batches(found, ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _sets_of(ids: DataFrame, entries: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
+    """id and shingles of the entries in question. Sets are made again, for their texts only."""
+    wanted = stored(ids.distinct().join(entries.select("id", "_text", "_set"), "id"), "wanted")
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "_text"))
     body = F.col(f"`{text}`")
     rows = docs.select(body.cast("string").alias("_body"), F.xxhash64(body).alias("_text"))
@@ -339,7 +419,11 @@ def _verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, text: str,
     made = rows.mapInArrow(run, "_text bigint, _set binary, shingles array<bigint>")
     # Equal sets are interchangeable, so copies of a text are dropped before the join.
     made = made.dropDuplicates(["_set"]).drop("_text")
-    sets = stored(wanted.select("id", "_set").join(made, "_set").select("id", "shingles"), "sets")
+    return stored(wanted.select("id", "_set").join(made, "_set").select("id", "shingles"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, part: int) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -377,14 +461,16 @@ def join_components(
     met = met.join(entries.select("id", F.col("n_shingles").alias("n"), F.col("_point").alias("point")), "id")
     met = met.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     met = met.withColumns({"x": F.least("_mine", "_other"), "y": F.greatest("_mine", "_other")})
-    first = stored(_candidates(met, False, part), "pairs")
-    links = _verified(first, entries, docs, text, size, part)
+    forests = stored(_forests(met, part), "forests")
+    first = stored(forests.select("a", "b").distinct(), "pairs")
+    made = _sets_of(first.select(F.col("a").alias("id")).union(first.select("b")), entries, docs, text, size)
+    links = _verified(first, made, part)
     labels = stored(components(links), "components")
-    named = met.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    # Pairs of the first round that failed are known to fail.
-    second = stored(_candidates(named, True, part).join(first, ["a", "b"], "left_anti"), "pairs")
+    members = _open_places(forests, labels)
+    # What is in a forest has its set made already.
+    second = stored(_joined_up(members, entries, labels, made, part), "pairs")
     if not second.isEmpty():
-        links = links.union(_verified(second, entries, docs, text, size, part))
+        links = links.union(second)
         labels = stored(components(links), "components")
     sets = copies.join(entries.select("_set", "id"), "_set").join(labels.withColumnRenamed("node", "id"), "id", "left")
     sets = stored(sets.withColumn("label", F.coalesce("label", "id")), "sets")

@@ -95,3 +95,37 @@ def test_parities_of_long_sets_lose_no_pair_and_let_few_through(part):
             if max(sizes[i], sizes[j]) < jaccard.MOST_BITS and min(sizes[i], sizes[j]) * 100 >= part * max(sizes[i], sizes[j]):
                 passed, linked = passed + close[j], linked + link
     assert linked <= passed <= 2 * linked
+
+
+def sparse_group(members=60):
+    """Copies of one text with changes of their own: most pairs are just below the threshold, a few above."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(400)]
+    out = []
+    for k in range(members):
+        text = list(base)
+        for at in rng.sample(range(400), 4 + (k % 3 > 0)):
+            text[at] = f"c{k}x{at}"
+        out.append((k, " ".join(text)))
+    return out
+
+
+def test_second_round_emits_no_more_pairs_than_entries(spark, monkeypatch):
+    rows = sparse_group()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = dict(zip([d for d, _ in rows], components_of(rows, 5, 80), strict=True))
+    assert 1 < len(set(want.values()))
+    written, keep = {}, jaccard.stored
+
+    def counted(df, label):
+        out = keep(df, label)
+        written.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    for block in (jaccard.BLOCK_SHINGLES, 4000):
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(docs, size=5, part=80).collect()}
+        assert got == want
+    first, second = written["pairs"][:2]
+    assert max(written["members"]) > 0 and second < len(rows)
