@@ -10,88 +10,132 @@ discounting: what is taken from listed successors goes to the others in proporti
 distribution; the root is the unigram distribution with 0.1 added to each count. A text's score is
 the log10 probability of its symbols, each under the longest retained suffix before it.
 
-On Spark: strings of symbols are 64-bit digests. Each level is counted in a pass over the texts that
-leaves out strings whose two shorter halves miss their floors (bitmaps of fixed size say so; what they
-let through too much is cut by its exact count). Contexts, divergences and probabilities are tables
-made by grouping and joins. The probability of a symbol is its root's times one factor for each
-string that ends there or just before, so a text's score is its base score plus a sum over its strings:
-strings with a share of at least 2^-HOT_BITS at their level (a bounded number) are broadcast, the others
-meet their factors in a join. Words and their counts are split in the same way at 2^-HEAD_BITS.
+On Spark: texts are stored once as lists of word digests; strings of symbols are 64-bit digests, too. Each
+level is counted in a pass over those lists that leaves out strings whose two shorter halves miss their floors
+(bitmaps of fixed size say so; what they let through too much is cut by its exact count). Contexts, divergences
+and probabilities are tables made by grouping and joins. The probability of a symbol is its root's times one
+factor for each string that ends there or just before, so a text's score is its base score plus a sum over its
+strings: strings with a share of at least 2^-HOT_BITS at their level (a bounded number) are broadcast, the others
+meet their factors in a join, together with the words below a share of 2^-HEAD_BITS, which meet their counts.
+Tables that nothing reads again are removed while the result is built; the result itself is a join of two.
 
 A text is trained on unless crc32 of its id (as text, null: empty) is a multiple of 10. Null and empty
 texts are one end. Repeated rows count and are scored each; there are no ties to break. Long texts
 are numbered whole, at a few hundred bytes a word. Empty tables give empty results; without training
 texts every word is unknown. Input columns with the name of a result are replaced, others never clash.
-Two strings with one digest (of 64 bits) would be taken for the same.
+Two words or strings with one digest (of 64 bits) would be taken for the same.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import arrow_slices, hot_join, key_filter, may_hold, packed, slices, split_words, stored, unpacked, without
+from snarelight.llm.common import arrow_slices, hot_join, key_filter, may_hold, packed, split_words, stored, unpacked, without
+from snarelight.session import discard, settings
 
 HEAD_BITS, HOT_BITS = 20, 20
 DEPTH, LEAST_NEXT, LEAST_CONTEXT = 3, 4, 64
 MIN_BITS, MIN_GAIN, DISCOUNT = 0.02, 10.0, 0.5
 ADDED = 0.1
-FLUSH_WORDS = 400_000
+#: Words of a slice, keys counted at a time in a task, rows it gives out at a time, texts it takes in at a time, bytes of a file's different digests.
+SLICE_WORDS, FLUSH_KEYS, BATCH_ROWS, BATCH_TEXTS, DICTIONARY_BYTES = 1 << 18, 1 << 20, 1 << 17, 1000, 16 << 20
 END = b""
 SEED = 42
 RESULTS = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Lowered words; bytes.lower and bytes.split know ASCII only: A-Z and the six white spaces."""
-    return (text or b"").lower().split()
-
-
 def _held_out(doc_id: str):
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+def _digests(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64).view(np.int64)
+
+
+END_DIGEST = _digests([END])[0]
+
+
+def _coded(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
+    """_row, _user (the columns ``keep``), held_out and _words: the digests of a text's lowered words (bytes: A-Z, six white spaces)."""
+    rows = docs.select(
+        packed(keep), _held_out(doc_id).alias("held_out"), F.col(f"`{text}`").alias("_text"), F.array().cast("array<bigint>").alias("_words")
+    )
+    text_at, words_at = rows.columns.index("_text"), rows.columns.index("_words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_slices(batches, text_at):
+            words, sizes = split_words(pc.ascii_lower(batch.column(text_at).cast(pa.large_string())))
+            coded = words.dictionary_encode()
+            digests = _digests(coded.dictionary.cast(pa.large_binary()).to_pylist())
+            columns = list(batch.columns)
+            columns[text_at] = pa.nulls(batch.num_rows, pa.string())
+            columns[words_at] = _lists(pa.array(digests[coded.indices.to_numpy(zero_copy_only=False)], pa.int64()), sizes)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema).drop("_text").withColumn("_row", F.monotonically_increasing_id())
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _store_coded(coded: DataFrame) -> DataFrame:
+    # A file's digests repeat: with room for its different ones, a dictionary takes two bytes a word instead of eight.
+    return stored(coded, "coded", **{"parquet.dictionary.page.size": str(DICTIONARY_BYTES)})
+
+
 def unigrams(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """word (binary; empty: the end) and c, over the training texts."""
+    """key (digest of a word or of the end) and c, over the training texts."""
+    return _unigrams(_coded(docs, text, doc_id, []).where(~F.col("held_out")).select("_words"))
+
 
+def _unigrams(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for _, texts in slices(batches, "_text"):
-            for body in texts:
-                counts.update(words_of(body))
-            counts[END] += len(texts)
-            if len(counts) > FLUSH_WORDS:
-                yield _counted(counts)
-                counts = Counter()
-        if counts:
-            yield _counted(counts)
-
-    return _training(docs, text, doc_id).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "c"]
-    )
+        return _tallied(symbols.digest[symbols.from_place(1)] for _, symbols in symbol_slices(batches, 0))
+
+    return train.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c"))
+
+
+def _tallied(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """key and n, counted over FLUSH_KEYS keys at a time."""
+    held, size = [], 0
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+        for at in range(0, rows.num_rows, BATCH_ROWS):
+            yield rows.slice(at, BATCH_ROWS)
+
+    for keys in parts:
+        held.append(keys)
+        size += len(keys)
+        if size >= FLUSH_KEYS:
+            yield from flushed()
+            held, size = [], 0
+    if size:
+        yield from flushed()
 
 
 @dataclass
 class Head:
-    """Frequent words with their counts."""
+    """Frequent words (digests) with their counts."""
 
-    words: list[bytes]
+    words: np.ndarray
     counts: np.ndarray
     total: int
     distinct: int
+    least: int
 
     def __post_init__(self) -> None:
         self.log_norm = float(np.log10(self.total + ADDED * (self.distinct + 1)))
@@ -103,36 +147,57 @@ class Head:
 def head_of(counts: DataFrame) -> Head:
     """Collects at most 2^HEAD_BITS words: each has that share of all tokens."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.where(F.col("c") >= max(2, total >> HEAD_BITS)).toArrow()
-    return Head(rows.column("word").to_pylist(), rows.column("c").to_numpy().astype(np.int64), total, distinct)
+    least = max(2, total >> HEAD_BITS)
+    rows = counts.where(F.col("c") >= least).toArrow()
+    return Head(rows.column("key").to_numpy().astype(np.int64), rows.column("c").to_numpy().astype(np.int64), total, distinct, least)
 
 
 class Symbols:
-    """The symbols of some texts in a row, each text's with an end before and after."""
+    """The symbols of some texts (lists of word digests) in a row, each text's with an end before and after."""
 
-    def __init__(self, texts: pa.Array) -> None:
-        words, self.n_words = split_words(pc.ascii_lower(texts.cast(pa.large_string())))
-        coded = words.dictionary_encode()
-        #: Different words, the end last; which of them each symbol is; its text; its place in it.
-        self.words = [*coded.dictionary.cast(pa.large_binary()).to_pylist(), END]
+    def __init__(self, texts: pa.ListArray) -> None:
+        self.n_words = texts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = self.n_words + 2
+        self.starts = np.cumsum(lengths) - lengths
+        #: The text of each symbol, and its digest.
         self.text = np.repeat(np.arange(len(lengths)), lengths)
-        self.place = np.arange(len(self.text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.inner = (self.place > 0) & (self.place <= np.repeat(self.n_words, lengths))
-        self.of = np.full(len(self.text), len(self.words) - 1, np.int64)
-        self.of[self.inner] = coded.indices.to_numpy(zero_copy_only=False)
-        digests = np.array([xxhash.xxh64_intdigest(w, SEED) for w in self.words], np.uint64)
-        self.digest = digests[self.of]
+        self.digest = np.full(len(self.text), END_DIGEST)
+        inner = np.ones(len(self.text), bool)
+        inner[self.starts] = inner[self.starts + lengths - 1] = False
+        self.digest[inner] = texts.flatten().to_numpy(zero_copy_only=False)
+        self.last = self.starts + lengths - 1
+
+    def from_place(self, place: int) -> np.ndarray:
+        """Which symbols have at least ``place`` others before them in their text."""
+        out = np.ones(len(self.text), bool)
+        # A text has two symbols at least, so the third place may be the next text's first; there is no need to look further.
+        for k in range(place):
+            at = self.starts + k
+            out[at[at <= self.last]] = False
+        return out
 
     def strings(self, depth: int) -> Iterator[np.ndarray]:
         """Digests of the strings of 1, 2 .. depth + 1 symbols that end at each symbol (if as many stand in its text)."""
-        ending = self.digest
+        symbol = self.digest.view(np.uint64)
+        ending = symbol
         yield ending.view(np.int64)
         for _ in range(depth):
-            ending = np.concatenate([ending[:1], _joined(ending[:-1], self.digest[1:])])
+            ending = np.concatenate([ending[:1], _joined(ending[:-1], symbol[1:])])
             yield ending.view(np.int64)
 
 
+def symbol_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Symbols]]:
+    """The batches cut so that each has about SLICE_WORDS words, with their symbols."""
+    for batch in batches:
+        sizes = batch.column(column).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        piece = np.cumsum(sizes) // SLICE_WORDS
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(sizes)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end > start:
+                cut = batch.slice(start, end - start)
+                yield cut, Symbols(cut.column(column))
+
+
 def _joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """The digest of a string from that of all but its last symbol and the last symbol's (a 64-bit finaliser)."""
     x = context * np.uint64(0x9E3779B97F4A7C15) ^ symbol
@@ -141,44 +206,49 @@ def _joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _training(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.where(~_held_out(doc_id)).select(F.col(f"`{text}`").alias("_text"))
-
-
 def _counted_strings(train: DataFrame, level: int, contexts: bytes, listed: bytes) -> DataFrame:
     """key and n of the strings of level + 1 symbols whose first and last ``level`` symbols may be in the bitmaps."""
     sent = train.sparkSession.sparkContext.broadcast((contexts, listed))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_slices(batches, 0):
-            symbols = Symbols(batch.column(0))
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, symbols in symbol_slices(batches, 0):
             *_, below, own = symbols.strings(level)
-            ok = np.flatnonzero(symbols.place >= level)
-            ok = ok[may_hold(sent.value[1], below[ok])]
-            ok = ok[may_hold(sent.value[0], below[ok - 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(own[ok])], names=["key"])
+            at = np.flatnonzero(symbols.from_place(level))
+            at = at[may_hold(sent.value[1], below[at])]
+            at = at[may_hold(sent.value[0], below[at - 1])]
+            yield own[at]
 
-    # Spark's partial aggregation counts a task's keys faster than sorting them here would.
-    return train.mapInArrow(run, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return train.mapInArrow(lambda batches: _tallied(keys(batches)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _halves(train: DataFrame, bitmaps: list[bytes]) -> DataFrame:
     """level, key, ctx (all but the last symbol) and low (all but the first) of the strings that may be in their level's bitmap."""
     sent = train.sparkSession.sparkContext.broadcast(bitmaps)
-    names = ["level", "key", "ctx", "low"]
+
+    def distinct(level: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, ctx, low = (np.concatenate(c) for c in zip(*held, strict=True))
+        at = np.unique(key, return_index=True)[1]
+        columns = [np.full(len(at), level), key[at], ctx[at], low[at]]
+        rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "key", "ctx", "low"])
+        for at in range(0, rows.num_rows, BATCH_ROWS):
+            yield rows.slice(at, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_slices(batches, 0):
-            symbols = Symbols(batch.column(0))
+        held = [[] for _ in sent.value]
+        for _, symbols in symbol_slices(batches, 0):
             below = None
-            for level, own in enumerate(symbols.strings(len(sent.value))):
+            for level, own in enumerate(symbols.strings(len(held))):
                 if level:
-                    at = np.flatnonzero(symbols.place >= level)
+                    at = np.flatnonzero(symbols.from_place(level))
                     at = at[may_hold(sent.value[level - 1], own[at])]
-                    at = at[np.unique(own[at], return_index=True)[1]]
-                    columns = [np.full(len(at), level), own[at], below[at - 1], below[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                    held[level - 1].append((own[at], below[at - 1], below[at]))
+                    if sum(len(k) for k, _, _ in held[level - 1]) >= FLUSH_KEYS:
+                        yield from distinct(level, held[level - 1])
+                        held[level - 1] = []
                 below = own
+        for level, rest in enumerate(held, start=1):
+            if rest:
+                yield from distinct(level, rest)
 
     rows = train.mapInArrow(run, "level bigint, key bigint, ctx bigint, low bigint")
     return rows.groupBy("level", "key").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"))
@@ -214,18 +284,9 @@ def _level(keys: DataFrame, below: DataFrame, least_context: int) -> tuple[DataF
     strings = joined.select(
         "key", "n", F.coalesce(own, F.col("parent")).alias("logp"), (own - F.col("parent") - F.col("other")).alias("factor")
     )
-    return retained, stored(strings, "level")
-
-
-def _digested(counts: DataFrame) -> DataFrame:
-    """Counts by the digests that ``Symbols`` gives words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = np.array([xxhash.xxh64_intdigest(w, SEED) for w in batch.column(0).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), batch.column(1)], names=["key", "c"])
-
-    return counts.select("word", "c").mapInArrow(run, "key bigint, c bigint")
+    out = stored(strings, "level")
+    discard(keys)
+    return retained, out
 
 
 def tree(
@@ -233,9 +294,17 @@ def tree(
     depth: int = DEPTH, least_next: int = LEAST_NEXT, least_context: int = LEAST_CONTEXT,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """(id, n, factor) of all strings that change a probability, and the retained contexts by length."""
-    train = _training(docs, text, doc_id)
+    coded = _store_coded(_coded(docs, text, doc_id, []))
+    out = _tree(coded.where(~F.col("held_out")).select("_words"), counts, log_norm, depth, least_next, least_context)
+    discard(coded)
+    return out
+
+
+def _tree(
+    train: DataFrame, counts: DataFrame, log_norm: float, depth: int, least_next: int, least_context: int
+) -> tuple[DataFrame, list[DataFrame]]:
     root = F.log10(F.col("c") + F.lit(ADDED)) - F.lit(log_norm)
-    below = stored(_digested(counts).select("key", F.col("c").alias("n"), root.alias("logp")), "words")
+    below = stored(counts.select("key", F.col("c").alias("n"), root.alias("logp")), "words")
     levels, bitmaps, last = [], [], below
     for level in range(1, depth + 1):
         often = lambda least, of=last: key_filter(of.where(F.col("n") >= least), "key")
@@ -244,17 +313,42 @@ def tree(
         levels.append(last)
         bitmaps.append(key_filter(last, "key"))
     halves = stored(_halves(train, bitmaps), "halves") if levels else None
-    parts, contexts = [], []
+    parts, contexts, done = [], [], []
     for level, strings in enumerate(levels, start=1):
         keys = strings.join(halves.where(F.col("level") == level).drop("level"), "key")
-        retained, below = _level(keys, below, least_context)
+        retained, own = _level(keys, below, least_context)
+        discard(strings, *([below] if level == 1 else []))
+        below = own
         contexts.append(retained)
+        done.append(below)
         parts.append(retained.select(F.col("ctx").alias("id"), F.col("total").cast("long").alias("n"), F.col("other").alias("factor")))
         parts.append(below.where(F.col("factor").isNotNull()).select(F.col("key").alias("id"), "n", "factor"))
     none = counts.where(F.lit(False)).select(F.lit(0).cast("long").alias("id"), F.col("c").alias("n"), F.lit(0.0).alias("factor"))
     both = reduce(DataFrame.unionByName, parts, none)
-    factors = both.groupBy("id").agg(F.max("n").alias("n"), F.sum("factor").alias("factor"))
-    return stored(factors, "factors"), contexts
+    factors = stored(both.groupBy("id").agg(F.max("n").alias("n"), F.sum("factor").alias("factor")), "factors")
+    discard(*done, *([halves] if levels else [below]))
+    return factors, contexts
+
+
+class Candidates:
+    """The strings of some texts that may have a factor, by bitmaps of the retained contexts and of all strings with one."""
+
+    def __init__(self, contexts: bytes, factors: bytes, depth: int) -> None:
+        self.contexts, self.factors, self.depth = contexts, factors, depth
+
+    def of(self, symbols: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Where they end, and their ids; length by length."""
+        inside = None
+        for level, own in enumerate(symbols.strings(self.depth)):
+            there = symbols.from_place(level)
+            # Nothing follows the last end: it is no context.
+            there[symbols.last] &= level > 0
+            context = may_hold(self.contexts, own)
+            # A string with a factor is a context, or listed in one.
+            at = np.flatnonzero(there & (context if inside is None else context | np.concatenate([[False], inside[:-1]])))
+            at = at[may_hold(self.factors, own[at])]
+            yield at, own[at]
+            inside = context
 
 
 def score(
@@ -262,91 +356,97 @@ def score(
     depth: int = DEPTH, least_next: int = LEAST_NEXT, least_context: int = LEAST_CONTEXT,
 ) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all but the text) with RESULTS."""
-    spark = docs.sparkSession
-    counts = stored(unigrams(docs, text, doc_id), "unigrams")
+    # Ten thousand texts' digests at once (Spark's default) are tens of MB in each of JVM and Python.
+    with settings(docs.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch=str(BATCH_TEXTS)):
+        return _score(docs, text, doc_id, keep, depth, least_next, least_context)
+
+
+def _score(
+    docs: DataFrame, text: str, doc_id: str, keep: list[str] | None, depth: int, least_next: int, least_context: int
+) -> DataFrame:
+    context = docs.sparkSession.sparkContext
+    kept = [c for c in without(docs, RESULTS).columns if c != text] if keep is None else keep
+    coded = _store_coded(_coded(docs, text, doc_id, kept))
+    train = coded.where(~F.col("held_out")).select("_words")
+    counts = stored(_unigrams(train), "unigrams")
     head = head_of(counts)
-    # Broadcasts hold plain data: workers need no copy of this package.
-    sent = spark.sparkContext.broadcast((head.words, head.counts, head.total, head.distinct))
-    factors, _ = tree(docs, counts, head.log_norm, text, doc_id, depth, least_next, least_context)
+    factors, contexts = _tree(train, counts, head.log_norm, depth, least_next, least_context)
     # Strings of one length occur about as often as there are tokens, so at most 2^HOT_BITS of them have this share.
-    hot = factors.where(F.col("n") >= max(2, head.total >> HOT_BITS)).select("id", "factor").toArrow()
+    least = max(2, head.total >> HOT_BITS)
+    hot = factors.where(F.col("n") >= least).select("id", "factor").toArrow()
     ids, values = hot.column("id").to_numpy().astype(np.int64), hot.column("factor").to_numpy().astype(float)
-    order = np.argsort(ids)
-    known_strings = spark.sparkContext.broadcast((ids[order], values[order], key_filter(factors, "id")))
-    kept = [c for c in without(docs, RESULTS).columns if c != text] if keep is None else keep
-    rows = docs.select(
-        packed(kept),
-        F.col(f"`{text}`").alias("_text"),
-        _held_out(doc_id).alias("held_out"),
+    retained = reduce(DataFrame.unionByName, [c.select("ctx") for c in contexts], counts.where(F.lit(False)).select(F.col("key").alias("ctx")))
+    bitmaps = (key_filter(retained, "ctx"), key_filter(factors, "id"), depth)
+    # A rare word's entry has the inverse of its digest: the digest itself is that of a context.
+    root = F.log10(F.col("c") + F.lit(ADDED)) - F.lit(head.log_norm)
+    tail = counts.where(F.col("c") < head.least).select(F.bitwise_not("key").alias("id"), root.alias("base"), root.alias("factor"))
+    rare = tail.unionByName(factors.where(F.col("n") < least).select("id", F.lit(None).cast("double").alias("base"), "factor"))
+    # Broadcasts hold plain data: workers need no copy of this package.
+    sent = context.broadcast((head.words, head.root(), ids, values, bitmaps, key_filter(counts.where(F.col("c") < head.least), "key")))
+
+    def rare_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rare words and strings of every text, one row each time."""
+        words, _, ids, _, bitmaps, tail_bits = sent.value
+        candidates, known, hot = Candidates(*bitmaps), pd.Index(words), pd.Index(ids)
+        for batch, symbols in symbol_slices(batches, 1):
+            row = batch.column(0).to_numpy()
+            at = np.flatnonzero(symbols.from_place(1))
+            at = at[may_hold(tail_bits, symbols.digest[at])]
+            at = at[known.get_indexer(symbols.digest[at]) < 0]
+            found = [(at, ~symbols.digest[at])]
+            for at, own in candidates.of(symbols):
+                new = hot.get_indexer(own) < 0
+                found.append((at[new], own[new]))
+            for at, own in found:
+                for k in range(0, len(at), BATCH_ROWS):
+                    columns = [row[symbols.text[at[k : k + BATCH_ROWS]]], own[k : k + BATCH_ROWS]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_row", "id"])
+
+    met = coded.select("_row", "_words").mapInArrow(rare_of, "_row bigint, id bigint").join(rare, "id")
+    sums = met.groupBy("_row").agg(F.sum("base").alias("_rare_base"), F.count("base").alias("_rare_known"), F.sum("factor").alias("_rare_score"))
+    rows = coded.select(
+        "_row",
+        "_user",
+        "held_out",
         F.lit(0).cast("long").alias("n_tokens"),
         F.lit(0).cast("long").alias("_n_head"),
         F.lit(0.0).alias("_base"),
         F.lit(0.0).alias("_score"),
-        F.array().cast("array<binary>").alias("_tail"),
-        F.array().cast("array<bigint>").alias("_rare"),
+        "_words",
     )
-
-    text_at = rows.columns.index("_text")
+    words_at = rows.columns.index("_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Head(*sent.value)
-        known, root = {w: i for i, w in enumerate(own.words)}, own.root()
-        ids, values, bitmap = known_strings.value
-        for batch in arrow_slices(batches, text_at):
-            symbols, n = Symbols(batch.column("_text")), batch.num_rows
-            number = np.array([known.get(w, -1) for w in symbols.words], np.int64)[symbols.of]
-            given = symbols.place > 0
+        """The sums over frequent words and strings."""
+        words, root, ids, values, bitmaps, _ = sent.value
+        candidates, known, hot = Candidates(*bitmaps), pd.Index(words), pd.Index(ids)
+        for batch, symbols in symbol_slices(batches, words_at):
+            n = batch.num_rows
             per_text = lambda at, weights=None: np.bincount(symbols.text[at], weights, n)
-            headed = np.flatnonzero(given & (number >= 0))
-            tail = np.flatnonzero(given & (number < 0))
-            base = per_text(headed, root[number[headed]]).astype(float)  # without symbols the counts are whole numbers
-            logs, rare, rare_of = base.copy(), [], []
-            for level, own_ids in enumerate(symbols.strings(depth)):
-                # A single symbol is a context only, so the last end doesn't count.
-                at = np.flatnonzero(symbols.place >= level if level else symbols.inner | ~given)
-                at = at[may_hold(bitmap, own_ids[at])]
-                place = np.minimum(np.searchsorted(ids, own_ids[at]), max(0, len(ids) - 1))
-                found = ids[place] == own_ids[at] if len(ids) else np.zeros(len(at), bool)
-                logs += per_text(at[found], values[place[found]])
-                rare.append(own_ids[at[~found]])
-                rare_of.append(symbols.text[at[~found]])
-            rare_of = np.concatenate(rare_of)
-            order = np.argsort(rare_of, kind="stable")
-            tail_words = pa.array(symbols.words, pa.binary()).take(pa.array(symbols.of[tail]))
-            made = {
-                "_text": pa.nulls(n, pa.string()),
-                "n_tokens": pa.array(symbols.n_words + 1),
-                "_n_head": pa.array(per_text(headed).astype(np.int64)),
-                "_base": pa.array(base),
-                "_score": pa.array(logs),
-                "_tail": _lists(tail_words, per_text(tail)),
-                "_rare": _lists(pa.array(np.concatenate(rare)[order]), np.bincount(rare_of, minlength=n)),
-            }
+            at = np.flatnonzero(symbols.from_place(1))
+            number = known.get_indexer(symbols.digest[at])
+            at, number = at[number >= 0], number[number >= 0]
+            base = per_text(at, root[number]).astype(float)  # without symbols the counts are whole numbers
+            made = {"n_tokens": pa.array(symbols.n_words + 1), "_n_head": pa.array(per_text(at).astype(np.int64)), "_base": pa.array(base)}
+            logs = base.copy()
+            for at, own in candidates.of(symbols):
+                place = hot.get_indexer(own)
+                logs += per_text(at[place >= 0], values[place[place >= 0]])
+            made |= {"_score": pa.array(logs), "_words": pa.nulls(n, batch.column(words_at).type)}
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    scored = rows.mapInArrow(run, rows.schema).drop("_text").withColumn("_row", F.monotonically_increasing_id())
-    scored = stored(scored, "scored")
-    # Every tail word of every text meets its count; unknown words have none.
-    tail = scored.select("_row", F.explode("_tail").alias("word"))
-    known_words = tail.join(counts, "word", "left").groupBy("_row").agg(
-        F.sum(F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ADDED)) - F.lit(head.log_norm)).alias("_tail_score"),
-        F.count("c").alias("_tail_known"),
-    )
-    rare = scored.select("_row", F.explode("_rare").alias("id"))
-    strings = rare.join(factors.select("id", "factor"), "id").groupBy("_row").agg(F.sum("factor").alias("_rare_score"))
+    sums, scored = stored(sums, "rare"), stored(rows.mapInArrow(run, rows.schema).drop("_words"), "scored")
+    discard(coded, counts, factors, *contexts)
+    parts = scored.join(sums, "_row", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
-    parts = scored.drop("_tail", "_rare").join(known_words, "_row", "left").join(strings, "_row", "left")
+    n_known = F.col("_n_head") + F.coalesce(F.col("_rare_known"), F.lit(0))
+    others = zero("_rare_base") + (F.col("n_tokens") - n_known) * F.lit(float(np.log10(ADDED)) - head.log_norm)
     return parts.select(
         *unpacked(kept),
         "held_out",
         "n_tokens",
-        (F.col("_n_head") + F.coalesce(F.col("_tail_known"), F.lit(0))).alias("n_known"),
+        n_known.alias("n_known"),
         F.lit(head.total).cast("long").alias("train_tokens"),
-        (F.col("_base") + zero("_tail_score")).alias("base_score"),
-        (F.col("_score") + zero("_tail_score") + zero("_rare_score")).alias("score"),
+        (F.col("_base") + others).alias("base_score"),
+        (F.col("_score") + others + zero("_rare_score") - zero("_rare_base")).alias("score"),
     )
-
-
-def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), values)

@@ -84,12 +84,41 @@ def temporary_folders(spark: SparkSession) -> Iterator[None]:
             files.delete(path, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Runtime settings of the session for the block (``_`` in a name for a dot); lazy results run later, without them."""
+    names = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written once and read back: computed once, whoever reads it and however often.
 
     Unlike a cached DataFrame it survives lost executors, and later reads take only the
-    columns they need and know the table's true size.
+    columns they need and know the table's true size. The shuffle files of the write go with it:
+    nothing reads them again, and Spark would keep them until the driver happens to collect its garbage.
     """
-    folder = new_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = new_folder(spark, label)
+    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+        df.write.options(**options).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables, as ``stored`` gave them, that nothing reads again."""
+    for table in tables:
+        path, files = shared_path(table.sparkSession, table.stored_in)
+        files.delete(path, True)

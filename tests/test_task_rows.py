@@ -1,9 +1,12 @@
 """Jobs that group or sort many narrow rows deal them by number, with the same results."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
+from snarelight import session
 from snarelight.model import SCHEMAS
 from snarelight.plans import audit, intake
 
@@ -40,3 +43,20 @@ def test_removal_deals_both_sides(spark, seed):
     assert sorted(rows(dealt.problems)) == sorted(rows(whole.problems)) == [(2, 3), (99, 1)]
     assert dealt.rows_affected() == whole.rows_affected() == 2
     assert "REPARTITION_BY_NUM" in plan(dealt.problems)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What a stored table was made from goes with its write, and a discarded table is gone."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    table = session.stored(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "left")
+    end = time.monotonic() + 20
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(name, None) == setting
+    assert table.count() == 1000
+    session.discard(table)
+    path, system = session.shared_path(spark, table.stored_in)
+    assert not system.exists(path)
