@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import AbstractContextManager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snarelight.operators.skew import is_small, lookup_join
-from snarelight.session import stored
+from snarelight.session import settings, stored
 
 #: Words are runs of anything but these six white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +21,8 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes an executor's Python task works on at a time.
 SLICE_BYTES = 8 << 20
+#: Bytes of the rows that Spark hands to a Python task at a time, under ``small_batches``.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +128,14 @@ def may_hold(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bitmap, np.uint32)[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
 
 
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """In the block, rows go to Python tasks in batches of about BATCH_BYTES.
+
+    Ten thousand texts (Spark's default) or as many sets are tens of MB, several times over in JVM and Python.
+    """
+    return settings(spark, spark_sql_execution_arrow_maxBytesPerBatch=str(BATCH_BYTES))
+
+
 def arrow_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about ``most`` bytes of its ``column``-th column (strings)."""
     for batch in batches:
@@ -153,6 +164,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
 
 
 __all__ = [
-    "FILTER_BITS", "LOWER", "SPACES", "UPPER", "WORD", "arrow_slices", "hot_join", "is_small", "key_filter", "lookup_join", "lowered", "may_hold", "packed", "restored", "shielded", "slices", "split_words", "stored",
+    "BATCH_BYTES", "FILTER_BITS", "LOWER", "SPACES", "UPPER", "WORD", "arrow_slices", "hot_join", "is_small", "key_filter", "lookup_join", "lowered", "may_hold", "packed", "restored", "shielded", "slices", "small_batches", "split_words", "stored",
     "table", "unpacked", "with_running_totals", "without",
 ]

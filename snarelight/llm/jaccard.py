@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import arrow_slices, hot_join, key_filter, lookup_join, may_hold, packed, split_words, stored, unpacked, without
+from snarelight.llm.common import arrow_slices, hot_join, key_filter, lookup_join, may_hold, packed, small_batches, split_words, stored, unpacked, without
 from snarelight.llm.components import components
 from snarelight.session import new_folder, temporary_folders
 
@@ -442,6 +442,13 @@ def join_components(
     Sets are of shingles of ``size`` words and link at a Jaccard of ``part`` of ``WHOLE``.
     ``label`` names a column to add that tells components apart even where ids repeat (null: no set).
     """
+    with small_batches(docs.sparkSession):
+        return _join_components(docs, text, doc_id, keep, label, size, part)
+
+
+def _join_components(
+    docs: DataFrame, text: str, doc_id: str, keep: list[str] | None, label: str | None, size: int, part: int
+) -> DataFrame:
     kept = [c for c in without(docs, RESULTS).columns if c != text] if keep is None else keep
     found = stored(_fingerprints(docs, text, doc_id, kept, _word_costs(docs, text), size, part), "fingerprints")
     with_set = found.where("_set is not null")

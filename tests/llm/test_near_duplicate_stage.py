@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from snarelight.llm import jaccard
+from snarelight.llm import common, jaccard
 
 
 def components_of(rows, size, part):
@@ -128,3 +129,28 @@ def test_second_round_emits_no_more_pairs_than_entries(spark, monkeypatch):
         assert got == want
     first, second = written["pairs"][:2]
     assert max(written["members"]) > 0 and second < len(rows)
+
+
+def test_python_tasks_of_the_join_get_few_bytes_at_a_time(spark, monkeypatch):
+    name, keep, during = "spark.sql.execution.arrow.maxBytesPerBatch", jaccard.stored, []
+
+    def watched(df, label):
+        during.append(int(spark.conf.get(name)))
+        return keep(df, label)
+
+    before = spark.conf.get(name)
+    monkeypatch.setattr(jaccard, "stored", watched)
+    rows = made_rows()
+    assert jaccard.join_components(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == len(rows)
+    assert spark.conf.get(name) == before
+    assert during and set(during) == {common.BATCH_BYTES}
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    texts = spark.range(0, 400, 1, 1).selectExpr("repeat('word ', 20000) as text")
+    with common.small_batches(spark):
+        got = texts.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+    assert sum(r["n"] for r in got) == 400
+    assert max(r["bytes"] for r in got) < 2 * common.BATCH_BYTES
