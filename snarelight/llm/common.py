@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snarelight.operators.skew import is_small, lookup_join
-from snarelight.session import settings, stored
+from snarelight.session import discard, settings, stored
 
 #: Words are runs of anything but these six white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,23 +109,32 @@ def hot_join(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame
 FILTER_BITS = 1 << 26
 
 
-def key_filter(keys: DataFrame, column: str) -> bytes:
-    """A bitmap with the bit of each key (a long) set: what is not in it is none of ``keys``.
+def key_filter(keys: DataFrame, column: str, each: int = 1) -> bytes:
+    """A bitmap with ``each`` (1 or 2) bits of each key (a long) set: what is not in it is none of ``keys``.
 
     Its size is fixed. With very many keys it fills up and lets everything through; an exact join
-    has to follow in any case.
+    has to follow in any case. A second bit, of the key's upper half, lets fewer others through
+    while there are fewer keys than about half the bits; keys have to be digests for it.
     """
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = keys.select((bit / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = [F.pmod(F.shiftright(column, 32 * k) if k else F.col(column), F.lit(FILTER_BITS)) for k in range(each)]
+    bit = F.col("bit")
+    rows = keys.select(bits[0].alias("bit") if each == 1 else F.explode(F.array(*bits)).alias("bit"))
+    words = rows.select((bit / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("b"))
+    # Stored first: a table's shuffle files go with its writing, those of a collected result stay for long.
+    found = stored(words.groupBy("w").agg(F.bit_or("b").alias("b")), "bits")
+    rows = found.toArrow()
+    discard(found)
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
     bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
     return bits.tobytes()
 
 
-def may_hold(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
-    bit = np.mod(keys, FILTER_BITS)
-    return (np.frombuffer(bitmap, np.uint32)[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
+def may_hold(bitmap: bytes, keys: np.ndarray, each: int = 1) -> np.ndarray:
+    words, held = np.frombuffer(bitmap, np.uint32), True
+    for k in range(each):
+        bit = np.mod(keys >> (32 * k), len(words) * 32)
+        held = held & ((words[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1)
+    return held
 
 
 def small_batches(spark: SparkSession) -> AbstractContextManager[None]:

@@ -40,7 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snarelight.llm.common import arrow_slices, hot_join, key_filter, may_hold, packed, split_words, stored, unpacked, without
+from snarelight.llm import common
+from snarelight.llm.common import arrow_slices, hot_join, packed, split_words, stored, unpacked, without
 from snarelight.session import discard, settings
 
 HEAD_BITS, HOT_BITS = 20, 20
@@ -49,11 +50,21 @@ MIN_BITS, MIN_GAIN, DISCOUNT = 0.02, 10.0, 0.5
 ADDED = 0.1
 #: Words of a slice, keys counted at a time in a task, rows it gives out at a time, texts it takes in at a time, bytes of a file's different digests.
 SLICE_WORDS, FLUSH_KEYS, BATCH_ROWS, BATCH_TEXTS, DICTIONARY_BYTES = 1 << 18, 1 << 20, 1 << 17, 1000, 16 << 20
+#: Bits that a digest has in a bitmap.
+BITS_EACH = 2
 END = b""
 SEED = 42
 RESULTS = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
+def key_filter(keys: DataFrame, column: str) -> bytes:
+    return common.key_filter(keys, column, BITS_EACH)
+
+
+def may_hold(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
+    return common.may_hold(bitmap, keys, BITS_EACH)
+
+
 def _held_out(doc_id: str):
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
@@ -242,7 +253,8 @@ def _halves(train: DataFrame, bitmaps: list[bytes]) -> DataFrame:
                     at = np.flatnonzero(symbols.from_place(level))
                     at = at[may_hold(sent.value[level - 1], own[at])]
                     held[level - 1].append((own[at], below[at - 1], below[at]))
-                    if sum(len(k) for k, _, _ in held[level - 1]) >= FLUSH_KEYS:
+                    # The levels share the room.
+                    if sum(len(k) for k, _, _ in held[level - 1]) >= FLUSH_KEYS // len(held):
                         yield from distinct(level, held[level - 1])
                         held[level - 1] = []
                 below = own
@@ -255,7 +267,8 @@ def _halves(train: DataFrame, bitmaps: list[bytes]) -> DataFrame:
 
 
 def _rows_of(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    """Stored, since a join reads it twice."""
+    return stored(df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "rows")
 
 
 def _level(keys: DataFrame, below: DataFrame, least_context: int) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +278,8 @@ def _level(keys: DataFrame, below: DataFrame, least_context: int) -> tuple[DataF
     last symbol under the longest retained context up to this level, ``factor`` what a listed one gets beside ``other``.
     """
     parents = below.select(F.col("key").alias("low"), F.col("logp").alias("parent"))
-    keys = stored(hot_join(keys, parents, ["low"], _rows_of(keys, "low")).drop("low"), "strings")
+    lows = _rows_of(keys, "low")
+    keys = stored(hot_join(keys, parents, ["low"], lows).drop("low"), "strings")
     left = F.col("n") - DISCOUNT
     # The context's total is left out of the sums and comes in afterwards, one row a context.
     sums = keys.groupBy("ctx").agg(
@@ -279,13 +293,14 @@ def _level(keys: DataFrame, below: DataFrame, least_context: int) -> tuple[DataF
     measured = sums.join(totals, "ctx").select("ctx", "total", F.log10(rest / parent_rest).alias("other"), bits.alias("bits"))
     enough = (F.col("bits") >= MIN_BITS) & (F.col("bits") * F.col("total") >= MIN_GAIN)
     retained = stored(measured.where(enough).drop("bits"), "contexts")
-    joined = hot_join(keys, retained, ["ctx"], _rows_of(keys, "ctx"), "left")
+    rows = _rows_of(keys, "ctx")
+    joined = hot_join(keys, retained, ["ctx"], rows, "left")
     own = F.log10(left / F.col("total"))
     strings = joined.select(
         "key", "n", F.coalesce(own, F.col("parent")).alias("logp"), (own - F.col("parent") - F.col("other")).alias("factor")
     )
     out = stored(strings, "level")
-    discard(keys)
+    discard(keys, lows, rows)
     return retained, out
 
 
@@ -307,8 +322,10 @@ def _tree(
     below = stored(counts.select("key", F.col("c").alias("n"), root.alias("logp")), "words")
     levels, bitmaps, last = [], [], below
     for level in range(1, depth + 1):
-        often = lambda least, of=last: key_filter(of.where(F.col("n") >= least), "key")
-        strings = _counted_strings(train, level, often(least_context), often(least_next)).where(F.col("n") >= least_next)
+        contexts = key_filter(last.where(F.col("n") >= least_context), "key")
+        # Counted strings have a successor's evidence already.
+        listed = bitmaps[-1] if bitmaps else key_filter(last.where(F.col("n") >= least_next), "key")
+        strings = _counted_strings(train, level, contexts, listed).where(F.col("n") >= least_next)
         last = stored(strings, f"counted{level}")
         levels.append(last)
         bitmaps.append(key_filter(last, "key"))

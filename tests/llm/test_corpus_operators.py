@@ -313,3 +313,14 @@ def test_pipeline_stages_equal_brute_force(spark):
     mixed = corpus_pipeline.mixture(spark, clean, sf)
     assert Counter(r["doc_id"] for r in result) == Counter(r["doc_id"] for r in mixed.collect())
     assert {r["shard"] for r in result} <= set(range(24))
+
+
+def test_bitmaps_of_strings_lose_none_and_let_few_others_through(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 16)
+    digests = spark.range(40_000).selectExpr("id", "xxhash64(id) as key")
+    keys = digests.where("id < 6000")
+    rows = digests.orderBy("id").toArrow().column("key").to_numpy()
+    assert lm.may_hold(lm.key_filter(keys, "key"), rows[:6000]).all()
+    assert lm.may_hold(lm.key_filter(keys, "key"), rows[6000:]).mean() < 0.05
+    one = common.key_filter(keys, "key")
+    assert common.may_hold(one, rows[:6000]).all() and common.may_hold(one, rows[6000:]).mean() > 0.07
