@@ -12,11 +12,14 @@ the log10 probability of its symbols, each under the longest retained suffix bef
 
 On Spark: texts are stored once as lists of word digests; strings of symbols are 64-bit digests, too. Each
 level is counted in a pass over those lists that leaves out strings whose two shorter halves miss their floors
-(bitmaps of fixed size say so; what they let through too much is cut by its exact count). Contexts, divergences
+(bitmaps of fixed size say so; what they let through too much is cut by its exact count). Tasks count a million
+strings at a time and deal them to buckets by context (those of hot contexts by the last symbol), one packed row a
+bucket; a group is a bucket, their number grows with the corpus. Contexts, divergences
 and probabilities are tables made by grouping and joins. The probability of a symbol is its root's times one
 factor for each string that ends there or just before, so a text's score is its base score plus a sum over its
 strings: strings with a share of at least 2^-HOT_BITS at their level (a bounded number) are broadcast, the others
-meet their factors in a join, together with the words below a share of 2^-HEAD_BITS, which meet their counts.
+are dealt to buckets, too, and meet their factors there, together with the words below a share of 2^-HEAD_BITS,
+which meet their counts; one pass over the texts does both.
 Tables that nothing reads again are removed while the result is built; the result itself is a join of two.
 
 A text is trained on unless crc32 of its id (as text, null: empty) is a multiple of 10. Null and empty
@@ -37,8 +40,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snarelight.llm import common
 from snarelight.llm.common import arrow_slices, hot_join, packed, split_words, stored, unpacked, without
@@ -48,17 +53,50 @@ HEAD_BITS, HOT_BITS = 20, 20
 DEPTH, LEAST_NEXT, LEAST_CONTEXT = 3, 4, 64
 MIN_BITS, MIN_GAIN, DISCOUNT = 0.02, 10.0, 0.5
 ADDED = 0.1
-#: Words of a slice, keys counted at a time in a task, rows it gives out at a time, texts it takes in at a time, bytes of a file's different digests.
-SLICE_WORDS, FLUSH_KEYS, BATCH_ROWS, BATCH_TEXTS, DICTIONARY_BYTES = 1 << 18, 1 << 20, 1 << 17, 1000, 16 << 20
+#: Words of a slice, keys counted at a time in a task, texts it takes in at a time, bytes of a file's different digests.
+SLICE_WORDS, FLUSH_KEYS, BATCH_TEXTS, DICTIONARY_BYTES = 1 << 18, 1 << 20, 1000, 16 << 20
 #: Bits that a digest has in a bitmap.
 BITS_EACH = 2
+#: Parts of a bitmap, and buckets of the different words for each shuffle partition.
+PIECES, WORD_BUCKETS = 16, 4
+#: A block has 2^TEXT_BITS texts.
+TEXT_BITS = 12
+#: Symbols of the corpus for each bucket of counted strings, and of rare words and strings.
+COUNTED_KEYS, RARE_KEYS = 1 << 20, 1 << 22
+#: Parts of the rare words' and strings' buckets that are shuffled one after the other.
+ROUNDS = 4
+#: Bytes that a file of packed rows holds back in memory.
+ROW_GROUP_BYTES = 16 << 20
 END = b""
 SEED = 42
 RESULTS = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def key_filter(keys: DataFrame, column: str) -> bytes:
-    return common.key_filter(keys, column, BITS_EACH)
+    """As ``common.key_filter``; a task sends its bits packed, a million keys at a time."""
+    total = common.FILTER_BITS
+    piece = max(64, total // PIECES)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _filled(batch.column(0).to_numpy() for batch in batches):
+            bit = np.unique(np.concatenate([np.mod(part >> (32 * k), total) for k in range(BITS_EACH)]))
+            rows = [(int(bit[a]) // piece, b - a, _steps(bit[a:b])) for a, b in _cuts(bit // piece)]
+            yield _record(rows, {"piece": pa.int32(), "size": pa.int32(), "bits": pa.binary()})
+
+    def merged(rows: pa.Table) -> pa.Table:
+        held = np.zeros(piece, bool)
+        for r in _rows(rows):
+            held[_unstepped(r["bits"], r["size"]) % piece] = True
+        return pa.table({"piece": rows.column("piece").slice(0, 1), "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    dealt = keys.select(F.col(column)).mapInArrow(bits, "piece int, size int, bits binary").groupBy("piece")
+    # Stored first: a table's shuffle files go with its writing, those of a collected result stay for long.
+    found = stored(dealt.applyInArrow(merged, "piece int, bits binary"), "bits")
+    out = bytearray(total // 8)
+    for r in found.toArrow().to_pylist():
+        out[r["piece"] * (piece // 8) : (r["piece"] + 1) * (piece // 8)] = r["bits"]
+    discard(found)
+    return bytes(out)
 
 
 def may_hold(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
@@ -103,7 +141,7 @@ def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
 
 def _store_coded(coded: DataFrame) -> DataFrame:
     # A file's digests repeat: with room for its different ones, a dictionary takes two bytes a word instead of eight.
-    return stored(coded, "coded", **{"parquet.dictionary.page.size": str(DICTIONARY_BYTES)})
+    return stored(coded, "coded", **{"parquet.dictionary.page.size": str(DICTIONARY_BYTES), "compression": "zstd"})
 
 
 def unigrams(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -112,35 +150,127 @@ def unigrams(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _unigrams(train: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _tallied(symbols.digest[symbols.from_place(1)] for _, symbols in symbol_slices(batches, 0))
+    buckets = _buckets(WORD_BUCKETS * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    return train.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c"))
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _filled(symbols.digest[symbols.from_place(1)] for _, symbols in symbol_slices(batches, 0)):
+            keys, n = np.unique(part.view(np.uint64), return_counts=True)
+            bucket = _bucket(keys, buckets)
+            rows = [(int(bucket[a]), b - a, _steps(keys[a:b]), _pressed(n[a:b].astype(np.uint32))) for a, b in _cuts(bucket)]
+            yield _record(rows, {"bucket": pa.int32(), "size": pa.int32(), "keys": pa.binary(), "n": pa.binary()})
 
+    def counted(rows: pa.Table) -> pa.Table:
+        parts = [(_unstepped(r["keys"], r["size"]), _unpressed(r["n"], r["size"], np.uint32)) for r in _rows(rows)]
+        keys, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        starts = _changes(keys[order])
+        return pa.table({"key": keys[order[starts]], "c": np.add.reduceat(n[order], starts, dtype=np.int64)})
 
-def _tallied(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """key and n, counted over FLUSH_KEYS keys at a time."""
-    held, size = [], 0
+    return train.mapInArrow(tallied, "bucket int, size int, keys binary, n binary").groupBy("bucket").applyInArrow(counted, "key bigint, c bigint")
 
-    def flushed() -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
-        for at in range(0, rows.num_rows, BATCH_ROWS):
-            yield rows.slice(at, BATCH_ROWS)
 
-    for keys in parts:
-        held.append(keys)
-        size += len(keys)
+def _filled(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The numbers of all parts, about FLUSH_KEYS at a time."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
         if size >= FLUSH_KEYS:
-            yield from flushed()
+            yield np.concatenate(held)
             held, size = [], 0
     if size:
-        yield from flushed()
+        yield np.concatenate(held)
+
+
+def _record(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=list(kinds))
+
+
+def _rows(table: pa.Table) -> Iterator[dict]:
+    for batch in table.to_batches():
+        yield from batch.to_pylist()
+
+
+def _buckets(total: int, size: int) -> int:
+    return min(max(1, -(-total // size)), 1 << 20)
+
+
+def _bucket(digests: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal ranges of the digests, in their order as unsigned numbers."""
+    return (digests.view(np.uint64) >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)
+
+
+def _bucket_column(name: str, buckets: int):
+    return F.shiftright(F.shiftrightunsigned(name, 44) * buckets, 20).cast("int")
+
+
+def _cuts(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """Where each bucket starts and ends in sorted ones."""
+    at = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _pressed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values), codec="zstd", asbytes=True)
+
+
+def _pressed_bitmaps(bitmaps: list[bytes]) -> list[tuple[bytes, int]]:
+    """Every executor keeps a file of what is broadcast."""
+    return [(pa.compress(b, codec="zstd", asbytes=True), len(b)) for b in bitmaps]
+
+
+def _bitmaps(pressed: list[tuple[bytes, int]]) -> list[bytes]:
+    return [pa.decompress(b, n, codec="zstd", asbytes=True) for b, n in pressed]
+
+
+def _unpressed(blob: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, codec="zstd") if n else b"", kind)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers of 8 bytes whose upper ones seldom change."""
+    return _pressed(values.view(np.uint8).reshape(-1, 8).T)
+
+
+def _unplaned(blob: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(_unpressed(blob, n * 8, np.uint8).reshape(8, n).T).view(np.int64).ravel()
+
+
+def _word_blob(words: np.ndarray, rank: np.ndarray) -> bytes:
+    """Digests as ranks from 1 in the broadcast words, and those of rank 0 at length."""
+    ranks = _pressed(rank.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return len(ranks).to_bytes(4, "little") + ranks + _pressed(words[rank == 0])
+
+
+def _word_array(blob: bytes, n: int, ranked: np.ndarray) -> np.ndarray:
+    end = 4 + int.from_bytes(blob[:4], "little")
+    rank = np.ascontiguousarray(_unpressed(blob[4:end], n * 4, np.uint8).reshape(4, n).T).view(np.uint32).ravel()
+    out, known = np.empty(n, np.int64), rank > 0
+    out[known] = ranked[rank[known] - 1]
+    out[~known] = _unpressed(blob[end:], n - int(known.sum()), np.int64)
+    return out
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Sorted numbers of 8 bytes."""
+    return _planes(np.diff(values.view(np.int64), prepend=np.int64(0)))
+
+
+def _unstepped(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unplaned(blob, n))
 
 
 @dataclass
 class Head:
-    """Frequent words (digests) with their counts."""
+    """Frequent words (digests) with their counts, the most frequent first."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -159,7 +289,7 @@ def head_of(counts: DataFrame) -> Head:
     """Collects at most 2^HEAD_BITS words: each has that share of all tokens."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(2, total >> HEAD_BITS)
-    rows = counts.where(F.col("c") >= least).toArrow()
+    rows = counts.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("key", "ascending")])
     return Head(rows.column("key").to_numpy().astype(np.int64), rows.column("c").to_numpy().astype(np.int64), total, distinct, least)
 
 
@@ -217,69 +347,98 @@ def _joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _counted_strings(train: DataFrame, level: int, contexts: bytes, listed: bytes) -> DataFrame:
-    """key and n of the strings of level + 1 symbols whose first and last ``level`` symbols may be in the bitmaps."""
-    sent = train.sparkSession.sparkContext.broadcast((contexts, listed))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, symbols in symbol_slices(batches, 0):
-            *_, below, own = symbols.strings(level)
-            at = np.flatnonzero(symbols.from_place(level))
-            at = at[may_hold(sent.value[1], below[at])]
-            at = at[may_hold(sent.value[0], below[at - 1])]
-            yield own[at]
-
-    return train.mapInArrow(lambda batches: _tallied(keys(batches)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def _by_context(bucket: np.ndarray, ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """An order by bucket that brings nearly all equal contexts together, and equal symbols in them (some bits are enough)."""
+    some = np.uint64((1 << 22) - 1)
+    return np.argsort(bucket << np.uint64(44) | (ctx.view(np.uint64) & some) << np.uint64(22) | (symbol.view(np.uint64) & some))
 
 
-def _halves(train: DataFrame, bitmaps: list[bytes]) -> DataFrame:
-    """level, key, ctx (all but the last symbol) and low (all but the first) of the strings that may be in their level's bitmap."""
-    sent = train.sparkSession.sparkContext.broadcast(bitmaps)
+#: Strings of a bucket: their last symbols and counts, and for each stretch of one context its length, digest and digest without the first symbol.
+COUNTED = "bucket int, size int, runs int, symbol binary, n binary, length binary, ctx binary, short binary"
 
-    def distinct(level: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        key, ctx, low = (np.concatenate(c) for c in zip(*held, strict=True))
-        at = np.unique(key, return_index=True)[1]
-        columns = [np.full(len(at), level), key[at], ctx[at], low[at]]
-        rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "key", "ctx", "low"])
-        for at in range(0, rows.num_rows, BATCH_ROWS):
-            yield rows.slice(at, BATCH_ROWS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[] for _ in sent.value]
+def _counted_strings(
+    train: DataFrame, level: int, bitmaps: list[bytes], hot: np.ndarray, ranked: Broadcast, buckets: int, least_next: int
+) -> DataFrame:
+    """key, ctx (all but the last symbol), low (all but the first) and n of the strings of level + 1 symbols that occur
+    ``least_next`` times and whose first and last ``level`` symbols may be in the bitmaps."""
+    sent = train.sparkSession.sparkContext.broadcast((_pressed_bitmaps(bitmaps), np.sort(hot)))
+
+    def flushed(held: list[tuple[np.ndarray, ...]], known: pd.Index) -> pa.RecordBatch:
+        ctx, short, symbol = (np.concatenate(c) for c in zip(*held, strict=True))
+        spread = sent.value[1]
+        if len(spread):
+            near = spread[np.minimum(np.searchsorted(spread, ctx), len(spread) - 1)]
+            bucket = _bucket(np.where(near == ctx, symbol, ctx), buckets)
+        else:
+            bucket = _bucket(ctx, buckets)
+        order = _by_context(bucket, ctx, symbol)
+        ctx, short, symbol, bucket = ctx[order], short[order], symbol[order], bucket[order]
+        first = _changes(ctx, symbol)
+        n = np.diff(np.append(first, len(ctx))).astype(np.uint32)
+        ctx, short, symbol, bucket = ctx[first], short[first], symbol[first], bucket[first]
+        runs = _changes(ctx, bucket)
+        length = np.diff(np.append(runs, len(ctx))).astype(np.uint32)
+        ctx, short, rows = ctx[runs], short[runs], []
+        ranks = [known.get_indexer(c) + 1 for c in (symbol, ctx, short)]
+        for start, end in _cuts(bucket):
+            a, b = np.searchsorted(runs, [start, end]).tolist()
+            heads = [_word_blob(c[a:b], rank[a:b]) for c, rank in zip((ctx, short), ranks[1:], strict=True)]
+            blobs = [_word_blob(symbol[start:end], ranks[0][start:end]), _pressed(n[start:end]), _pressed(length[a:b])]
+            rows.append((int(bucket[start]), end - start, b - a, *blobs, *heads))
+        names = [c.split()[0] for c in COUNTED.split(", ")]
+        return _record(rows, dict(zip(names, [pa.int32()] * 3 + [pa.binary()] * 5, strict=True)))
+
+    def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, known = [], 0, pd.Index(ranked.value)
+        contexts, listed = _bitmaps(sent.value[0])
         for _, symbols in symbol_slices(batches, 0):
-            below = None
-            for level, own in enumerate(symbols.strings(len(held))):
-                if level:
-                    at = np.flatnonzero(symbols.from_place(level))
-                    at = at[may_hold(sent.value[level - 1], own[at])]
-                    held[level - 1].append((own[at], below[at - 1], below[at]))
-                    # The levels share the room.
-                    if sum(len(k) for k, _, _ in held[level - 1]) >= FLUSH_KEYS // len(held):
-                        yield from distinct(level, held[level - 1])
-                        held[level - 1] = []
-                below = own
-        for level, rest in enumerate(held, start=1):
-            if rest:
-                yield from distinct(level, rest)
-
-    rows = train.mapInArrow(run, "level bigint, key bigint, ctx bigint, low bigint")
-    return rows.groupBy("level", "key").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"))
-
-
-def _rows_of(df: DataFrame, key: str) -> DataFrame:
-    """Stored, since a join reads it twice."""
-    return stored(df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "rows")
-
-
-def _level(keys: DataFrame, below: DataFrame, least_context: int) -> tuple[DataFrame, DataFrame]:
-    """The retained contexts (ctx, total, other) and all strings (key, n, logp, factor) of a level.
+            *_, below, _ = strings = list(symbols.strings(level))
+            at = np.flatnonzero(symbols.from_place(level))
+            at = at[may_hold(listed, below[at])]
+            at = at[may_hold(contexts, below[at - 1])]
+            if len(at):
+                short = strings[level - 2][at - 1] if level > 1 else np.zeros(len(at), np.int64)
+                held.append((below[at - 1], short, symbols.digest[at]))
+                size += len(at)
+            if size >= FLUSH_KEYS:
+                yield flushed(held, known)
+                held, size = [], 0
+        if size:
+            yield flushed(held, known)
+
+    def counted(rows: pa.Table) -> pa.Table:
+        parts = []
+        for r in _rows(rows):
+            length = _unpressed(r["length"], r["runs"], np.uint32)
+            heads = [np.repeat(_word_array(r[c], r["runs"], ranked.value), length) for c in ("ctx", "short")]
+            parts.append((*heads, _word_array(r["symbol"], r["size"], ranked.value), _unpressed(r["n"], r["size"], np.uint32)))
+        ctx, short, symbol, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        key = _joined(ctx.view(np.uint64), symbol.view(np.uint64)).view(np.int64)
+        order = np.argsort(key)
+        starts = _changes(key[order])
+        sums = np.add.reduceat(n[order], starts, dtype=np.int64)
+        enough = sums >= least_next
+        first = order[starts[enough]]
+        low = _joined(short[first].view(np.uint64), symbol[first].view(np.uint64)).view(np.int64) if level > 1 else symbol[first]
+        return pa.table({"key": key[first], "ctx": ctx[first], "low": low, "n": sums[enough]})
+
+    dealt = train.mapInArrow(packed_rows, COUNTED)
+    return dealt.groupBy("bucket").applyInArrow(counted, "key bigint, ctx bigint, low bigint, n bigint")
+
+
+def _level(found: DataFrame, below: DataFrame, least_next: int, least_context: int) -> tuple[DataFrame, DataFrame]:
+    """The retained contexts (ctx, total, other) and all strings (key, n, logp, factor) of a level; removes ``found``.
 
     ``other`` is the factor (log10) of a symbol not listed in the context, ``logp`` the probability of the
     last symbol under the longest retained context up to this level, ``factor`` what a listed one gets beside ``other``.
     """
     parents = below.select(F.col("key").alias("low"), F.col("logp").alias("parent"))
-    lows = _rows_of(keys, "low")
-    keys = stored(hot_join(keys, parents, ["low"], lows).drop("low"), "strings")
+    # A string or context that occurs n times has at most this many listed ones.
+    most = lambda name: below.select(F.col("key").alias(name), F.floor(F.col("n") / least_next).alias("_rows"))
+    keys = stored(hot_join(found, parents, ["low"], most("low")).drop("low"), "strings")
+    discard(found)
     left = F.col("n") - DISCOUNT
     # The context's total is left out of the sums and comes in afterwards, one row a context.
     sums = keys.groupBy("ctx").agg(
@@ -293,14 +452,13 @@ def _level(keys: DataFrame, below: DataFrame, least_context: int) -> tuple[DataF
     measured = sums.join(totals, "ctx").select("ctx", "total", F.log10(rest / parent_rest).alias("other"), bits.alias("bits"))
     enough = (F.col("bits") >= MIN_BITS) & (F.col("bits") * F.col("total") >= MIN_GAIN)
     retained = stored(measured.where(enough).drop("bits"), "contexts")
-    rows = _rows_of(keys, "ctx")
-    joined = hot_join(keys, retained, ["ctx"], rows, "left")
+    joined = hot_join(keys, retained, ["ctx"], most("ctx"), "left")
     own = F.log10(left / F.col("total"))
     strings = joined.select(
         "key", "n", F.coalesce(own, F.col("parent")).alias("logp"), (own - F.col("parent") - F.col("other")).alias("factor")
     )
     out = stored(strings, "level")
-    discard(keys, lows, rows)
+    discard(keys)
     return retained, out
 
 
@@ -310,31 +468,32 @@ def tree(
 ) -> tuple[DataFrame, list[DataFrame]]:
     """(id, n, factor) of all strings that change a probability, and the retained contexts by length."""
     coded = _store_coded(_coded(docs, text, doc_id, []))
-    out = _tree(coded.where(~F.col("held_out")).select("_words"), counts, log_norm, depth, least_next, least_context)
+    train = coded.where(~F.col("held_out")).select("_words")
+    out = _tree(train, counts, head_of(counts), log_norm, depth, least_next, least_context)
     discard(coded)
     return out
 
 
 def _tree(
-    train: DataFrame, counts: DataFrame, log_norm: float, depth: int, least_next: int, least_context: int
+    train: DataFrame, counts: DataFrame, head: Head, log_norm: float, depth: int, least_next: int, least_context: int
 ) -> tuple[DataFrame, list[DataFrame]]:
     root = F.log10(F.col("c") + F.lit(ADDED)) - F.lit(log_norm)
     below = stored(counts.select("key", F.col("c").alias("n"), root.alias("logp")), "words")
-    levels, bitmaps, last = [], [], below
+    levels, last, buckets = [], below, _buckets(head.total, COUNTED_KEYS)
+    ranked = train.sparkSession.sparkContext.broadcast(head.words)
     for level in range(1, depth + 1):
         contexts = key_filter(last.where(F.col("n") >= least_context), "key")
         # Counted strings have a successor's evidence already.
-        listed = bitmaps[-1] if bitmaps else key_filter(last.where(F.col("n") >= least_next), "key")
-        strings = _counted_strings(train, level, contexts, listed).where(F.col("n") >= least_next)
-        last = stored(strings, f"counted{level}")
+        listed = key_filter(last if levels else last.where(F.col("n") >= least_next), "key")
+        # Contexts with a quarter of a bucket are at most four times as many as the buckets.
+        hot = last.where(F.col("n") >= max(least_context, COUNTED_KEYS // 4)).select("key").toArrow().column("key").to_numpy().astype(np.int64)
+        last = stored(_counted_strings(train, level, [contexts, listed], hot, ranked, buckets, least_next), f"counted{level}")
         levels.append(last)
-        bitmaps.append(key_filter(last, "key"))
-    halves = stored(_halves(train, bitmaps), "halves") if levels else None
     parts, contexts, done = [], [], []
     for level, strings in enumerate(levels, start=1):
-        keys = strings.join(halves.where(F.col("level") == level).drop("level"), "key")
-        retained, own = _level(keys, below, least_context)
-        discard(strings, *([below] if level == 1 else []))
+        retained, own = _level(strings, below, least_next, least_context)
+        if level == 1:
+            discard(below)
         below = own
         contexts.append(retained)
         done.append(below)
@@ -343,7 +502,7 @@ def _tree(
     none = counts.where(F.lit(False)).select(F.lit(0).cast("long").alias("id"), F.col("c").alias("n"), F.lit(0.0).alias("factor"))
     both = reduce(DataFrame.unionByName, parts, none)
     factors = stored(both.groupBy("id").agg(F.max("n").alias("n"), F.sum("factor").alias("factor")), "factors")
-    discard(*done, *([halves] if levels else [below]))
+    discard(*(done or [below]))
     return factors, contexts
 
 
@@ -387,40 +546,21 @@ def _score(
     train = coded.where(~F.col("held_out")).select("_words")
     counts = stored(_unigrams(train), "unigrams")
     head = head_of(counts)
-    factors, contexts = _tree(train, counts, head.log_norm, depth, least_next, least_context)
+    factors, contexts = _tree(train, counts, head, head.log_norm, depth, least_next, least_context)
     # Strings of one length occur about as often as there are tokens, so at most 2^HOT_BITS of them have this share.
     least = max(2, head.total >> HOT_BITS)
     hot = factors.where(F.col("n") >= least).select("id", "factor").toArrow()
     ids, values = hot.column("id").to_numpy().astype(np.int64), hot.column("factor").to_numpy().astype(float)
     retained = reduce(DataFrame.unionByName, [c.select("ctx") for c in contexts], counts.where(F.lit(False)).select(F.col("key").alias("ctx")))
-    bitmaps = (key_filter(retained, "ctx"), key_filter(factors, "id"), depth)
+    bitmaps = [key_filter(retained, "ctx"), key_filter(factors, "id"), key_filter(counts.where(F.col("c") < head.least), "key")]
     # A rare word's entry has the inverse of its digest: the digest itself is that of a context.
     root = F.log10(F.col("c") + F.lit(ADDED)) - F.lit(head.log_norm)
     tail = counts.where(F.col("c") < head.least).select(F.bitwise_not("key").alias("id"), root.alias("base"), root.alias("factor"))
     rare = tail.unionByName(factors.where(F.col("n") < least).select("id", F.lit(None).cast("double").alias("base"), "factor"))
     # Broadcasts hold plain data: workers need no copy of this package.
-    sent = context.broadcast((head.words, head.root(), ids, values, bitmaps, key_filter(counts.where(F.col("c") < head.least), "key")))
-
-    def rare_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rare words and strings of every text, one row each time."""
-        words, _, ids, _, bitmaps, tail_bits = sent.value
-        candidates, known, hot = Candidates(*bitmaps), pd.Index(words), pd.Index(ids)
-        for batch, symbols in symbol_slices(batches, 1):
-            row = batch.column(0).to_numpy()
-            at = np.flatnonzero(symbols.from_place(1))
-            at = at[may_hold(tail_bits, symbols.digest[at])]
-            at = at[known.get_indexer(symbols.digest[at]) < 0]
-            found = [(at, ~symbols.digest[at])]
-            for at, own in candidates.of(symbols):
-                new = hot.get_indexer(own) < 0
-                found.append((at[new], own[new]))
-            for at, own in found:
-                for k in range(0, len(at), BATCH_ROWS):
-                    columns = [row[symbols.text[at[k : k + BATCH_ROWS]]], own[k : k + BATCH_ROWS]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_row", "id"])
-
-    met = coded.select("_row", "_words").mapInArrow(rare_of, "_row bigint, id bigint").join(rare, "id")
-    sums = met.groupBy("_row").agg(F.sum("base").alias("_rare_base"), F.count("base").alias("_rare_known"), F.sum("factor").alias("_rare_score"))
+    ranked = context.broadcast(head.words)
+    sent = context.broadcast((head.root(), ids, values, _pressed_bitmaps(bitmaps)))
+    buckets = _buckets(head.total, RARE_KEYS)
     rows = coded.select(
         "_row",
         "_user",
@@ -431,29 +571,146 @@ def _score(
         F.lit(0.0).alias("_score"),
         "_words",
     )
-    words_at = rows.columns.index("_words")
+    row_at, words_at = rows.columns.index("_row"), rows.columns.index("_words")
+    own_rows = [f for f in rows.schema.fields if f.name != "_words"]
+    numbers, blobs = ["bucket", "size", "runs"], ["texts", "ids", "symbol", "ctx", "length"]
+    kinds = {n: pa.int32() for n in numbers} | {n: pa.binary() for n in blobs}
+    packed_fields = [T.StructField(n, T.IntegerType()) for n in numbers] + [T.StructField(n, T.BinaryType()) for n in blobs]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in own_rows] + packed_fields)
+
+    def flushed(held: list[tuple[np.ndarray, ...]]) -> dict[str, pa.Array]:
+        """Ids and texts of rare words and strings, one packed row a bucket."""
+        own, text = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(own.view(np.uint64))
+        own, text = own[order], text[order]
+        bucket = _bucket(own, buckets)
+        made = [(int(bucket[a]), b - a, None, _planes(text[a:b]), _steps(own[a:b]), None, None, None) for a, b in _cuts(bucket)]
+        return dict(zip(kinds, _record(made, kinds).columns, strict=True))
+
+    def flushed_pairs(held: list[tuple[np.ndarray, ...]], known: pd.Index) -> dict[str, pa.Array]:
+        """The same of strings of two symbols, as stretches of one first symbol."""
+        ctx, symbol, text = (np.concatenate(c) for c in zip(*held, strict=True))
+        bucket = _bucket(_joined(ctx.view(np.uint64), symbol.view(np.uint64)), buckets)
+        order = _by_context(bucket, ctx, symbol)
+        ctx, symbol, text, bucket = ctx[order], symbol[order], text[order], bucket[order]
+        runs = _changes(ctx, bucket)
+        length, ctx, made = np.diff(np.append(runs, len(ctx))).astype(np.uint32), ctx[runs], []
+        symbol_rank, ctx_rank = known.get_indexer(symbol) + 1, known.get_indexer(ctx) + 1
+        for start, end in _cuts(bucket):
+            a, b = np.searchsorted(runs, [start, end]).tolist()
+            words = _word_blob(symbol[start:end], symbol_rank[start:end]), _word_blob(ctx[a:b], ctx_rank[a:b])
+            made.append((int(bucket[start]), end - start, b - a, _planes(text[start:end]), None, *words, _pressed(length[a:b])))
+        return dict(zip(kinds, _record(made, kinds).columns, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sums over frequent words and strings."""
-        words, root, ids, values, bitmaps, _ = sent.value
-        candidates, known, hot = Candidates(*bitmaps), pd.Index(words), pd.Index(ids)
+        """The sums over frequent words and strings of each text, and the rare ones in rows of their own."""
+        root, ids, values, pressed = sent.value
+        of_contexts, of_factors, tail_bits = _bitmaps(pressed)
+        candidates, known, hot = Candidates(of_contexts, of_factors, depth), pd.Index(ranked.value), pd.Index(ids)
+        held, size, pairs, n_pairs, kind_of = [], 0, [], 0, dict(kinds)
+
+        def of(made: dict[str, pa.Array]) -> pa.RecordBatch:
+            n = len(next(iter(made.values())))
+            return pa.RecordBatch.from_arrays([made.get(f, pa.nulls(n, kind_of[f])) for f in schema.names], names=schema.names)
+
         for batch, symbols in symbol_slices(batches, words_at):
-            n = batch.num_rows
+            n, row = batch.num_rows, batch.column(row_at).to_numpy()
+            kind_of |= {f.name: f.type for f in batch.schema}
             per_text = lambda at, weights=None: np.bincount(symbols.text[at], weights, n)
             at = np.flatnonzero(symbols.from_place(1))
             number = known.get_indexer(symbols.digest[at])
-            at, number = at[number >= 0], number[number >= 0]
+            rare_at, at, number = at[number < 0], at[number >= 0], number[number >= 0]
+            rare_at = rare_at[may_hold(tail_bits, symbols.digest[rare_at])]
+            held.append((~symbols.digest[rare_at], row[symbols.text[rare_at]]))
             base = per_text(at, root[number]).astype(float)  # without symbols the counts are whole numbers
-            made = {"n_tokens": pa.array(symbols.n_words + 1), "_n_head": pa.array(per_text(at).astype(np.int64)), "_base": pa.array(base)}
+            made = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            made |= {"n_tokens": pa.array(symbols.n_words + 1), "_n_head": pa.array(per_text(at).astype(np.int64)), "_base": pa.array(base)}
             logs = base.copy()
-            for at, own in candidates.of(symbols):
+            for level, (at, own) in enumerate(candidates.of(symbols)):
                 place = hot.get_indexer(own)
                 logs += per_text(at[place >= 0], values[place[place >= 0]])
-            made |= {"_score": pa.array(logs), "_words": pa.nulls(n, batch.column(words_at).type)}
-            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
-
-    sums, scored = stored(sums, "rare"), stored(rows.mapInArrow(run, rows.schema).drop("_words"), "scored")
-    discard(coded, counts, factors, *contexts)
+                at, own = at[place < 0], own[place < 0]
+                if level == 1:
+                    pairs.append((symbols.digest[at - 1], symbols.digest[at], row[symbols.text[at]]))
+                    n_pairs += len(at)
+                else:
+                    held.append((own, row[symbols.text[at]]))
+                    size += len(at)
+            size += len(rare_at)
+            yield of(made | {"_score": pa.array(logs)})
+            if size >= FLUSH_KEYS:
+                yield of(flushed(held))
+                held, size = [], 0
+            if n_pairs >= FLUSH_KEYS:
+                yield of(flushed_pairs(pairs, known))
+                pairs, n_pairs = [], 0
+        if size:
+            yield of(flushed(held))
+        if n_pairs:
+            yield of(flushed_pairs(pairs, known))
+
+    def met(strings: pa.Table, own: pa.Table) -> pa.Table:
+        """What the rare words and strings of a bucket add to their texts."""
+        ids = own.column("id").to_numpy()
+        order = np.argsort(ids)
+        ids, factor, base = ids[order], own.column("factor").to_numpy()[order], own.column("base").to_numpy()[order].astype(float)
+        is_word, base = ~np.isnan(base), np.nan_to_num(base)
+        done, held, size = [], [], 0
+
+        def summed() -> None:
+            row, place = (np.concatenate(c) for c in zip(*held, strict=True))
+            texts, text = np.unique(row, return_inverse=True)
+            known = np.bincount(text, is_word[place]).astype(np.int64)
+            sums = np.bincount(text, base[place]), np.bincount(text, factor[place])
+            for a, b in _cuts(texts >> TEXT_BITS):
+                done.append((int(texts[a]) >> TEXT_BITS, b - a, _steps(texts[a:b]), _planes(known[a:b]), *[_pressed(c[a:b]) for c in sums]))
+
+        for r in _rows(strings) if len(ids) else []:
+            row = _unplaned(r["texts"], r["size"])
+            if r["ids"] is None:
+                ctx = np.repeat(_word_array(r["ctx"], r["runs"], ranked.value), _unpressed(r["length"], r["runs"], np.uint32))
+                key = _joined(ctx.view(np.uint64), _word_array(r["symbol"], r["size"], ranked.value).view(np.uint64)).view(np.int64)
+            else:
+                key = _unstepped(r["ids"], r["size"])
+            place = np.minimum(np.searchsorted(ids, key), len(ids) - 1)
+            at = np.flatnonzero(ids[place] == key)
+            held.append((row[at], place[at]))
+            size += len(at)
+            if size >= FLUSH_KEYS:
+                summed()
+                held, size = [], 0
+        if size:
+            summed()
+        types = [pa.int64(), pa.int32()] + [pa.binary()] * 4
+        columns = list(zip(*done, strict=True)) or [[]] * len(types)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["block", "size", "texts", "known", "base", "factor"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        """The sums of a block of texts over the buckets."""
+        parts = []
+        for r in _rows(rows):
+            numbers = [_unpressed(r[c], r["size"], np.float64) for c in ("base", "factor")]
+            parts.append((_unstepped(r["texts"], r["size"]), _unplaned(r["known"], r["size"]), *numbers))
+        row, known, base, factor = (np.concatenate(c) for c in zip(*parts, strict=True))
+        texts, text = np.unique(row, return_inverse=True)
+        sums = [np.bincount(text, base), np.bincount(text, known).astype(np.int64), np.bincount(text, factor)]
+        return pa.table([texts, *sums], names=["_row", "_rare_base", "_rare_known", "_rare_score"])
+
+    both = stored(rows.mapInArrow(run, schema), "scored", **{"parquet.block.size": str(ROW_GROUP_BYTES)})
+    discard(coded, *contexts)
+    entries = rare.select(_bucket_column("id", buckets).alias("bucket"), "id", "base", "factor")
+    rounds, found = min(ROUNDS, buckets), []
+    for k in range(rounds):
+        # A part of the buckets at a time: only its shuffle files are there beside the stored rows.
+        dealt, own = (df.where(F.col("bucket") % rounds == k).groupBy("bucket") for df in (both.select(*kinds), entries))
+        part = dealt.cogroup(own).applyInArrow(met, "block bigint, size int, texts binary, known binary, base binary, factor binary")
+        found.append(stored(part, "found"))
+    scored = stored(both.where(F.col("bucket").isNull()).drop(*kinds), "texts")
+    discard(both, counts, factors)
+    sent.destroy()
+    blocks = reduce(DataFrame.unionByName, found).groupBy("block")
+    sums = stored(blocks.applyInArrow(added, "_row bigint, _rare_base double, _rare_known bigint, _rare_score double"), "rare")
+    discard(*found)
     parts = scored.join(sums, "_row", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     n_known = F.col("_n_head") + F.coalesce(F.col("_rare_known"), F.lit(0))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +267,41 @@ def test_language_model_scores(spark, monkeypatch, hot, least_next, least_contex
         assert sum(p(c, x) for x in unigrams) + unknown == pytest.approx(1, abs=1e-6)
 
 
+def test_language_model_scores_with_many_buckets(spark, monkeypatch):
+    labels, plans, stored = [], [], lm.stored
+
+    def recorded(df, label, **options):
+        labels.append(label)
+        plans.append(df._jdf.queryExecution().toString())
+        return stored(df, label, **options)
+
+    monkeypatch.setattr(lm, "stored", recorded)
+    monkeypatch.setattr(lm, "COUNTED_KEYS", 256)  # contexts seen 64 times are spread over the buckets by what follows them
+    monkeypatch.setattr(lm, "RARE_KEYS", 256)
+    monkeypatch.setattr(lm, "HEAD_BITS", 8)
+    monkeypatch.setattr(lm, "HOT_BITS", 5)
+    rows = rhymes()
+    text_score, *_ = chain_model(rows, 3, 2, 8)
+    got = lm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), least_next=2, least_context=8)
+    assert {r["doc_id"]: r["score"] for r in got.collect()} == {d: pytest.approx(text_score(t), abs=1e-6) for d, t in rows}
+    # Strings and words are shuffled as packed rows, one for a bucket; no second table has their halves.
+    assert "halves" not in labels
+    for label in ("unigrams", "counted1", "counted2", "counted3"):
+        assert "FlatMapGroupsInArrow" in plans[labels.index(label)], label
+    assert labels.count("found") == lm.ROUNDS
+
+
+def test_packed_numbers_and_words_come_back():
+    rng = np.random.default_rng(5)
+    digests = np.sort(rng.integers(-(2**63), 2**63 - 1, 1000).view(np.uint64)).view(np.int64)
+    assert (lm._unstepped(lm._steps(digests), 1000) == digests).all()
+    ranked, found = digests[::3], rng.choice(digests, 5000)
+    rank = pd.Index(ranked).get_indexer(found) + 1
+    assert (lm._word_array(lm._word_blob(found, rank), 5000, ranked) == found).all()
+    bucket = lm._bucket(digests, 7).astype(int)
+    assert (np.diff(bucket) >= 0).all() and set(bucket) == set(range(7))
+
+
 def test_sliced_texts_keep_their_words():
     texts = pa.array([f"a{i} b c{i % 7}" if i % 5 else None for i in range(1000)])
     batch = pa.RecordBatch.from_arrays([texts], names=["text"])
